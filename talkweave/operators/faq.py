@@ -94,19 +94,16 @@ def _category_masks(c: Column, dictionary: list[tuple[str, list[str]]]) -> list[
     return masks
 
 
-def answer_messages(cleaned: DataFrame, r: MessageRules = CHINESE) -> DataFrame:
-    """Agent messages that make up the answer: links or long text, else the last two; each text once."""
-    agent = substantive_messages(cleaned, rules.AGENT, r)
+def _is_strong(r: MessageRules) -> Column:
     c = F.col("content")
     strong = (F.size(ux.extract_urls(c)) > 0) | (tx.cjk_count(c) >= r.answer_cjk)
-    if r.answer_pattern:
-        strong = strong | c.rlike(r.answer_pattern)
-    marked = agent.withColumn("_strong", strong)
-    picked = marked.filter("_strong")
-    weak = marked.join(picked.select(*KEY).distinct(), KEY, "left_anti")
-    last_two = top_rows(weak, KEY, [F.desc("created_at"), F.desc("msg_id")], 2, "_n").drop("_n")
-    both = picked.unionByName(last_two).drop("_strong")
-    return both.groupBy(*KEY, "content").agg(F.min(F.struct("created_at", "msg_id")).alias("_f")).select(
+    return strong | c.rlike(r.answer_pattern) if r.answer_pattern else strong
+
+
+def strong_answers(cleaned: DataFrame, r: MessageRules = CHINESE) -> DataFrame:
+    """Agent messages with links or long text, each text once per session."""
+    picked = substantive_messages(cleaned, rules.AGENT, r).filter(_is_strong(r))
+    return picked.groupBy(*KEY, "content").agg(F.min(F.struct("created_at", "msg_id")).alias("_f")).select(
         *KEY, "content", F.col("_f.created_at").alias("created_at"), F.col("_f.msg_id").alias("msg_id"))
 
 
@@ -118,50 +115,75 @@ def answer_parts(answers: DataFrame, rows_per_part: int = 4096) -> DataFrame:
         *KEY, "part", F.array_join("_t", "\n\n").alias("answer"))
 
 
+def _session_picks(cleaned: DataFrame, r: MessageRules) -> DataFrame:
+    """First questions, last replies and step messages of each session, from one scan.
+
+    Every message is tagged with the lists it may enter; one capped ranking serves all lists.
+    """
+    c, role = F.col("content"), F.col("role")
+    at, mid = F.unix_micros(F.col("created_at").cast("timestamp")), F.col("msg_id")
+    tag = F.array_compact(F.array(
+        F.when(role == rules.VISITOR, F.struct(F.lit("ask").alias("kind"), at.alias("a"), mid.alias("b"))),
+        F.when(role == rules.AGENT, F.struct(F.lit("last").alias("kind"), (-at).alias("a"), (-mid).alias("b"))),
+        F.when((role == rules.AGENT) & c.rlike(r.message_step_pattern), F.struct(F.lit("step").alias("kind"), at.alias("a"), mid.alias("b"))),
+    ))
+    rows = cleaned.filter(r.is_substantive(c)).select(*KEY, "content", F.explode(tag).alias("t")).select(*KEY, "content", "t.*")
+    top = top_rows(rows, [*KEY, "kind"], [F.col("a"), F.col("b")], 10, "_n").filter(
+        (F.col("kind") == "step") | ((F.col("kind") == "ask") & (F.col("_n") <= 4)) | (F.col("_n") <= 2))
+
+    def listed(kind: str) -> Column:
+        packed = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_n", "content"))))
+        return F.transform(packed, lambda x: x["content"])
+
+    return top.groupBy(*KEY).agg(listed("ask").alias("_asks"), F.reverse(listed("last")).alias("_last"), listed("step").alias("steps"))
+
+
 def extract_faq(cleaned: DataFrame, r: MessageRules = CHINESE, link_sections: DataFrame | None = None) -> DataFrame:
     """One entry per session with a usable question and answer.
 
-    ``answer`` is the first part of the answer; sessions with more than one part keep
-    the rest in :func:`answer_parts`.
+    The answer is made of the strong agent messages, else of the last two. ``answer``
+    holds its first part; very long answers keep the rest in :func:`answer_parts`.
     """
     c = F.col("content")
-    asks = top_rows(substantive_messages(cleaned, rules.VISITOR, r), KEY, [F.col("created_at"), F.col("msg_id")], 4, "_n")
-    asked = collect_in_order(asks, KEY, "_n", "content", "_asks").select(
-        *KEY, F.get("_asks", F.lit(0)).alias("ask"), F.slice("_asks", 2, 3).alias("question_variants"))
-    asked = asked.filter((F.length("ask") >= 4) & ~F.col("ask").rlike(r.question_block))
-    answers = answer_messages(cleaned, r)
-    parts = answer_parts(answers)
-    firsts = parts.filter("part = 0").select(*KEY, "answer")
-    sizes = answers.groupBy(*KEY).agg((F.sum(F.length("content") + 2) - 2).alias("answer_chars"))
+    picks = _session_picks(cleaned, r).withColumn("ask", F.get("_asks", F.lit(0)))
+    picks = picks.filter((F.length("ask") >= 4) & ~F.col("ask").rlike(r.question_block) & (F.size("_last") > 0))
+    strong = strong_answers(cleaned, r)
     dictionary = category_rules(r.categories)
-    masks = _category_masks(c, dictionary)
-    seen = answers.groupBy(*KEY).agg(*[F.bit_or(m).alias(f"_m{i}") for i, m in enumerate(masks)])
-    step_rows = substantive_messages(cleaned, rules.AGENT, r).filter(c.rlike(r.message_step_pattern))
-    steps = collect_in_order(top_rows(step_rows, KEY, [F.col("created_at"), F.col("msg_id")], 10, "_n"), KEY, "_n", "content", "steps")
-    links = answers.select(*KEY, "created_at", "msg_id", F.posexplode(ux.extract_urls(c)).alias("_i", "url"))
-    links = first_distinct(links, KEY, "url", ["created_at", "msg_id", "_i"], 10, "_text_links")
-
-    out = asked.join(firsts, KEY).join(sizes, KEY).join(seen, KEY).join(steps, KEY, "left").join(links, KEY, "left")
+    seen = strong.groupBy(*KEY).agg(
+        (F.sum(F.length("content") + 2) - 2).alias("_chars"),
+        *[F.bit_or(m).alias(f"_m{i}") for i, m in enumerate(_category_masks(c, dictionary))])
+    firsts = answer_parts(strong).filter("part = 0").select(*KEY, F.col("answer").alias("_strong"))
+    linked = strong.filter(F.contains(F.lower(c), F.lit("http"))).select(*KEY, "created_at", "msg_id", F.posexplode(ux.extract_urls(c)).alias("_i", "url"))
+    links = first_distinct(linked, KEY, "url", ["created_at", "msg_id", "_i"], 10, "_text_links")
+
+    out = picks.join(firsts, KEY, "left").join(seen, KEY, "left").join(links, KEY, "left")
     if link_sections is not None:
         out = out.join(link_sections, KEY, "left")
     else:
         out = out.withColumn("link_section", F.lit(""))
-    blocks = parse_link_blocks(F.col("link_section"))
-    out = out.withColumn("link_blocks", blocks).withColumn("_masks_other", F.concat("ask", F.lit(" "), F.coalesce("link_section", F.lit(""))))
+    section = F.coalesce("link_section", F.lit(""))
+    weak = F.array_join(F.array_distinct("_last"), "\n\n")
+    out = out.withColumn("answer", F.coalesce("_strong", weak)).withColumn(
+        "answer_chars", F.coalesce("_chars", F.length("answer").cast("bigint"))).withColumn("link_blocks", parse_link_blocks(section))
+    # strong messages were tested one by one above; the rest of the text is tested here
+    out = out.withColumn("_rest", F.concat("ask", F.lit(" "), F.when(F.col("_strong").isNull(), weak).otherwise(""), F.lit(" "), section))
     scores = []
-    for i, ((cid, _), m) in enumerate(zip(dictionary, _category_masks(F.col("_masks_other"), dictionary))):
-        scores.append(F.struct(F.bit_count(F.col(f"_m{i}").bitwiseOR(m)).alias("n"), F.lit(-i).alias("o"), F.lit(cid).alias("id")))
-    best = F.array_max(F.filter(F.array(*scores), lambda x: x["n"] > 0)) if scores else F.lit(None)
-    out = out.withColumn("category_id", F.coalesce(best["id"] if scores else best.cast("string"), F.lit("general")))
-    ask_links, block_links = ux.extract_urls(F.col("ask")), F.transform("link_blocks", lambda b: b["url"])
+    for i, ((cid, _), m) in enumerate(zip(dictionary, _category_masks(F.col("_rest"), dictionary))):
+        known = F.coalesce(f"_m{i}", F.lit(0).cast("bigint"))
+        scores.append(F.struct(F.bit_count(known.bitwiseOR(m)).alias("n"), F.lit(-i).alias("o"), F.lit(cid).alias("id")))
+    best = F.array_max(F.filter(F.array(*scores), lambda x: x["n"] > 0))["id"] if scores else F.lit(None).cast("string")
+    out = out.withColumn("category_id", F.coalesce(best, F.lit("general")))
     out = out.filter((F.col("answer_chars") >= 10) | (F.size("link_blocks") > 0))
+    block_links = F.transform("link_blocks", lambda b: b["url"])
+    weak_links = F.when(F.col("_strong").isNull(), ux.extract_urls(weak)).otherwise(_none())
+    all_links = F.concat(ux.extract_urls(F.col("ask")), F.coalesce("_text_links", _none()), weak_links, ux.extract_urls(section), block_links)
+    more_steps = F.filter(steps_from_blocks(F.col("link_blocks")), lambda x: ~F.array_contains("steps", x))
     return out.select(
         *KEY,
         F.concat(tx.rstrip_chars(F.col("ask"), "？?"), F.lit("？")).alias("question"),
-        "question_variants", "answer", "answer_chars", "category_id",
-        F.slice(F.array_distinct(F.concat(F.coalesce("steps", _none()), F.filter(
-            steps_from_blocks(F.col("link_blocks")), lambda x: ~F.array_contains(F.coalesce("steps", _none()), x)))), 1, 10).alias("steps"),
-        F.slice(F.array_distinct(F.concat(ask_links, F.coalesce("_text_links", _none()), ux.extract_urls(F.coalesce("link_section", F.lit(""))), block_links)), 1, 10).alias("links"),
+        F.slice("_asks", 2, 3).alias("question_variants"), "answer", "answer_chars", "category_id",
+        F.slice(F.concat("steps", more_steps), 1, 10).alias("steps"),
+        F.slice(F.array_distinct(all_links), 1, 10).alias("links"),
         "link_blocks",
     )
 

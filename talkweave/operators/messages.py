@@ -189,9 +189,23 @@ def session_text(cleaned: DataFrame, max_chars: int = 12000, preview: int = 400,
 
 # --- session summaries --------------------------------------------------------------
 
-def _first_messages(cleaned: DataFrame, role: str, r: MessageRules, k: int, latest: bool = False) -> DataFrame:
-    order = [F.desc("created_at"), F.desc("msg_id")] if latest else _order()
-    return top_rows(substantive_messages(cleaned, role, r), KEY, order, k, "n")
+def first_and_last(cleaned: DataFrame, r: MessageRules = CHINESE) -> DataFrame:
+    """First visitor question and the last two agent replies, from one scan and one ranking."""
+    c, agent = F.col("content"), F.col("role") == rules.AGENT
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    rows = cleaned.filter(r.is_substantive(c)).select(
+        *KEY, "content", agent.alias("_agent"), F.when(agent, -at).otherwise(at).alias("_a"),
+        F.when(agent, -F.col("msg_id")).otherwise(F.col("msg_id")).alias("_b"))
+    top = top_rows(rows, [*KEY, "_agent"], [F.col("_a"), F.col("_b")], 2, "_n")
+    replies = F.array_sort(F.collect_list(F.when(F.col("_agent"), F.struct(-F.col("_n"), "content"))))
+    return top.groupBy(*KEY).agg(
+        F.max(F.when(~F.col("_agent") & (F.col("_n") == 1), c)).alias("ask"),
+        F.transform(replies, lambda x: x["content"]).alias("replies"))
+
+
+def _tag_list(found: list, cap: int = 6) -> Column:
+    tags = F.array_compact(F.array(*[F.when(F.col(f"_t{i}"), F.lit(tag)) for i, (tag, _) in enumerate(found)]))
+    return F.slice(tags, 1, cap)
 
 
 def value_band(message_count: Column, agent_count: Column, link_chars: Column) -> Column:
@@ -203,26 +217,17 @@ def value_band(message_count: Column, agent_count: Column, link_chars: Column) -
     )
 
 
-def session_tags(cleaned: DataFrame, r: MessageRules = CHINESE, cap: int = 6) -> DataFrame:
-    """Tags of a session in dictionary order: one flag per tag, merged by partial aggregation."""
-    found = [(tag, F.bool_or(F.lower("content").rlike(tx.any_of(patterns)))) for tag, patterns in r.tags]
-    flags = cleaned.groupBy(*KEY).agg(*[test.alias(f"_t{i}") for i, (_, test) in enumerate(found)])
-    tags = F.array_compact(F.array(*[F.when(F.col(f"_t{i}"), F.lit(tag)) for i, (tag, _) in enumerate(found)]))
-    return flags.select(*KEY, F.slice(tags, 1, cap).alias("tags"))
-
-
 def session_summary(messages: DataFrame, cleaned: DataFrame, r: MessageRules = CHINESE,
                     link_sections: DataFrame | None = None) -> DataFrame:
     """Title, summary, value band, tags, key points and procedure points of each session."""
     c = F.col("content")
-    headers = session_headers(messages, cleaned)
-    counts = cleaned.groupBy(*KEY).agg(
+    raw = messages.groupBy(*KEY).agg(F.count(F.lit(1)).alias("message_count"))
+    found = [(tag, F.bool_or(F.lower("content").rlike(tx.any_of(patterns)))) for tag, patterns in r.tags]
+    flags = cleaned.groupBy(*KEY).agg(
         F.count_if((F.col("role") == rules.AGENT) & r.is_substantive(c)).alias("agent_count"),
-    )
-    first_ask = _first_messages(cleaned, rules.VISITOR, r, 1).select(*KEY, c.alias("ask"))
-    last_two = collect_in_order(
-        _first_messages(cleaned, rules.AGENT, r, 2, latest=True).withColumn("n", -F.col("n")), KEY, "n", "content", "replies")
-    out = headers.join(counts, KEY, "left").join(first_ask, KEY, "left").join(last_two, KEY, "left").join(session_tags(cleaned, r), KEY, "left")
+        *[test.alias(f"_t{i}") for i, (_, test) in enumerate(found)])
+    picks = first_and_last(cleaned, r)
+    out = flags.withColumn("tags", _tag_list(found)).join(raw, KEY).join(picks, KEY, "left")
     if link_sections is None:
         out = out.withColumn("link_section", F.lit(""))
     else:
@@ -230,7 +235,7 @@ def session_summary(messages: DataFrame, cleaned: DataFrame, r: MessageRules = C
     base = F.coalesce(tx.truncate_text(F.col("ask"), 36), F.lit("客服会话"))
     first_tag = F.get("tags", F.lit(0))
     asked = F.concat(F.lit("访客诉求："), tx.truncate_text(F.col("ask"), 80))
-    handled = F.concat(F.lit("客服处理："), tx.truncate_text(F.array_join("replies", "；"), 120))
+    handled = F.when(F.size("replies") > 0, F.concat(F.lit("客服处理："), tx.truncate_text(F.array_join("replies", "；"), 120)))
     linked = F.when(F.contains("link_section", F.lit("http")), F.lit("会话含内联文档/教程链接，详见下方摘录或原始会话附件区。"))
     summary = F.array_join(F.array_compact(F.array(asked, handled, linked)), " ")
     out = out.select(

@@ -15,17 +15,18 @@ from talkweave.plans import sqltext as s
 from talkweave.plans.message_queries import CLEAN_SQL, LATIN, SUBST_SQL, cleaned
 from talkweave.plans.registry import query
 from talkweave.plans.text_queries import EXT8_URL, PAGE_TITLE_SQL, _url_category_sql, label_sql, path_label_sql
+from talkweave.session import cut_lineage
 from talkweave.sources.adapters import DOCS_SQL, FAQ_SQL
 
 CATS = [
-    ("german", "Deutsch", "d", [r"\bder\b", r"\bund\b", r"ung\b"]),
-    ("french", "Français", "f", [r"eau", r"tion\b", r"é"]),
-    ("spanish", "Español", "s", [r"ción", r"\bpara\b"]),
-    ("english", "English", "e", [r"\bthe\b", r"\bof\b", r"ing\b"]),
+    ("german", "Deutsch", "d", [r"[ .,]der[ .,]", r"[ .,]und[ .,]", r"ung[ .,]"]),
+    ("french", "Français", "f", [r"eau", r"tion[ .,]", r"é"]),
+    ("spanish", "Español", "s", [r"ción", r"[ .,]para[ .,]"]),
+    ("english", "English", "e", [r"[ .,]the[ .,]", r"[ .,]of[ .,]", r"ing[ .,]"]),
     ("general", "General", "g", []),
 ]
 CAT_RULES = [(c, p) for c, _, _, p in CATS if p]
-CONCEPT_RULES = [("con-a", [r"\bwith\b"]), ("con-b", [r"\bles\b", r"\bdes\b"]), ("con-c", [r"ción"])]
+CONCEPT_RULES = [("con-a", [r"[ .,]with[ .,]"]), ("con-b", [r"[ .,]les[ .,]", r"[ .,]des[ .,]"]), ("con-c", [r"ción"])]
 KEYWORDS = [("k-the", ["the "]), ("k-eau", ["eau", "euxm"]), ("k-cion", ["ción"]), ("k-sch", ["sch"])]
 FAQ_RULES = LATIN.__class__(**{**LATIN.__dict__, "categories": CATS})
 
@@ -51,7 +52,7 @@ def _(t):
     return t.read("documents").select("doc_id", rm.best_category(F.col("text"), CAT_RULES).alias("category_id"))
 
 
-_STEP = s.hit("content", "(\\bto\\b|\\bde\\b)")
+_STEP = s.hit("content", "([ .,]to[ .,]|[ .,]de[ .,])")
 _RS = s.sub("ask", "[？?]+\\z")
 FAQ_EXT_SQL = f"""{CLEAN_SQL}, sub AS (SELECT * FROM cleaned WHERE {SUBST_SQL}),
 asks AS (SELECT session_id, list(content ORDER BY created_at, msg_id) AS l FROM sub WHERE role = '访客' GROUP BY 1),
@@ -91,7 +92,7 @@ def _(t):
 @query("ext3_steps_from_blocks")
 def _(t):
     blocks = fq.parse_link_blocks(F.expr(SECTION))
-    steps = fq.steps_from_blocks(blocks, pattern=r"(\bto\b|\bde\b|\bdie\b)")
+    steps = fq.steps_from_blocks(blocks, pattern=r"([ .,]to[ .,]|[ .,]de[ .,]|[ .,]die[ .,])")
     return t.read("documents").select("doc_id", F.array_join(fq.normalize_steps(steps), "|").alias("steps"))
 
 
@@ -171,7 +172,8 @@ CHAT_FAQ_SQL = f"""{FAQ_EXT_SQL}, cf AS (SELECT session_id AS ord, question, ans
 
 
 def chat_faqs(t):
-    return fq.collect_raw_faqs(fq.faqs_from_extractions(extracted(t)))
+    # the extraction feeds several steps, so it is written once and read back
+    return fq.collect_raw_faqs(cut_lineage(fq.faqs_from_extractions(extracted(t))))
 
 
 @query("agg5_faq_by_category", f"""WITH {CHAT_FAQ_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY source_count DESC, ord) AS rn FROM merged)
