@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from talkweave import rules
-from talkweave.functions.text import CJK, strip
+from talkweave.functions.text import CJK, let, strip
 
 
 def extract_keywords(c: Column, stop_words: list[str] | None = None, limit: int = 40) -> Column:
@@ -28,12 +28,17 @@ def extract_keywords(c: Column, stop_words: list[str] | None = None, limit: int
 def keyword_score(keywords: Column, *texts: Column) -> Column:
     """How many keywords occur in the lower-cased, blank-joined texts."""
     blob = F.lower(F.concat_ws(" ", *texts))
-    return F.size(F.filter(keywords, lambda k: (k != "") & F.contains(blob, k))).cast("double")
+    return let(blob, lambda b: F.size(F.filter(keywords, lambda k: (k != "") & F.contains(b, k)))).cast("double")
 
 
 def title_matches_question(title: Column, question: Column) -> Column:
     """CJK titles by any bigram with a CJK character, Latin titles by any word over two letters."""
-    t, q = F.lower(title), F.lower(question)
+    both = F.struct(F.lower(title).alias("t"), F.lower(question).alias("q"))
+    return let(both, lambda x: _title_matches(x["t"], x["q"]))
+
+
+def _title_matches(title: Column, question: Column) -> Column:
+    t, q = title, question
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: t.substr(i, F.lit(2)))
     by_pair = F.exists(pairs, lambda p: (F.length(p) == 2) & p.rlike(f"[{CJK}]") & F.contains(q, p))
     by_word = F.exists(F.split(t, "\\s+"), lambda w: (F.length(w) > 2) & F.contains(q, w))

@@ -50,6 +50,14 @@ def head(c: Column, n: int) -> Column:
     return F.substring(c, 1, n)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (a function of one Column).
+
+    Without this, an expression used inside a lambda is computed for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- cleaning --------------------------------------------------------------------
 
 def repair_mojibake(c: Column) -> Column:
@@ -166,9 +174,6 @@ def _kept_lines(c: Column) -> Column:
 
 def is_meaningful_text(c: Column, min_chars: int = 20, noise: list[str] | None = None,
                        polite: list[str] | None = None) -> Column:
-    kept = _kept_lines(c)
-    body = F.array_join(kept, "\n")
-
     def carries_content(s: Column) -> Column:
         content = (
             (cjk_count(s) >= 4)
@@ -177,11 +182,11 @@ def is_meaningful_text(c: Column, min_chars: int = 20, noise: list[str] | None =
         )
         return content & ~is_noise(s, noise) & ~is_politeness_only(s, polite)
 
-    return (
-        (F.length(body) >= min_chars)
-        & ~body.rlike(any_of(rules.OCR_LOW_VALUE_PATTERNS))
-        & F.exists(kept, carries_content)
-    )
+    def judge(kept: Column) -> Column:
+        body = F.array_join(kept, "\n")
+        return (F.length(body) >= min_chars) & ~body.rlike(any_of(rules.OCR_LOW_VALUE_PATTERNS)) & F.exists(kept, carries_content)
+
+    return let(_kept_lines(c), judge)
 
 
 def is_meaningful_ocr_text(c: Column, min_chars: int = 15) -> Column:

@@ -71,8 +71,7 @@ def front_matter_urls(c: Column) -> Column:
 def session_urls(c: Column) -> Column:
     """Front-matter links first, then links of the text that were not listed there."""
     listed = front_matter_urls(c)
-    fresh = F.array_distinct(F.filter(extract_urls(c), lambda u: ~F.array_contains(listed, u)))
-    return F.concat(listed, fresh)
+    return F.concat(listed, F.array_except(extract_urls(c), listed))
 
 
 def url_extension(c: Column) -> Column:

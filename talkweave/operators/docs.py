@@ -79,7 +79,7 @@ def apply_doc_enrichments(docs: DataFrame, enrichments: DataFrame) -> DataFrame:
     found = listed.join(names, "rel_url").groupBy("source_url", "name").agg(F.min(F.struct("ord", "i")).alias("_f"))
     # a document keeps at most as many related names as its own enrichment rows list
     related = found.groupBy("source_url").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_f", "name"))), lambda x: x["name"]).alias("_new"))
+        F.transform(F.sort_array(F.collect_list(F.struct("_f", "name"))), lambda x: x["name"]).alias("_new"))
     old = F.coalesce("related_doc_names", F.array().cast("array<string>")) if "related_doc_names" in docs.columns else F.array().cast("array<string>")
     out = docs.join(own, "source_url", "left").join(related, "source_url", "left")
     return out.withColumn("summary", F.coalesce("_s.summary", "summary")).withColumn(
@@ -93,7 +93,7 @@ def concept_docs(concepts: DataFrame, docs: DataFrame, cap: int = 20) -> DataFra
     lines = F.transform(F.slice(F.split("content", "\n"), 1, 15), tx.strip)
     good = F.filter(lines, lambda s: F.length(s).between(25, 140) & ~s.startswith("#"))
     names = first_distinct(joined.filter(F.coalesce("file_name", F.lit("")) != ""), ["id"], "file_name", ["_i"], cap, "doc_names")
-    cats = joined.groupBy("id").agg(F.array_sort(F.collect_set(F.nullif("category_id", F.lit("")))).alias("category_ids"))
+    cats = joined.groupBy("id").agg(F.sort_array(F.collect_set(F.nullif("category_id", F.lit("")))).alias("category_ids"))
     points = joined.select("id", "_i", F.posexplode(good).alias("_j", "p")).withColumn("point", F.substring("p", 1, 120))
     points = first_distinct(points, ["id"], "point", ["_i", "_j"], 8, "points")
     return concepts.select("id").join(cats, "id", "left").join(names, "id", "left").join(points, "id", "left")

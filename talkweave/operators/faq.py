@@ -64,21 +64,32 @@ def normalize_steps(steps: Column, cap: int = 10) -> Column:
 def synthesize_answer(answer: Column, blocks: Column) -> Column:
     """Replace a bare link by lines of the linked page, and top up a short answer."""
     answer = tx.strip(F.coalesce(answer, F.lit("")))
-    urls = F.array_distinct(F.regexp_extract_all(answer, F.lit("https?://[^\\s]+"), F.lit(0)))
     blocks = F.coalesce(blocks, F.array().cast("array<struct<url:string,title:string,body:string,kind:string>>"))
+    urls = F.array_distinct(F.regexp_extract_all(answer, F.lit("https?://[^\\s]+"), F.lit(0)))
+
+    def trimmed(b: Column) -> Column:
+        return F.transform(F.split(b["body"], "\n"), tx.strip)
 
-    def first_tip(b: Column) -> Column:
-        good = F.filter(F.transform(F.split(b["body"], "\n"), tx.strip), lambda s: F.length(s).between(20, 200) & ~s.startswith("#"))
+    def tip(b: Column) -> Column:
+        good = F.filter(trimmed(b), lambda s: F.length(s).between(20, 200) & ~s.startswith("#"))
         return F.substring(F.get(good, F.lit(0)), 1, 180)
 
-    tips = F.array_compact(F.transform(F.slice(blocks, 1, 2), first_tip))
-    bare = (F.length(answer) < 30) & (F.size(urls) > 0) & (F.size(tips) > 0)
-    told = F.when(bare, F.concat(F.array_join(tips, "；"), F.lit("\n\n参考："), F.array_join(F.slice(F.array_sort(urls), 1, 3), "\n"))).otherwise(answer)
-    extra = F.flatten(F.transform(
-        F.slice(blocks, 1, 1),
-        lambda b: F.slice(F.filter(F.transform(F.split(b["body"], "\n"), tx.strip), lambda s: F.length(s).between(25, 160)), 1, 2)))
-    short = (F.length(told) < 80) & (F.size(extra) > 0)
-    return F.when(short, tx.strip(F.concat(told, F.lit("\n\n"), F.array_join(extra, "\n")))).otherwise(told)
+    def extra(b: Column) -> Column:
+        return F.slice(F.filter(trimmed(b), lambda s: F.length(s).between(25, 160)), 1, 2)
+
+    parts = tx.let(blocks, lambda bs: F.struct(
+        F.array_compact(F.transform(F.slice(bs, 1, 2), tip)).alias("tips"),
+        F.flatten(F.transform(F.slice(bs, 1, 1), extra)).alias("extra")))
+
+    def compose(x: Column) -> Column:
+        cited = F.concat(F.array_join(x["tips"], "；"), F.lit("\n\n参考："), F.array_join(F.slice(F.array_sort(x["urls"]), 1, 3), "\n"))
+        bare = (F.length(x["answer"]) < 30) & (F.size(x["urls"]) > 0) & (F.size(x["tips"]) > 0)
+        told = F.when(bare, cited).otherwise(x["answer"])
+        short = (F.length(told) < 80) & (F.size(x["extra"]) > 0)
+        return F.when(short, tx.strip(F.concat(told, F.lit("\n\n"), F.array_join(x["extra"], "\n")))).otherwise(told)
+
+    return tx.let(parts, lambda p: tx.let(
+        F.struct(answer.alias("answer"), urls.alias("urls"), p["tips"].alias("tips"), p["extra"].alias("extra")), compose))
 
 
 # --- extraction from sessions ---------------------------------------------------------
@@ -132,7 +143,7 @@ def _session_picks(cleaned: DataFrame, r: MessageRules) -> DataFrame:
         (F.col("kind") == "step") | ((F.col("kind") == "ask") & (F.col("_n") <= 4)) | (F.col("_n") <= 2))
 
     def listed(kind: str) -> Column:
-        packed = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_n", "content"))))
+        packed = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("_n", "content"))))
         return F.transform(packed, lambda x: x["content"])
 
     return top.groupBy(*KEY).agg(listed("ask").alias("_asks"), F.reverse(listed("last")).alias("_last"), listed("step").alias("steps"))
@@ -268,7 +279,7 @@ def merge_faq_groups(faqs: DataFrame, key: str) -> DataFrame:
     for kind, cap in LIST_CAPS.items():
         fits = fits | ((F.col("kind") == kind) & (F.col("_n") <= cap))
     packed = [
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("_n", "v")))), lambda x: x["v"]).alias(k)
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("_n", "v")))), lambda x: x["v"]).alias(k)
         for k in LIST_CAPS
     ]
     return heads.join(top.filter(fits).groupBy(key).agg(*packed), key, "left")
@@ -319,7 +330,7 @@ def concept_matches(faqs: DataFrame, dictionary: list[tuple[str, list[str]]] | N
 def extract_concepts(faqs: DataFrame, dictionary: list[tuple[str, list[str]]] | None = None, cap: int = 8) -> DataFrame:
     """Concepts that any entry mentions, with distinct first lines as points and sorted categories."""
     hits = concept_matches(faqs, dictionary).withColumn("point", F.nullif(F.substring(tx.first_line(F.col("answer")), 1, 120), F.lit("")))
-    cats = hits.groupBy("concept_id").agg(F.array_sort(F.collect_set("category_id")).alias("category_ids"), F.count(F.lit(1)).alias("n_faqs"))
+    cats = hits.groupBy("concept_id").agg(F.sort_array(F.collect_set("category_id")).alias("category_ids"), F.count(F.lit(1)).alias("n_faqs"))
     points = first_distinct(hits, ["concept_id"], "point", ["ord"], cap, "points")
     return cats.join(points, "concept_id", "left")
 

@@ -164,7 +164,7 @@ def build_sessions(messages: DataFrame, r: MessageRules = CHINESE, n_min: int =
 def transcript_parts(cleaned: DataFrame, rows_per_part: int = 4096) -> DataFrame:
     """Transcripts as arrays, one row per ``rows_per_part`` messages."""
     parts = in_parts(transcript(cleaned), KEY, "pos", rows_per_part)
-    packed = F.array_sort(F.collect_list(F.struct("pos", "role", "content", "created_at")))
+    packed = F.sort_array(F.collect_list(F.struct("pos", "role", "content", "created_at")))
     return parts.groupBy(*KEY, "part").agg(packed.alias("messages"))
 
 
@@ -197,7 +197,7 @@ def first_and_last(cleaned: DataFrame, r: MessageRules = CHINESE) -> DataFrame:
         *KEY, "content", agent.alias("_agent"), F.when(agent, -at).otherwise(at).alias("_a"),
         F.when(agent, -F.col("msg_id")).otherwise(F.col("msg_id")).alias("_b"))
     top = top_rows(rows, [*KEY, "_agent"], [F.col("_a"), F.col("_b")], 2, "_n")
-    replies = F.array_sort(F.collect_list(F.when(F.col("_agent"), F.struct(-F.col("_n"), "content"))))
+    replies = F.sort_array(F.collect_list(F.when(F.col("_agent"), F.struct(-F.col("_n"), "content"))))
     return top.groupBy(*KEY).agg(
         F.max(F.when(~F.col("_agent") & (F.col("_n") == 1), c)).alias("ask"),
         F.transform(replies, lambda x: x["content"]).alias("replies"))

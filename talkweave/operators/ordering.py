@@ -91,7 +91,7 @@ def first_distinct(df: DataFrame, keys: Sequence[str], value: str, order: Sequen
 
 def collect_in_order(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
     """Array of a group's values by ``order``. For groups already bounded by a cap."""
-    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     return df.groupBy(*keys).agg(F.transform(packed, lambda s: s["v"]).alias(name))
 
 

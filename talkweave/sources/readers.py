@@ -71,8 +71,10 @@ def front_matter(c: Column) -> Column:
             F.regexp_replace(tx.strip(F.regexp_extract(s, "^[^:]*:(.*)", 1)), "^\"+|\"+\\z", "").alias("value"),
         ),
     )
-    kept_last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(kept_last)
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.aggregate(
+        entries, empty,
+        lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
 
 
 def body_after_front_matter(c: Column) -> Column:
