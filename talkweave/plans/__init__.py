@@ -1,6 +1,8 @@
 """Named queries over the tables; importing this package fills the registry."""
 
-from talkweave.plans import audit_queries, faq_queries, graph_queries, message_queries, similar_queries, text_queries
+from talkweave.plans import (
+    audit_queries, faq_queries, graph_queries, message_queries, page_queries, similar_queries, text_queries,
+)
 from talkweave.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
