@@ -251,17 +251,18 @@ INDEX_SECTIONS = ("concat('### ', source, ' ', lang, '\n\n涵盖 ', lang, '。\n
 
 def index_page(t):
     """Index with one section per category page; one row per section keeps rows small."""
-    return t.read("documents").filter("doc_id % 10 = 0").select(F.expr(INDEX_SECTIONS).alias("text"), F.col("doc_id").alias("no0"))
+    categories = t.wiki_pages().filter("page_type = 'category'").select(F.col("ord").alias("doc_id"))
+    return t.read("documents").join(categories, "doc_id").select(F.expr(INDEX_SECTIONS).alias("text"))
 
 
-@query("ext9_parse_index_sections", """SELECT source || ' ' || lang AS title, '涵盖 ' || lang || '。' AS overview, '分类-' || doc_id AS category_link,
- concat(trim(regexp_extract(text, '^[^ \n]*')), '|', '概念 [[概念-', doc_id + 1, ']]') AS questions FROM documents WHERE doc_id % 10 = 0 AND regexp_extract(text, '^[^ \n]*') <> ''""")
+@query("ext9_parse_index_sections", WIKI_WITH + """SELECT source || ' ' || lang AS title, '涵盖 ' || lang || '。' AS overview, '分类-' || doc_id AS category_link,
+ concat(trim(regexp_extract(documents.text, '^[^ \n]*')), '|', '概念 [[概念-', doc_id + 1, ']]') AS questions FROM documents JOIN wiki w ON doc_id = ord WHERE page_type = 'category' AND regexp_extract(documents.text, '^[^ \n]*') <> ''""")
 def _(t):
-    src = t.read("documents").filter("doc_id % 10 = 0 AND regexp_extract(text, '^[^ \n]*', 0) <> ''").select(F.expr(INDEX_SECTIONS).alias("text"))
+    src = index_page(t).filter(~F.contains("text", F.lit("- 高频问题：\n  - \n")))
     return rt.parse_index_sections(src).select("title", "overview", "category_link", F.array_join("questions", "|").alias("questions"))
 
 
-@query("jon8_index_route", WIKI_WITH + f""", {KW_SQL}, sec AS (SELECT doc_id, lower(unnest([source || ' ' || lang, '主题页：[[分类-' || doc_id || ']]', '高频问题：', regexp_extract(text, '^[^ ' || chr(10) || ']*'), '概念 [[概念-' || (doc_id + 1) || ']]'])) AS line FROM documents WHERE doc_id % 10 = 0),
+@query("jon8_index_route", WIKI_WITH + f""", {KW_SQL}, sec AS (SELECT doc_id, lower(unnest([source || ' ' || lang, '主题页：[[分类-' || doc_id || ']]', '高频问题：', regexp_extract(documents.text, '^[^ ' || chr(10) || ']*'), '概念 [[概念-' || (doc_id + 1) || ']]'])) AS line FROM documents JOIN wiki ON doc_id = ord WHERE page_type = 'category'),
 m AS (SELECT DISTINCT question_id, doc_id FROM (SELECT question_id, unnest(keywords) AS k FROM kw), sec WHERE contains(line, k)),
 l AS (SELECT question_id, unnest(['分类-' || doc_id, '概念-' || (doc_id + 1)]) AS stem FROM m) SELECT DISTINCT question_id, stem FROM l WHERE stem IN (SELECT stem FROM wiki)""")
 def _(t):

@@ -55,23 +55,25 @@ def _(t):
 
 
 @query("fix4_complete_index", WIKI_WITH + """SELECT 'index' AS page, CASE page_type WHEN 'category' THEN '### 自动补链主题' ELSE '### 自动补链概念' END AS section, stem AS ord, '- [[' || stem || ']]' AS line
-FROM wiki WHERE page_type IN ('category', 'concept') AND NOT (ord % 20 = 0)""")
+FROM wiki WHERE page_type IN ('category', 'concept') AND NOT contains(text, chr(10) || '# en ')""")
 def _(t):
     p = pages(t)
-    return rp.complete_index(p, p.filter("ord % 20 = 0").select(F.col("stem").alias("dst")))
+    return rp.complete_index(p, p.filter(F.contains("text", F.lit("\n# en "))).select(F.col("stem").alias("dst")))
 
 
-@query("fix5_backfill_concept_faqs", WIKI_EDGES + """, c AS (SELECT stem, regexp_extract(text, '\\n# ([^\\n]+)', 1) AS title FROM wiki WHERE page_type = 'concept' AND stem NOT IN (SELECT src FROM we WHERE dst IN (SELECT stem FROM wiki WHERE page_type = 'faq'))),
+@query("fix5_backfill_concept_faqs", WIKI_WITH + """, c AS (SELECT stem, regexp_extract(text, '\\n# ([^\\n]+)', 1) AS title FROM wiki WHERE page_type = 'concept'),
 w AS (SELECT stem, unnest(string_split(lower(title), ' ')) AS w FROM c), m AS (SELECT DISTINCT w.stem AS page, f.stem AS faq FROM w JOIN wiki f ON f.page_type = 'faq' AND length(w) >= 2 AND contains(f.stem, w)),
 r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY faq) AS n FROM m) SELECT page, '## 自动补链 FAQ' AS section, faq AS ord, '- [[' || faq || ']]' AS line FROM r WHERE n <= 5""")
 def _(t):
-    return rp.backfill_concept_faqs(pages(t))
+    # pages without their link lists
+    bare = pages(t).withColumn("text", F.regexp_replace("text", "(?s)## 相关.*", ""))
+    return rp.backfill_concept_faqs(bare)
 
 
 @query("fix6_autofix_report")
 def _(t):
     p = pages(t)
-    index = p.filter("ord % 20 = 0").select(F.col("stem").alias("dst"))
+    index = p.filter(F.contains("text", F.lit("\n# en "))).select(F.col("stem").alias("dst"))
     return rp.autofix_report(rp.rewrite_links(p), rp.normalize_taxonomy_links(p), rp.complete_index(p, index).unionByName(rp.relink_orphans(p)))
 
 
@@ -254,11 +256,11 @@ def _(t):
     return out.select("page_id", F.col("failed").cast("int").alias("failed"), F.col("n_links").cast("int").alias("n_links"))
 
 
-@query("mrg13_rename_extractions", "SELECT CAST(doc_id AS VARCHAR) AS stem, concat('s', doc_id, '-x') AS session_id FROM documents WHERE doc_id >= 100 AND doc_id < 10000")
+@query("mrg13_rename_extractions", "SELECT CAST(doc_id AS VARCHAR) AS stem, concat('s', doc_id, '-x') AS session_id FROM documents")
 def _(t):
     from talkweave.operators.merges import rename_extractions
 
-    d = t.read("documents").filter("doc_id >= 100 AND doc_id < 10000")
+    d = t.read("documents")
     ext = d.select(F.concat(F.lit("s"), "doc_id", F.lit("-")).alias("stem"))
     sessions = d.select(F.concat(F.lit("s"), "doc_id", F.lit("-x")).alias("session_id"))
     out = rename_extractions(ext, sessions)

@@ -61,13 +61,14 @@ def taxonomy_document(categories: DataFrame, concepts: DataFrame, source: str, g
     """Categories and concepts as one JSON document. Both are dictionaries, not data."""
     cats = categories.agg(F.sort_array(F.collect_list(F.struct("ord", "id", "title", "overview"))).alias("c"))
     cons = concepts.agg(F.sort_array(F.collect_list(F.struct("ord", "id", "title", "definition", "related_doc_indices"))).alias("k"))
+    both = cats.withColumn("k", cons.scalar())
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX") if generated_at is None else generated_at
     doc = F.to_json(F.struct(
         stamp.alias("generated_at"), F.lit(source).alias("source"),
         F.transform("c", lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["overview"].alias("overview"))).alias("categories"),
-        F.transform(cons.scalar(), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["definition"].alias("definition"),
+        F.transform("k", lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["definition"].alias("definition"),
                                                       x["related_doc_indices"].alias("related_doc_indices"))).alias("concepts")))
-    return cats.select(doc.alias("value"))
+    return both.select(doc.alias("value"))
 
 
 def write_taxonomy(categories: DataFrame, concepts: DataFrame, path: str, source: str = "cursor-agent") -> None:
