@@ -60,7 +60,7 @@ def _(t):
 TURN_TEXT = W + """, d AS (SELECT session_id, turn_id, string_agg(text, '' ORDER BY seq, event_id) AS assistant_text, min(event_time) AS f FROM j WHERE type = 'llm_delta' AND alive GROUP BY 1, 2),
 dn AS (SELECT session_id, turn_id, min(event_time) AS e FROM j WHERE type = 'audio_complete' AND alive GROUP BY 1, 2),
 ct AS (SELECT session_id, turn_id, max(CASE WHEN arr = c THEN event_time END) AS ct, max(CASE WHEN arr = x THEN event_time END) AS xt FROM j GROUP BY 1, 2)
-SELECT b.session_id, b.turn_id, 0::BIGINT AS part, coalesce(assistant_text, '') AS assistant_text, coalesce(epoch_ms(f) - epoch_ms(ct), 0) AS llm_first_token_ms, epoch_ms(coalesce(e, xt)) - epoch_ms(ct) AS latency_ms_e2e,
+SELECT b.session_id, b.turn_id, 0::BIGINT AS part, coalesce(assistant_text, '') AS assistant_text, coalesce((epoch_us(f) // 1000) - (epoch_us(ct) // 1000), 0) AS llm_first_token_ms, (epoch_us(coalesce(e, xt)) // 1000) - (epoch_us(ct) // 1000) AS latency_ms_e2e,
  CASE WHEN e IS NOT NULL THEN 'ok' WHEN xt IS NOT NULL THEN 'cancelled' ELSE 'open' END AS status
 FROM b LEFT JOIN d USING (session_id, turn_id) LEFT JOIN dn USING (session_id, turn_id) LEFT JOIN ct USING (session_id, turn_id)"""
 

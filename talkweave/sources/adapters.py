@@ -203,7 +203,7 @@ voice AS (
   SELECT event_id, concat('s', user_id) AS session_id, concat('t', k // 4) AS turn_id, k AS seq,
          CASE event_type WHEN 'click' THEN 'turn_commit_request' WHEN 'error' THEN 'cancel' WHEN 'view' THEN 'llm_delta'
               WHEN 'purchase' THEN 'audio_complete' ELSE 'vad_event' END AS type,
-         concat('w', k, CASE WHEN k % 5 = 0 THEN '，' ELSE '' END) AS text, ts AS event_time, epoch_ms(ts) AS timestamp_ms
+         concat('w', k, CASE WHEN k % 5 = 0 THEN '，' ELSE '' END) AS text, ts AS event_time, epoch_us(ts) // 1000 AS timestamp_ms
   FROM ek)"""
 LINKS_SQL = """hrefs AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href,
