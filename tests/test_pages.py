@@ -48,7 +48,8 @@ def test_findings(wiki):
     broken = {(r.src, r.dst) for r in gr.broken_links(edges.filter("kind = 'wikilink'"), wiki).collect()}
     assert broken == {("分类-软件", "问答-已删除"), ("index", "分类-缺失")} or ("分类-软件", "问答-带[括号") in broken
     alone = {r.stem for r in gr.orphans(wiki, edges).collect()}
-    assert {"问答-孤儿", "分类-计费"} <= alone and "问答-充值" not in alone
+    # a front-matter link counts, so the category of the orphan is linked
+    assert "问答-孤儿" in alone and not {"问答-充值", "分类-计费"} & alone
     assert "问答-充值" in {r.stem for r in gr.orphans(wiki, edges, ["wikilink"]).collect()}
     assert [r.stem for r in gr.missing_heading(wiki).collect()] == ["分类-计费"]
     assert [r.stem for r in gr.concept_backlinks(wiki, edges).collect()] == ["概念-高斯"]
@@ -79,7 +80,7 @@ def test_repairs_leave_no_broken_link(wiki):
 
 def test_lines_to_add(wiki):
     lines = {(r.page, r.ord): r.section for r in rp.relink_orphans(wiki).collect()}
-    assert lines[("分类-计费", "问答-孤儿")] == "## 补链索引（孤儿页）" and ("index", "分类-计费") in lines
+    assert lines[("分类-计费", "问答-孤儿")] == "## 补链索引（孤儿页）" and ("index", "分类-计费") not in lines
     out = {r.stem: r.text for r in rp.apply_additions(wiki, rp.relink_orphans(wiki)).filter("part = 0").collect()}
     assert out["分类-计费"].rstrip().endswith("- [[问答-孤儿]]")
     back = [(r.page, r.ord) for r in rp.backfill_concept_faqs(wiki).orderBy("ord").collect()]
