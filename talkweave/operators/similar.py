@@ -137,25 +137,37 @@ def similar_question_pairs(faqs: DataFrame, threshold: float = rules.SIMILARITY,
     return copies.unionByName(contained).unionByName(same).unionByName(other).groupBy("left", "right").agg(F.max("score").alias("score"))
 
 
+def _follow(hooks: DataFrame) -> DataFrame:
+    """Resolve chains of hooks (id, to) to their ends; every step doubles the distance."""
+    while True:
+        onward = hooks.select(F.col("id").alias("to"), F.col("to").alias("_next"))
+        moved = cut_lineage(hooks.join(onward, "to", "left").select("id", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("_moved")))
+        hooks = moved.select("id", "to")
+        if moved.filter("_moved").isEmpty():
+            return hooks
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id per vertex (id, component).
 
-    Every round takes the smallest label among neighbours and then follows labels one
-    step further, so labels travel twice as far each time. Hubs cost one partial
-    minimum per task. The state is written out after each round.
+    Every round hooks each remaining node to its smallest neighbour, follows the hooks to
+    their ends and contracts the edges, which at least halves the nodes that still have
+    edges. Hubs cost one partial minimum per task. The state is written out each round.
     """
-    both = edges.select("left", "right").unionByName(edges.select(F.col("right").alias("left"), F.col("left").alias("right")))
-    both = cut_lineage(both.filter("left <> right").distinct())
-    labels = cut_lineage(vertices.select("id", F.col("id").alias("component")))
+    labels = vertices.select("id", F.col("id").alias("component"))
+    left = edges.select("left", "right").filter("left <> right").distinct()
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("id").alias("right"), "component"), "right").groupBy("left").agg(F.min("component").alias("_near"))
-        hooked = labels.join(near.withColumnRenamed("left", "id"), "id", "left").select(
-            "id", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("component"))
-        jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("_next"))
-        moved = cut_lineage(hooked.join(jump, "component", "left").select("id", "_old", F.least("component", F.coalesce("_next", "component")).alias("component")))
-        labels = moved.select("id", "component")
-        if moved.filter("component <> _old").isEmpty():
+        both = left.unionByName(left.select(F.col("right").alias("left"), F.col("left").alias("right")))
+        near = both.groupBy(F.col("left").alias("id")).agg(F.min("right").alias("to")).filter("to < id")
+        hooks = _follow(cut_lineage(near))
+        if hooks.isEmpty():
             return labels
+        to = hooks.select(F.col("id").alias("component"), F.col("to").alias("_to"))
+        labels = cut_lineage(labels.join(to, "component", "left").select("id", F.coalesce("_to", "component").alias("component")))
+        for side in ("left", "right"):
+            end = hooks.select(F.col("id").alias(side), F.col("to").alias("_to"))
+            left = left.join(end, side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+        left = cut_lineage(left.filter("left <> right").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
