@@ -54,12 +54,14 @@ def match_cancels(events: DataFrame, claimed: Column | None = None) -> DataFrame
     ``claimed`` is the generation a cancel names; by default it names the turn's own.
     """
     own = generation_id(F.col("turn_id"))
-    cancels = events.filter("type = 'cancel'").withColumn("generation_id", own if claimed is None else claimed)
-    right = cancels.filter(F.col("generation_id") == own)
-    bounds = turn_bounds(events.filter("type = 'turn_commit_request'").unionByName(right.drop("generation_id")))
+    named = events.withColumn("_named", own if claimed is None else claimed)
+    cols = [*TURN, *ARRIVAL, "type", "_named"]
+    cancels = named.filter("type = 'cancel'").select(*cols)
+    effective = cancels.filter(F.col("_named") == own)
+    bounds = turn_bounds(named.filter("type = 'turn_commit_request'").select(*cols).unionByName(effective))
     return cancels.join(bounds, TURN, "left").select(
-        *TURN, "event_id", "event_time", "generation_id",
-        F.coalesce((F.col("generation_id") == own) & (_arrival() == F.col("cancel")), F.lit(False)).alias("cancelled"))
+        *TURN, "event_id", "event_time", F.col("_named").alias("generation_id"),
+        F.coalesce((F.col("_named") == own) & (_arrival() == F.col("cancel")), F.lit(False)).alias("cancelled"))
 
 
 def suppress_cancelled(events: DataFrame) -> DataFrame:
