@@ -1,6 +1,8 @@
 """Stateful turn operators on streams: commit once, cancel, state, sequence and segments.
 
-State lives per turn (or session) and expires, so nothing grows without bound.
+State lives per turn and expires, so nothing grows without bound. Expiry needs the
+processing-time clock, which keeps a query running; a run that should end with its
+input (``availableNow``) passes ``ttl_ms=None``.
 """
 
 from __future__ import annotations
@@ -21,13 +23,25 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["event_time", "event_id"], kind="stable")
 
 
-class TurnDecisions(StatefulProcessor):
+class ExpiringProcessor(StatefulProcessor):
+    """A processor whose state expires ``ttl_ms`` after its last update (None: never)."""
+
+    schema = ""
+
+    def __init__(self, ttl_ms: int | None = TTL_MS) -> None:
+        self.ttl_ms = ttl_ms
+
+    def close(self) -> None:
+        pass
+
+
+class TurnDecisions(ExpiringProcessor):
     """Commit outcomes, cancel acknowledgements and session states of one turn."""
 
     schema = "session_id string, turn_id string, event_id bigint, outcome string, generation_id string, cancelled boolean, state string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turn = handle.getValueState("turn", "committed boolean, generation_id string", ttlDurationMs=TTL_MS)
+        self.turn = handle.getValueState("turn", "committed boolean, generation_id string", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         committed, active = self.turn.get() if self.turn.exists() else (False, "")
@@ -55,17 +69,14 @@ class TurnDecisions(StatefulProcessor):
         result.insert(0, "session_id", key[0])
         yield result
 
-    def close(self) -> None:
-        pass
-
 
-class SequenceCheck(StatefulProcessor):
+class SequenceCheck(ExpiringProcessor):
     """Flags of sequence numbers inside a turn against the greatest one seen so far."""
 
     schema = "session_id string, turn_id string, event_id bigint, seq bigint, flag string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.greatest = handle.getValueState("greatest", "seq bigint", ttlDurationMs=TTL_MS)
+        self.greatest = handle.getValueState("greatest", "seq bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         top = self.greatest.get()[0] if self.greatest.exists() else None
@@ -83,18 +94,15 @@ class SequenceCheck(StatefulProcessor):
         self.greatest.update((top,))
         yield pd.DataFrame(out, columns=["session_id", "turn_id", "event_id", "seq", "flag"])
 
-    def close(self) -> None:
-        pass
-
 
-class SegmentCutter(StatefulProcessor):
+class SegmentCutter(ExpiringProcessor):
     """Speakable segments of a turn: the rest of a delta waits for the next one."""
 
     schema = "session_id string, turn_id string, chunk_index bigint, text string"
     max_run = 120
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", "buffer string, next bigint", ttlDurationMs=TTL_MS)
+        self.rest = handle.getValueState("rest", "buffer string, next bigint", ttlDurationMs=self.ttl_ms)
 
     def cut(self, buffer: str) -> tuple[list[str], str]:
         pieces, start = [], 0
@@ -120,27 +128,25 @@ class SegmentCutter(StatefulProcessor):
         self.rest.update((buffer, index))
         yield pd.DataFrame(out, columns=["session_id", "turn_id", "chunk_index", "text"])
 
-    def close(self) -> None:
-        pass
-
 
-def _apply(events: DataFrame, processor: StatefulProcessor) -> DataFrame:
+def _apply(events: DataFrame, processor: ExpiringProcessor) -> DataFrame:
     return events.groupBy("session_id", "turn_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode="ProcessingTime")
+        statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append",
+        timeMode="None" if processor.ttl_ms is None else "ProcessingTime")
 
 
-def turn_decisions(events: DataFrame) -> DataFrame:
+def turn_decisions(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """Stream of outcomes for commits, cancels, deltas and completions (event_id, event_time, type, generation_id)."""
-    return _apply(events, TurnDecisions())
+    return _apply(events, TurnDecisions(ttl_ms))
 
 
-def sequence_flags(events: DataFrame) -> DataFrame:
-    return _apply(events, SequenceCheck())
+def sequence_flags(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
+    return _apply(events, SequenceCheck(ttl_ms))
 
 
-def stream_segments(events: DataFrame) -> DataFrame:
+def stream_segments(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """Segments from deltas; an ``audio_complete`` event drains what is left."""
-    return _apply(events.filter("type IN ('llm_delta', 'audio_complete')"), SegmentCutter())
+    return _apply(events.filter("type IN ('llm_delta', 'audio_complete')"), SegmentCutter(ttl_ms))
 
 
 def audit_sink(path: str):

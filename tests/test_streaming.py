@@ -63,7 +63,7 @@ def test_cancel_in_the_middle(batch):
 
 
 def test_stream_decisions_equal_batch(spark, tmp_path, batch):
-    got = stream(spark, tmp_path, EVENTS, "decisions", st.turn_decisions, files=3)
+    got = stream(spark, tmp_path, EVENTS, "decisions", lambda e: st.turn_decisions(e, None), files=3)
     out = {r.event_id: r for r in got}
     want = {r.event_id: r.outcome for r in tn.commit_once(batch).collect()}
     assert {i: out[i].outcome for i in want} == want
@@ -81,7 +81,7 @@ def test_commit_is_accepted_once(spark, tmp_path):
 def test_segments_carry_over(spark, tmp_path):
     rows = [ev(1, "t1", "llm_delta", 0, "你好"), ev(2, "t1", "llm_delta", 1, "，世界。仅"), ev(3, "t1", "llm_delta", 2, "一段"), ev(4, "t1", "audio_complete", 3),
             ev(5, "t2", "llm_delta", 0, "a" * 130)]
-    got = stream(spark, tmp_path, rows, "segments", st.stream_segments, files=5)
+    got = stream(spark, tmp_path, rows, "segments", lambda e: st.stream_segments(e, None), files=5)
     one = [r.text for r in sorted((r for r in got if r.turn_id == "t1"), key=lambda r: r.chunk_index)]
     assert one == ["你好，", "世界。", "仅一段"]
     assert [r.text for r in got if r.turn_id == "t2"] == ["a" * 120]
@@ -92,7 +92,7 @@ def test_segments_carry_over(spark, tmp_path):
 
 def test_sequence_flags(spark, tmp_path, batch):
     rows = [ev(i, "t1", "llm_delta", q) for i, q in enumerate((0, 1, 1, 3, 2, 4))]
-    got = {r.event_id: r.flag for r in stream(spark, tmp_path, rows, "flags", st.sequence_flags, files=2)}
+    got = {r.event_id: r.flag for r in stream(spark, tmp_path, rows, "flags", lambda e: st.sequence_flags(e, None), files=2)}
     assert got == {0: "ok", 1: "ok", 2: "duplicate", 3: "gap", 4: "late", 5: "ok"}
     flags = {r.event_id: r.flag for r in tn.seq_gaps(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert flags == {0: "ok", 1: "ok", 2: "duplicate", 3: "gap", 4: "out_of_order", 5: "ok"}
