@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkweave.llm import exact
+from talkweave.llm import exact, packing, tokens
+from talkweave.llm.common import kept, shared_folder
 from talkweave.session import configure
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,6 +21,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[..., DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             configure(spark)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # texts may be long
             return fn(spark, lambda table: spark.read.parquet(f"{folder}/{table}.parquet"))
 
         QUERIES[name] = run
@@ -34,3 +39,18 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """)
 def op10(spark, read):
     return exact.exact_groups(read("documents"), keep="largest").drop("row")
+
+
+@query("op2_packing")
+def op2(spark, read):
+    pieces = packing.pack_pieces(read("documents"), TOKENIZER)
+    digests = kept(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.number_sequences(digests).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded")
+
+
+@query("op4_token_files")
+def op4(spark, read):
+    path = shared_folder(spark)
+    tokens.write_tokens(read("documents"), path, TOKENIZER)
+    return tokens.token_digests(spark, path)
