@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkweave.llm import exact, packing, tokens
+from talkweave.llm import exact, fingerprints, mixing, packing, tokens
 from talkweave.llm.common import kept, shared_folder
 from talkweave.session import configure
 
@@ -54,3 +54,37 @@ def op4(spark, read):
     path = shared_folder(spark)
     tokens.write_tokens(read("documents"), path, TOKENIZER)
     return tokens.token_digests(spark, path)
+
+
+@query("op3_fingerprints")
+def op3(spark, read):
+    return fingerprints.neighbour_fingerprints(read("documents"))
+
+
+@query("op7_source_mix", """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2 AS cap FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+            - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w),
+t AS (
+  SELECT source, source_size, CASE WHEN cap / weight < level THEN cap::DOUBLE
+         ELSE least(weight * max(CASE WHEN cap / weight >= level THEN level END) OVER (), cap::DOUBLE) END AS target
+  FROM l),
+o AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+r AS (
+  SELECT o.doc_id, o.size, t.source_size, t.target, o.before, floor(floor(t.target) / greatest(t.source_size, 1)) AS whole
+  FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (whole * size + greatest(0, least(size, floor(target) - whole * source_size - before)))::BIGINT AS taken
+FROM r
+""")
+def op7(spark, read):
+    return mixing.mix(read("documents"), mixing.cyclic_weights([3, 1, 2])).drop("source")
