@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkweave.llm import exact, fingerprints, mixing, packing, tokens
+from talkweave.llm import exact, fingerprints, mixing, packing, simhash, tokens
 from talkweave.llm.common import kept, shared_folder
 from talkweave.session import configure
 
@@ -88,3 +88,8 @@ FROM r
 """)
 def op7(spark, read):
     return mixing.mix(read("documents"), mixing.cyclic_weights([3, 1, 2])).drop("source")
+
+
+@query("op6_simhash")
+def op6(spark, read):
+    return simhash.near_duplicates(read("documents")).drop("digest")
