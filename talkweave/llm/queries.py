@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkweave.llm import exact, fingerprints, mixing, packing, simhash, tokens
+from talkweave.llm import exact, fingerprints, mixing, packing, simhash, tokens, toxicity
 from talkweave.llm.common import kept, shared_folder
 from talkweave.session import configure
 
@@ -93,3 +93,8 @@ def op7(spark, read):
 @query("op6_simhash")
 def op6(spark, read):
     return simhash.near_duplicates(read("documents")).drop("digest")
+
+
+@query("op5_toxicity")
+def op5(spark, read):
+    return toxicity.score_documents(read("documents"), read("labels"))
