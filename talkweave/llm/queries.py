@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkweave.llm import exact, fingerprints, mixing, packing, simhash, tokens, toxicity
+from talkweave.llm import exact, fingerprints, lines, mixing, packing, simhash, tokens, toxicity
 from talkweave.llm.common import kept, shared_folder
 from talkweave.session import configure
 
@@ -98,3 +98,21 @@ def op6(spark, read):
 @query("op5_toxicity")
 def op5(spark, read):
     return toxicity.score_documents(read("documents"), read("labels"))
+
+
+@query("op1_line_dedup", """
+WITH m AS (SELECT doc_id, coalesce(text, '') AS text,
+                  string_split(regexp_replace(regexp_replace(coalesce(text, ''), '(\\n)', '\\1' || chr(1), 'g'), '([.!?] )', '\\1' || chr(1), 'g'), chr(1)) AS units
+           FROM documents),
+u AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS pos FROM m),
+n AS (SELECT *, trim(regexp_replace(lower(unit), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM u WHERE unit <> ''),
+k AS (SELECT *, len(string_split(norm, ' ')) < 5 OR row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) = 1 AS keep FROM n),
+g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (NOT keep) AS n_removed, coalesce(sum(length(unit)) FILTER (NOT keep), 0)::BIGINT AS removed_chars,
+             coalesce(string_agg(unit, '' ORDER BY pos) FILTER (keep), '') AS left_text
+      FROM k GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars,
+       sha256(coalesce(left_text, '')) AS kept_sha256
+FROM m LEFT JOIN g USING (doc_id)
+""")
+def op1(spark, read):
+    return lines.remove_repeats(read("documents")).select("doc_id", "n_units", "n_removed", "removed_chars", F.sha2("text", 256).alias("kept_sha256"))
