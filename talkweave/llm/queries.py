@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkweave.llm import exact, fingerprints, lines, mixing, packing, simhash, tokens, toxicity
+from talkweave.llm import exact, fingerprints, lines, mixing, ordinal, packing, simhash, tokens, toxicity
 from talkweave.llm.common import kept, shared_folder
 from talkweave.session import configure
 
@@ -116,3 +116,12 @@ FROM m LEFT JOIN g USING (doc_id)
 """)
 def op1(spark, read):
     return lines.remove_repeats(read("documents")).select("doc_id", "n_units", "n_removed", "removed_chars", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op9_ordinal_quality")
+def op9(spark, read):
+    # Grades: 0 poor, 1 good but toxic, 2 good.
+    labels = read("labels")
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade"))
+    return ordinal.grade_documents(read("documents"), ratings, 3).select(
+        "doc_id", "held_out", "expected_grade", F.element_at("tails", 1).alias("p_good"), F.element_at("tails", 2).alias("p_best"), "selected")
