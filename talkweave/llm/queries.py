@@ -17,11 +17,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings the operators rely on."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # texts may be long
+
+
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[..., DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            configure(spark)
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # texts may be long
+            prepare(spark)
             return fn(spark, lambda table: spark.read.parquet(f"{folder}/{table}.parquet"))
 
         QUERIES[name] = run
@@ -41,14 +46,18 @@ def op10(spark, read):
     return exact.exact_groups(read("documents"), keep="largest").drop("row")
 
 
-@query("op2_packing")
-def op2(spark, read):
-    pieces = packing.pack_pieces(read("documents"), TOKENIZER)
+def number_digests(pieces: DataFrame) -> DataFrame:
+    """Pieces with a checksum in place of their ids, and sequences numbered throughout."""
     digests = kept(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packing.number_sequences(digests).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded")
 
 
+@query("op2_packing")
+def op2(spark, read):
+    return number_digests(packing.pack_pieces(read("documents"), TOKENIZER))
+
+
 @query("op4_token_files")
 def op4(spark, read):
     path = shared_folder(spark)
