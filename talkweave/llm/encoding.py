@@ -12,18 +12,37 @@ import regex
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 AGREED = regex.compile("[\t\n\r\x20-\x7e¡-ɏ‐-‧‰-⁞€]*+")
 
+# A byte's character in the vocabulary: itself where it prints, else the next one from 256 on.
+_PRINTS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+_BYTES = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTS))}
+
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+class _Known(dict):
+    """Ids by unit; a new unit is worked out, and remembered while there is room."""
+
+    def __init__(self, work, limit: int) -> None:
+        super().__init__()
+        self.work, self.limit = work, limit
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.work(unit)
+        if len(self) < self.limit:
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by the ``tokenizers`` library.
 
-    A byte-level vocabulary never merges across its words, so every distinct word is encoded by the
-    library once and looked up afterwards. At most ``words`` words are remembered. Texts with
-    characters outside ``AGREED`` go to the library as they are.
+    A byte-level vocabulary never merges across its words, so what stands between two single spaces is
+    encoded by the library's model once and looked up afterwards; at most ``units`` are remembered. Texts
+    in which a space is followed by another blank are split word by word, and texts with characters
+    outside ``AGREED`` go to the library as they are.
     """
 
-    def __init__(self, path: str, words: int = 250_000) -> None:
+    def __init__(self, path: str, units: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -32,24 +51,33 @@ class Encoder:
         pre = self.tokenizer.pre_tokenizer
         self.by_word = (isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
                         and self.tokenizer.normalizer is None)
-        self.words = words
-        self.known: dict[str, bytes] = {}
+        if self.by_word:
+            self.tokenizer.model._resize_cache(0)
+        self.words = _Known(self._word, units // 10)
+        self.spaced = _Known(self._after_space, units)
+
+    def _model(self, characters: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(characters)])
+
+    def _word(self, word: str) -> bytes:
+        return self._model(word.encode("utf-8").decode("latin-1").translate(_BYTES))
+
+    def _after_space(self, unit: str) -> bytes:
+        if not unit.isalpha():
+            return self._words(" " + unit)
+        return self._model(_BYTES[32] + unit) if unit.isascii() else self._word(" " + unit)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, SPLIT.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not self.by_word or AGREED.fullmatch(text) is None:
-            return self._library([text])[0]
-        words = SPLIT.findall(text)
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > self.words:
-                self.known.clear()
-                new = list(set(words))
-            self.known.update(zip(new, self._library(new)))
-        return b"".join(map(self.known.__getitem__, words))
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if "  " in text or " \n" in text or " \t" in text or " \r" in text:
+            return self._words(text)
+        first, *rest = text.split(" ")
+        return self._words(first) + b"".join(map(self.spaced.__getitem__, rest))
 
     def ends_sentence(self) -> np.ndarray:
         """For every id whether its string ends a sentence or a line."""
