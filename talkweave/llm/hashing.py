@@ -23,7 +23,7 @@ _CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if len(_POWERS.get("up", ())) < n:
         n = max(n, SEGMENT + 4096)
@@ -50,7 +50,7 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if stop <= at:
             stop = joined.find(b"\n", at) + 1
         data = np.frombuffer(joined, dtype=np.uint8, count=stop - at, offset=at)
-        up, down = _powers(len(data) + 1)
+        up, down = powers(len(data) + 1)
         blank = _BLANK[data]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).view(np.int8)))
         first, end = edge[::2], edge[1::2]  # every segment ends with a blank
@@ -68,3 +68,8 @@ def bounds_by_text(texts: Sequence[bytes], starts: np.ndarray) -> np.ndarray:
     """For n texts n + 1 indices into ``starts``: words of text i are [i], [i + 1]."""
     ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return np.searchsorted(starts, ends)
+
+
+def byte_codes() -> np.ndarray:
+    """A fixed 64-bit number for every byte value."""
+    return _CODES

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkweave.llm import exact, fingerprints, lines, mixing, ordinal, packing, simhash, tokens, toxicity
+from talkweave.llm import exact, fingerprints, lines, mixing, ordinal, packing, simhash, suffix, tokens, toxicity
 from talkweave.llm.common import kept, shared_folder
 from talkweave.session import configure
 
@@ -134,3 +134,10 @@ def op9(spark, read):
     ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade"))
     return ordinal.grade_documents(read("documents"), ratings, 3).select(
         "doc_id", "held_out", "expected_grade", F.element_at("tails", 1).alias("p_good"), F.element_at("tails", 2).alias("p_best"), "selected")
+
+
+@query("op8_suffix_blocks")
+def op8(spark, read):
+    found = suffix.remove_repeated_substrings(read("documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
