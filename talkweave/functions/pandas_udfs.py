@@ -59,38 +59,6 @@ def rms(samples: pd.Series) -> pd.Series:
     return samples.map(one).astype("float64")
 
 
-class _VisibleText(HTMLParser):
-    hidden = frozenset(("script", "style", "noscript"))
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.parts: list[str] = []
-        self.depth = 0
-
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.hidden
-
-    def handle_endtag(self, tag):
-        if tag in self.hidden:
-            self.depth = max(0, self.depth - 1)
-
-    def handle_data(self, data):
-        if not self.depth and data.strip():
-            self.parts.append(data.strip())
-
-
-def visible_text(html: str | None) -> str:
-    parser = _VisibleText()
-    parser.feed(html or "")
-    parser.close()
-    return "\n".join(parser.parts)
-
-
-@F.pandas_udf(T.StringType())
-def html_to_text(html: pd.Series) -> pd.Series:
-    return html.map(visible_text)
-
-
 class _Outline(HTMLParser):
     """Collects block elements with the container they sit in."""
 

@@ -2,29 +2,18 @@
 
 A needle can only occur where all of its character grams occur, so candidates come
 from an equality join on one gram of each needle (its rarest) and are then verified.
-A small, counted set of needles is instead searched in one pass over each text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # the join form needs no library
-    ahocorasick = None
-
-SMALL_DICTIONARY = 100_000
+GRAM = 4
 
 
 def grams(c: Column, n: int) -> Column:
-    """Distinct grams of length ``n`` (empty for shorter texts)."""
-    spots = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
-    pieces = F.array_distinct(F.transform(spots, lambda i: c.substr(i, F.lit(n))))
-    return F.when(F.length(c) >= n, pieces).otherwise(F.array().cast("array<string>"))
+    """Distinct grams of length ``n`` (empty for shorter texts), in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def contains_join(needles: DataFrame, texts: DataFrame, n: int = 4, proper: bool = False,
@@ -54,41 +43,25 @@ def contains_join(needles: DataFrame, texts: DataFrame, n: int = 4, proper: bool
     return checked.select("needle_id", "text_id")
 
 
-def keyword_hits(pages: DataFrame, keywords: DataFrame, small: int = SMALL_DICTIONARY) -> DataFrame:
+def keyword_hits(pages: DataFrame, keywords: DataFrame) -> DataFrame:
     """Rows (page_id, keyword, in_title, in_text) for every keyword found in a page.
 
-    ``pages``: page_id, title, text (lower case); ``keywords``: keyword. The number of
-    distinct keywords is checked: up to ``small`` they are searched in one pass per
-    page, beyond that the gram join is used.
+    ``pages``: page_id, title, text (lower case); ``keywords``: keyword. Pages give up only grams that
+    some keyword has, a keyword is looked for where its rarest gram occurs (one of up to ``GRAM``
+    characters), and each page meets its candidates once.
     """
     words = keywords.select("keyword").filter(F.length("keyword") > 0).distinct()
-    listed = [r[0] for r in words.limit(small + 1).collect()] if ahocorasick is not None and small > 0 else None
-    if listed is not None and len(listed) <= small:
-        return pages.select("page_id", "title", "text").mapInPandas(
-            _search_with(listed), f"page_id {pages.schema['page_id'].dataType.simpleString()}, keyword string, in_title boolean, in_text boolean")
-    needles = words.select(F.col("keyword").alias("needle_id"), F.col("keyword").alias("needle"))
-    found = []
-    for field in ("title", "text"):
-        hits = contains_join(needles, pages.select(F.col("page_id").alias("text_id"), F.col(field).alias("text")), shortest=2)
-        found.append(hits.select(F.col("text_id").alias("page_id"), F.col("needle_id").alias("keyword"),
-                                 F.lit(field == "title").alias("t"), F.lit(field == "text").alias("x")))
-    return found[0].unionByName(found[1]).groupBy("page_id", "keyword").agg(
-        F.bool_or("t").alias("in_title"), F.bool_or("x").alias("in_text"))
-
-
-def _search_with(words: list[str]):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, w)
-        if words:
-            automaton.make_automaton()
-        for batch in batches:
-            rows = []
-            for page_id, title, text in zip(batch["page_id"], batch["title"], batch["text"]):
-                in_title = {w for _, w in automaton.iter(title)} if words and title else set()
-                in_text = {w for _, w in automaton.iter(text)} if words and text else set()
-                rows.extend((page_id, w, w in in_title, w in in_text) for w in in_title | in_text)
-            yield pd.DataFrame(rows, columns=["page_id", "keyword", "in_title", "in_text"])
-
-    return search
+    whole = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    sizes = F.flatten(F.array(*[grams(whole, k) for k in range(1, GRAM + 1)]))
+    on_pages = pages.select("page_id", F.explode(sizes).alias("gram"))
+    own = words.select("keyword", F.explode(F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(grams(F.col("keyword"), GRAM))).alias("gram"))
+    frequency = on_pages.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = own.join(frequency, "gram", "left").groupBy("keyword").agg(
+        F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("gram").alias("gram"))).alias("_r")).filter("_r.df > 0")
+    met = on_pages.join(rarest.select("keyword", F.col("_r.gram").alias("gram")), "gram")
+    # at most the keywords whose rarest gram this page has
+    per_page = met.groupBy("page_id").agg(F.collect_list("keyword").alias("_k"))
+    found = F.transform("_k", lambda k: F.struct(k.alias("keyword"), F.coalesce(F.contains("title", k), F.lit(False)).alias("in_title"),
+                                                 F.coalesce(F.contains("text", k), F.lit(False)).alias("in_text")))
+    rows = pages.select("page_id", "title", "text").join(per_page, "page_id").select("page_id", F.explode(found).alias("f"))
+    return rows.select("page_id", "f.*").filter("in_title OR in_text")

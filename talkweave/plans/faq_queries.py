@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talkweave.functions import text as tx
 from talkweave.functions import urls as ux
-from talkweave.functions.pandas_udfs import html_to_text
+from talkweave.functions.html import html_to_text
 from talkweave.operators import docs as dc
 from talkweave.operators import faq as fq
 from talkweave.operators import rulematch as rm
@@ -390,7 +390,7 @@ def _(t):
     from talkweave.sources.readers import parse_web_docs
 
     doc = F.concat(F.lit("---\nsource_type: website\nsource_url: "), "url", F.lit("\ntitle: "), "title", F.lit("\nfilename_core: page-"), "page_id",
-                   F.lit("\n---\n\n# "), "title", F.lit("\n\n"), html_to_text("html"))
+                   F.lit("\n---\n\n# "), "title", F.lit("\n\n"), html_to_text(F.col("html")))
     files = t.page_titles().select(F.concat(F.lit("file:/raw/site/"), "page_id", F.lit(".md")).alias("file_path"), F.lit(1).alias("file_size"), doc.alias("text"))
     return parse_web_docs(files).select("source_url", "title", "core_name", "source_site", F.md5("content").alias("content"))
 

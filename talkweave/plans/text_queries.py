@@ -9,7 +9,7 @@ from talkweave.functions import links as lk
 from talkweave.functions import scoring as sc
 from talkweave.functions import text as tx
 from talkweave.functions import urls as ux
-from talkweave.functions.pandas_udfs import html_to_text
+from talkweave.functions.html import html_to_text
 from talkweave.plans import sqltext as s
 from talkweave.plans.registry import query
 from talkweave.sources.adapters import CHAT_SQL, WIKI_SQL
@@ -309,9 +309,19 @@ def _(t):
                                  tx.md_section(F.col("text"), "## 操作步骤").alias("steps"))
 
 
-@query("txt33_html_to_text")
+_HTML_GAPS = "(?is)<!--.*?-->|<[!?][^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|</?[a-z][^>]*>"
+
+
+def visible_text_sql(column: str) -> str:
+    shown = "x"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        shown = f"regexp_replace({shown}, '&{name};?', '{char}', 'g')"
+    return f"array_to_string(list_filter(list_transform(string_split_regex({column}, '{_HTML_GAPS}'), lambda x: {s.strip(shown)}), lambda x: x <> ''), chr(10))"
+
+
+@query("txt33_html_to_text", f"WITH v AS (SELECT page_id, {visible_text_sql('html')} AS t FROM pages) SELECT page_id, md5(t) AS h, length(t) AS n FROM v")
 def _(t):
-    text = html_to_text("html")
+    text = html_to_text(F.col("html"))
     return t.read("pages").select("page_id", F.md5(text).alias("h"), F.length(text).alias("n"))
 
 

@@ -6,7 +6,8 @@ from talkweave.functions import links as lk
 from talkweave.functions import scoring as sc
 from talkweave.functions import text as tx
 from talkweave.functions import urls as ux
-from talkweave.functions.pandas_udfs import bounded_ratio, page_outline, visible_text
+from talkweave.functions.html import html_to_text, unescape
+from talkweave.functions.pandas_udfs import bounded_ratio, page_outline
 
 
 def test_mojibake_and_normalisation(evaluate):
@@ -104,8 +105,13 @@ def test_time_bounds(evaluate):
     assert evaluate(lambda c: F.date_format(tx.parse_time_bound(c, True), "HH:mm:ss"), "2024-05-01") == "23:59:59"
 
 
+def test_visible_text(evaluate):
+    shown = evaluate(html_to_text, "<html><script>bad()</script><body><h1>标题</h1><p>正文</p></body></html>", "a<!-- <b>x</b> -->b<br title='1>0'>c &amp;lt; d<style>p{}</style><SCRIPT>x", None, " plain ")
+    assert shown == ["标题\n正文", "a\nb\nc &lt; d", "", "plain"]
+    assert evaluate(unescape, "&#20013;&#x6587; &#128512; &#0; &# &lt;b&gt; a&amp;b&nbsp;c &am") == "中文 😀 &#0; &# <b> a&b\u00a0c &am"
+
+
 def test_html():
-    assert visible_text("<html><script>bad()</script><body><h1>标题</h1><p>正文</p></body></html>") == "标题\n正文"
     title, body, h2 = page_outline(
         "<title>T</title><body><nav><p>menu</p></nav><article><h1>T</h1><h2>Part</h2><p>one<p>two<ul><li>x</li></ul><pre>a\nb</pre></article><p>after</p></body>")
     assert (title, h2) == ("T", ["Part"])
