@@ -208,7 +208,7 @@ def url_category(c: Column) -> Column:
     for area, fragments, category in reversed(rules.URL_CATEGORY_RULES):
         test = F.contains(u, F.lit(area))
         if fragments:
-            any_hit = [reduce(lambda a, b: a & b, [F.contains(u, F.lit(x)) for x in f.split("&")]) for f in fragments]
+            any_hit = [reduce(lambda a, b: a & b, [F.contains(u, F.lit(x)) for x in f]) for f in fragments]
             test = test & reduce(lambda a, b: a | b, any_hit)
         result = F.when(test, category).otherwise(result)
     return result

@@ -9,6 +9,7 @@ from talkweave.functions import text as tx
 from talkweave.functions import urls as ux
 from talkweave.operators.ordering import collect_in_order, first_distinct, id_bucket, top_rows, with_ordinal
 from talkweave.operators.rulematch import keyword_ids
+from talkweave.session import cut_lineage
 
 
 def _winners(df: DataFrame, key: Column, best: Column, row_id: str) -> DataFrame:
@@ -109,7 +110,7 @@ def site_taxonomy(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cats, docs.withColumn("category_id", cid)
 
 
-def doc_concepts(docs: DataFrame, dictionary=None, head_chars: int | None = 500) -> DataFrame:
+def doc_concepts(docs: DataFrame, dictionary=None, head_chars: int | None = None) -> DataFrame:
     """Concepts of each document by keywords in title and content.
 
     ``head_chars`` limits the content looked at; ``None`` looks at all of it.
@@ -183,7 +184,7 @@ def merge_concepts(existing: DataFrame, new: DataFrame, web: bool = False, cap:
 
 def unique_names(df: DataFrame, base: Column, seed: Column, row_id: str, name: str = "file_name",
                  reserved: DataFrame | None = None) -> DataFrame:
-    """Collision-free names: base, else base with six hash digits, else a counter behind.
+    """Collision-free names: base, else base with six hash digits, else a counter behind, else more digits of its own.
 
     Earlier rows (by ``row_id``) win. ``reserved`` holds names (column ``name``) already in use.
     """
@@ -202,7 +203,19 @@ def unique_names(df: DataFrame, base: Column, seed: Column, row_id: str, name: s
     rest = rest.join(taken.withColumn("_shift", F.lit(1)), "_cand", "left")
     n = F.col("_n") + F.coalesce("_shift", F.lit(0))
     rest = rest.withColumn(name, F.concat("_cand", F.when(n > 1, n.cast("string")).otherwise(""))).drop("_cand", "_n", "_shift")
-    return plain.unionByName(rest).drop("_base", "_seed", "_first")
+    named = cut_lineage(plain.unionByName(rest))
+    used = taken.select(F.col("_cand").alias(name), F.lit(True).alias("_used"))
+    digits = 8
+    while True:  # a counter may still spell a name of another base: later rows then get digits of their own
+        owner = named.groupBy(name).agg(F.max(F.col(name) == F.col("_base")).alias("_plain"), F.min(F.when(F.col(name) != F.col("_base"), F.col(row_id))).alias("_low"))
+        marked = named.join(owner, name).join(used, name, "left")
+        made = F.col(name) != F.col("_base")
+        lost = made & (F.coalesce("_used", F.lit(False)) | F.col("_plain") | (F.col(row_id) != F.col("_low")))
+        if marked.filter(lost).isEmpty():
+            return named.drop("_base", "_seed", "_first")
+        again = F.concat("_base", F.lit("-"), F.substring(F.sha2(F.concat_ws("|", "_seed", F.col(row_id).cast("string")), 256), 1, digits))
+        named = cut_lineage(marked.withColumn(name, F.when(lost, again).otherwise(F.col(name))).drop("_plain", "_low", "_used"))
+        digits += 4
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:

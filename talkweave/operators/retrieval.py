@@ -81,7 +81,7 @@ def rank_categories(kw: DataFrame, cats: DataFrame, k: int = 2, include_question
     return top_rows(ranked, [Q], [F.desc("score"), F.col("ord")], k)
 
 
-def rank_concepts(kw: DataFrame, concepts: DataFrame, k: int = 2, text_chars: int | None = 4000) -> DataFrame:
+def rank_concepts(kw: DataFrame, concepts: DataFrame, k: int = 2, text_chars: int | None = None) -> DataFrame:
     """Concept pages with a positive score, best ``k`` per question."""
     text = F.col("text") if text_chars is None else tx.clip_marked(F.col("text"), text_chars)
     found = keyword_matches(kw, concepts, F.col("stem"), F.concat_ws(" ", "stem", text)).withColumn("score", F.col("content_score"))
@@ -89,7 +89,7 @@ def rank_concepts(kw: DataFrame, concepts: DataFrame, k: int = 2, text_chars: in
 
 
 def rank_faqs(kw: DataFrame, faqs: DataFrame, preferred: DataFrame, k: int = 5, include_question: bool = True,
-              text_chars: int | None = 12000, preferred_chars: int | None = 8000) -> DataFrame:
+              text_chars: int | None = None, preferred_chars: int | None = None) -> DataFrame:
     """Preferred pages (+2), then name hits, then content hits (x0.8) only where too few were found.
 
     ``preferred``: question_id, stem. Content hits are taken in name order up to 4k candidates.

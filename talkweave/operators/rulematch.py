@@ -47,7 +47,7 @@ def best_category(c: Column, dictionary: list[tuple[str, list[str]]], default: s
 
 
 def category_rules(categories=None) -> list[tuple[str, list[str]]]:
-    return [(cid, patterns) for cid, _, _, patterns in (categories or rules.CATEGORIES) if patterns]
+    return [(cid, patterns) for cid, _, patterns in (categories or rules.CATEGORIES) if patterns]
 
 
 def concept_rules(concepts=None) -> list[tuple[str, list[str]]]:

@@ -73,11 +73,13 @@ def _candidates(tokens: DataFrame, keys: list[str], threshold: float, extra: Col
     return a.join(b, on).select(*[F.col(f"a.{k}") for k in keys], F.col("a.ord").alias("left"), F.col("b.ord").alias("right"))
 
 
-def ratio_pairs(items: DataFrame, threshold: float, group: str | None = None) -> DataFrame:
+def ratio_pairs(items: DataFrame, threshold: float, group: str | None = None, both_ways: bool = False) -> DataFrame:
     """Pairs (left, right, score) of distinct texts with ratio at or above ``threshold``.
 
     ``items``: ord, norm and optionally ``group``; ``ord`` is unique (within its group) and
-    the smaller one is on the left. With ``group`` only pairs inside a group are compared.
+    the smaller one is on the left. With ``group`` only pairs inside a group are compared. The
+    ratio depends on which text comes first: the score is ratio(left, right). With ``both_ways``
+    a pair comes once in each order, with the score of that order.
     """
     keys = [group] if group else []
     sized = items.select(*keys, "ord", "norm", F.length("norm").alias("n"))
@@ -98,6 +100,8 @@ def ratio_pairs(items: DataFrame, threshold: float, group: str | None = None) ->
     pairs = found.join(text.withColumnsRenamed({"ord": "left", "norm": "_a"}), [*keys, "left"]).join(
         text.withColumnsRenamed({"ord": "right", "norm": "_b"}), [*keys, "right"])
     # the check is costly per row and small in bytes: spread it over all tasks
+    if both_ways:
+        pairs = pairs.unionByName(pairs.select(*keys, F.col("right").alias("left"), F.col("left").alias("right"), F.col("_b").alias("_a"), F.col("_a").alias("_b")))
     tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = pairs.repartition(tasks).withColumn("score", gestalt_ratio(threshold)("_a", "_b"))
     return scored.filter(F.col("score") >= threshold).select(*keys, "left", "right", "score")
@@ -131,10 +135,18 @@ def similar_question_pairs(faqs: DataFrame, threshold: float = rules.SIMILARITY,
     texts = first.withColumn("ord", F.col("id"))
     contained = containment_pairs(texts, min_chars)
     # a question asked in several categories is compared in each of them
-    per_category = rows.select("norm", "category_id").distinct().join(first, "norm").select("category_id", "norm", F.col("id").alias("ord"))
-    same = ratio_pairs(per_category, threshold, "category_id").select("left", "right", "score")
+    placed = rows.select("norm", "category_id").distinct().join(first, "norm").select("category_id", "norm", F.col("id").alias("ord"))
+    same = ratio_pairs(placed, threshold, "category_id").select("left", "right", "score")
     other = ratio_pairs(texts, cross)
-    return copies.unionByName(contained).unionByName(same).unionByName(other).groupBy("left", "right").agg(F.max("score").alias("score"))
+    # containment has its own score, whatever the ratio, and meets the same thresholds
+    by_ratio = same.unionByName(other).groupBy("left", "right").agg(F.max("score").alias("score")).join(contained.select("left", "right"), ["left", "right"], "left_anti")
+    if rules.CONTAINMENT_SCORE < threshold:
+        contained = contained.limit(0)
+    elif rules.CONTAINMENT_SCORE < cross:
+        mine, other_side = placed.select(F.col("ord").alias("left"), "category_id"), placed.select(F.col("ord").alias("right"), "category_id")
+        shared = contained.join(mine, "left").join(other_side, ["right", "category_id"]).select("left", "right").distinct()
+        contained = contained.join(shared, ["left", "right"], "left_semi")
+    return copies.unionByName(contained).unionByName(by_ratio)
 
 
 def _follow(hooks: DataFrame) -> DataFrame:
@@ -147,16 +159,16 @@ def _follow(hooks: DataFrame) -> DataFrame:
             return hooks
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest reachable id per vertex (id, component).
 
     Every round hooks each remaining node to its smallest neighbour, follows the hooks to
-    their ends and contracts the edges, which at least halves the nodes that still have
-    edges. Hubs cost one partial minimum per task. The state is written out each round.
+    their ends and contracts the edges. Two rounds at least halve the nodes that still have
+    edges, so it ends by itself. Hubs cost one partial minimum per task. The state is written out each round.
     """
     labels = vertices.select("id", F.col("id").alias("component"))
     left = edges.select("left", "right").filter("left <> right").distinct()
-    for _ in range(max_rounds):
+    while True:
         both = left.unionByName(left.select(F.col("right").alias("left"), F.col("left").alias("right")))
         near = both.groupBy(F.col("left").alias("id")).agg(F.min("right").alias("to")).filter("to < id")
         hooks = _follow(cut_lineage(near))
@@ -168,7 +180,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
             end = hooks.select(F.col("id").alias(side), F.col("to").alias("_to"))
             left = left.join(end, side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
         left = cut_lineage(left.filter("left <> right").distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def cluster_faqs(faqs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -189,17 +200,17 @@ def upsert_matches(existing: DataFrame, new: DataFrame, threshold: float = rules
     first = rows.groupBy("norm").agg(F.min("ord").alias("id"), F.max(F.when(~F.col("is_new"), F.col("ord"))).alias("last_old"), F.bool_or("is_new").alias("any_new"))
     texts = first.withColumn("ord", F.col("id"))
     # ratio and containment pairs between distinct texts; equal texts count as containment
-    pairs = ratio_pairs(texts, threshold).select("left", "right", "score").unionByName(containment_pairs(texts))
-    both = pairs.unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right"), "score"))
-    # containment takes precedence over the ratio
-    both = both.groupBy("left", "right").agg(F.max(F.when(F.col("score") == rules.CONTAINMENT_SCORE, F.col("score"))).alias("_c"), F.max("score").alias("_s"))
-    both = both.select("left", "right", F.coalesce("_c", "_s").alias("score"))
+    # the score of a pair is ratio(new, existing); containment takes precedence over the ratio
+    inside = containment_pairs(texts).filter(F.col("score") >= threshold)
+    inside = inside.unionByName(inside.select(F.col("right").alias("left"), F.col("left").alias("right"), "score"))
+    ratios = ratio_pairs(texts, threshold, both_ways=True).select("left", "right", "score")
+    both = inside.unionByName(ratios.join(inside.select("left", "right"), ["left", "right"], "left_anti"))
     old = first.filter("last_old IS NOT NULL").select(F.col("id").alias("right"), "last_old")
     scored = both.join(old, "right").select("left", "last_old", "score")
     equal = first.filter("any_new AND last_old IS NOT NULL").select(F.col("id").alias("left"), "last_old", F.lit(rules.CONTAINMENT_SCORE).alias("score"))
     best = scored.unionByName(equal).groupBy("left").agg(F.max(F.struct("score", "last_old")).alias("_b"))
     best = first.filter("any_new").select("norm", F.col("id").alias("left")).join(best, "left", "left")
-    key = F.substring(normalize_question(F.col("question")), 1, 80)
+    key = normalize_question(F.col("question"))
     by_key = existing.groupBy(key.alias("_k")).agg(F.min("ord").alias("_key_match"))
     out = new.select("ord", normalize_question(F.col("question")).alias("norm"), key.alias("_k"))
     out = out.join(best.select("norm", "_b"), "norm", "left").join(by_key, "_k", "left")

@@ -178,14 +178,18 @@ def asr_latest(events: DataFrame) -> DataFrame:
 
 
 def turn_metrics(events: DataFrame, width: str = "1 minute", slide: str | None = None) -> DataFrame:
-    """Commits, duplicate rate, cancels and errors per time window."""
-    return events.groupBy(F.window("event_time", width, slide or width).alias("w")).agg(
-        F.count_if(F.col("type") == "turn_commit_request").alias("commits"),
-        F.approx_count_distinct(F.when(F.col("type") == "turn_commit_request", F.xxhash64(*TURN)), 0.01).alias("turns"),
-        F.count_if(F.col("type") == "cancel").alias("cancels"),
-        F.count_if(F.col("type") == "audio_complete").alias("completed"),
-        F.count(F.lit(1)).alias("events"),
-    ).select(F.col("w.start").alias("window_start"), "commits", "turns", "cancels", "completed", "events")
+    """Commits, turns committed, duplicate commits and their rate, cancels, completions and errors per time window.
+
+    Counted exactly, per turn first.
+    """
+    kind = F.col("type")
+    per_turn = events.groupBy(F.window("event_time", width, slide or width).alias("w"), *TURN).agg(
+        F.count_if(kind == "turn_commit_request").alias("commits"), F.count_if(kind == "cancel").alias("cancels"),
+        F.count_if(kind == "audio_complete").alias("completed"), F.count_if(kind == "error").alias("errors"), F.count(F.lit(1)).alias("events"))
+    sums = per_turn.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("commits", "cancels", "completed", "errors", "events")], F.count_if(F.col("commits") > 0).alias("turns"))
+    twice = F.col("commits") - F.col("turns")
+    return sums.select(F.col("w.start").alias("window_start"), "commits", "turns", twice.alias("duplicates"),
+                       F.when(F.col("commits") > 0, twice / F.col("commits")).otherwise(0.0).alias("duplicate_rate"), "cancels", "completed", "errors", "events")
 
 
 def latency_windows(turns: DataFrame, width: str = "1 minute") -> DataFrame:

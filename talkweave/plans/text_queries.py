@@ -363,9 +363,9 @@ def _url_category_sql() -> str:
     for area, fragments, category in rules.URL_CATEGORY_RULES:
         test = f"contains({u}, {s.q(area)})"
         if fragments:
-            test += " AND (" + " OR ".join("(" + " AND ".join(f"contains({u}, {s.q(x)})" for x in f.split("&")) + ")" for f in fragments) + ")"
+            test += " AND (" + " OR ".join("(" + " AND ".join(f"contains({u}, {s.q(x)})" for x in f) + ")" for f in fragments) + ")"
         cases.append(f"WHEN {test} THEN {s.q(category)}")
-    return f"CASE {' '.join(cases)} ELSE 'platform-intro' END"
+    return f"CASE {' '.join(cases)} ELSE {s.q(rules.URL_CATEGORY_DEFAULT)} END"
 
 
 EXT8_URL = """concat('https://www.example.com', CASE page_id % 4 WHEN 0 THEN '/ac/openapi/doc/2.0' ELSE '/help/docs/mainsite' END,

@@ -105,9 +105,13 @@ def _(t):
 
 
 @query("str10_turn_metrics", f"""WITH {VOICE_SQL} SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, event_time)) AS window_start, count(*) FILTER (type = 'turn_commit_request') AS commits,
- count(*) FILTER (type = 'cancel') AS cancels, count(*) FILTER (type = 'audio_complete') AS completed, count(*) AS events FROM voice GROUP BY 1""")
+ count(DISTINCT session_id || '|' || turn_id) FILTER (type = 'turn_commit_request') AS turns,
+ count(*) FILTER (type = 'turn_commit_request') - count(DISTINCT session_id || '|' || turn_id) FILTER (type = 'turn_commit_request') AS duplicates,
+ CASE WHEN count(*) FILTER (type = 'turn_commit_request') > 0 THEN (count(*) FILTER (type = 'turn_commit_request') - count(DISTINCT session_id || '|' || turn_id) FILTER (type = 'turn_commit_request'))::DOUBLE
+   / count(*) FILTER (type = 'turn_commit_request') ELSE 0.0::DOUBLE END AS duplicate_rate,
+ count(*) FILTER (type = 'cancel') AS cancels, count(*) FILTER (type = 'audio_complete') AS completed, count(*) FILTER (type = 'error') AS errors, count(*) AS events FROM voice GROUP BY 1""")
 def _(t):
-    return tn.turn_metrics(t.voice_events(), "6 hours").drop("turns").withColumn("window_start", F.unix_micros("window_start"))
+    return tn.turn_metrics(t.voice_events(), "6 hours").withColumn("window_start", F.unix_micros("window_start"))
 
 
 @query("str10b_latency_windows", f"""WITH {AUDIT_SQL}, x AS (SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d %H:%M') || '|' || input_mode AS label, latency_ms_e2e AS v FROM audit)

@@ -193,7 +193,7 @@ def parse_extractions(files: DataFrame, categories: list | None = None) -> DataF
     # a malformed file parses to a row of NULLs
     parsed = parsed.filter(F.coalesce("question", "answer", "summary", "category_id").isNotNull())
     by_title = F.lit(None).cast("string")
-    for cid, title, _, _ in categories:
+    for cid, title, _ in categories:
         by_title = F.when(F.col("category_title") == title, cid).otherwise(by_title)
     known = F.when(F.col("category").isin([c[0] for c in categories]), F.col("category"))
     inferred = best_category(F.concat(F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))), category_rules(categories))
