@@ -20,8 +20,12 @@ LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
 KEY_PUNCTUATION = "？?！!。．.,，、；;：:\"'“”【】\\[\\]()（）"
 
 
+#: The members of ``BLANK`` as characters.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+\\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def rstrip_chars(c: Column, chars: str) -> Column:
@@ -125,8 +129,9 @@ def strip_code_blocks(c: Column) -> Column:
 
 # --- message predicates ----------------------------------------------------------
 
-def is_noise(c: Column, patterns: list[str] | None = None, min_chars: int = 2) -> Column:
-    s = strip(F.coalesce(c, F.lit("")))
+def is_noise(c: Column, patterns: list[str] | None = None, min_chars: int = 2, stripped: bool = False) -> Column:
+    """``stripped``: the text is known to have no blanks at its ends."""
+    s = c if stripped else strip(F.coalesce(c, F.lit("")))
     patterns = rules.NOISE_PATTERNS if patterns is None else patterns
     checks = [F.length(s) < min_chars, F.lower(s) == "nan", s.rlike(rules.EMOJI_ONLY)]
     if patterns:
@@ -134,8 +139,8 @@ def is_noise(c: Column, patterns: list[str] | None = None, min_chars: int = 2) -
     return reduce(lambda a, b: a | b, checks)
 
 
-def is_politeness_only(c: Column, patterns: list[str] | None = None) -> Column:
-    s = strip(F.coalesce(c, F.lit("")))
+def is_politeness_only(c: Column, patterns: list[str] | None = None, stripped: bool = False) -> Column:
+    s = c if stripped else strip(F.coalesce(c, F.lit("")))
     patterns = rules.POLITENESS_PATTERNS if patterns is None else patterns
     hit = (s == "") | s.rlike(rules.EMOJI_ONLY)
     return hit | s.rlike(any_of(patterns)) if patterns else hit

@@ -29,8 +29,11 @@ def clean_link_body(c: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-def parse_link_blocks(c: Column, max_body: int = 2500, min_chars: int = 20) -> Column:
-    """Blocks of a link section as (url, title, body, kind); only meaningful bodies are kept."""
+def parse_link_blocks(c: Column, max_body: int | None = None, min_chars: int = 20) -> Column:
+    """Blocks of a link section as (url, title, body, kind); only meaningful bodies are kept.
+
+    Bodies are whole unless ``max_body`` is given.
+    """
     header = "### \\[(?:网页|图片 OCR)\\][^\\n]*"
     chunks = F.split(F.coalesce(c, F.lit("")), f"(?m)^(?=[ \\t]*{header}$)")
 
@@ -46,6 +49,8 @@ def parse_link_blocks(c: Column, max_body: int = 2500, min_chars: int = 20) -> C
 
     blocks = F.filter(F.transform(chunks, block),
                       lambda b: b["url"].startswith("http") & tx.is_meaningful_text(b["body"], min_chars))
+    if max_body is None:
+        return blocks
     return F.transform(blocks, lambda b: F.struct(
         b["url"].alias("url"), b["title"].alias("title"), F.substring(b["body"], 1, max_body).alias("body"), b["kind"].alias("kind")))
 
@@ -152,8 +157,8 @@ def _session_picks(cleaned: DataFrame, r: MessageRules) -> DataFrame:
 def extract_faq(cleaned: DataFrame, r: MessageRules = CHINESE, link_sections: DataFrame | None = None) -> DataFrame:
     """One entry per session with a usable question and answer.
 
-    The answer is made of the strong agent messages, else of the last two. ``answer``
-    holds its first part; very long answers keep the rest in :func:`answer_parts`.
+    The answer is made of the strong agent messages, else of the last two, and is whole:
+    parts of bounded size are made first and joined, one row per part.
     """
     c = F.col("content")
     picks = _session_picks(cleaned, r).withColumn("ask", F.get("_asks", F.lit(0)))
@@ -163,7 +168,7 @@ def extract_faq(cleaned: DataFrame, r: MessageRules = CHINESE, link_sections: Da
     seen = strong.groupBy(*KEY).agg(
         (F.sum(F.length("content") + 2) - 2).alias("_chars"),
         *[F.bit_or(m).alias(f"_m{i}") for i, m in enumerate(_category_masks(c, dictionary))])
-    firsts = answer_parts(strong).filter("part = 0").select(*KEY, F.col("answer").alias("_strong"))
+    firsts = collect_in_order(answer_parts(strong), KEY, "part", "answer", "_t").select(*KEY, F.array_join("_t", "\n\n").alias("_strong"))
     linked = strong.filter(F.contains(F.lower(c), F.lit("http"))).select(*KEY, "created_at", "msg_id", F.posexplode(ux.extract_urls(c)).alias("_i", "url"))
     links = first_distinct(linked, KEY, "url", ["created_at", "msg_id", "_i"], 10, "_text_links")
 
@@ -202,7 +207,7 @@ def extract_faq(cleaned: DataFrame, r: MessageRules = CHINESE, link_sections: Da
 def enrich_extractions(ext: DataFrame, r: MessageRules = CHINESE, category_pages: dict[str, str] | None = None,
                        concept_links: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """Final form of an extraction: question mark, category title, steps, summary, links, tags, source id."""
-    titles = {cid: title for cid, title, _, _ in r.categories}
+    titles = {cid: title for cid, title, _ in r.categories}
     title = F.lit(titles.get("general", "general"))
     for cid, name in titles.items():
         title = F.when(F.col("category_id") == cid, name).otherwise(title)
@@ -236,21 +241,26 @@ def related_wikilinks(blob: Column, category_id: Column, category_pages: dict[st
 # --- merging -----------------------------------------------------------------------------
 
 def merge_link_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Longest body per link, in order of first sight. Input rows: keys, ord, url, title, body, kind."""
+    """Longest body per link, in order of first sight. Input rows: keys, ord, url, title, body, kind;
+    an optional column ``pos`` orders the blocks of one ``ord``."""
     link = F.coalesce(F.nullif("url", F.lit("")), F.nullif("title", F.lit("")))
-    rows = blocks.withColumn("_link", link).filter(F.col("_link").isNotNull())
+    pos = F.col("pos") if "pos" in blocks.columns else F.lit(0)
+    rows = blocks.withColumn("_link", link).withColumn("_pos", pos).filter(F.col("_link").isNotNull())
     g = rows.groupBy(*keys, "_link").agg(
-        F.max_by(F.struct("url", "title", "body", "kind"), F.struct(F.length("body"), -F.col("ord"))).alias("_b"),
-        F.min("ord").alias("first_ord"))
-    return g.select(*keys, "first_ord", "_b.*")
+        F.min_by(F.struct("url", "title", "body", "kind"), F.struct(-F.length("body"), "ord", "_pos")).alias("_b"),
+        F.min(F.struct("ord", "_pos")).alias("_f"))
+    return g.select(*keys, F.col("_f.ord").alias("first_ord"), F.col("_f._pos").alias("first_pos"), "_b.*")
 
 
-def merge_faq_groups(faqs: DataFrame, key: str) -> DataFrame:
+def merge_faq_groups(faqs: DataFrame, key: str, caps: dict[str, int | None] | None = None) -> DataFrame:
     """One entry per group: longest answer, strongest question, ordered unions of the lists.
 
     Winners are found on narrow rows; the long answers are joined in by position.
-    Lists are cut to their caps before they are gathered, so group size does not matter.
+    Lists are cut to their caps (``caps``, by default ``LIST_CAPS``; None keeps all) before they are
+    gathered, so group size does not matter. Where entries have ``link_blocks``, the longest body of
+    each link stays, and links of blocks follow the other links.
     """
+    caps = LIST_CAPS if caps is None else caps
     g = faqs.groupBy(key).agg(
         F.max(F.struct(F.length("answer").alias("n"), F.col("source_count").alias("c"), (-F.col("ord")).alias("o"))).alias("_primary"),
         F.max(F.struct(F.length("answer").alias("n"), (-F.col("ord")).alias("o"))).alias("_longest"),
@@ -270,23 +280,34 @@ def merge_faq_groups(faqs: DataFrame, key: str) -> DataFrame:
     lists = F.array(
         listed("variants", F.concat(F.array("question"), F.coalesce("variants", _none()))),
         *[listed(k, F.coalesce(k, _none())) for k in ("steps", "links", "tags", "related_wikilinks")])
-    long = faqs.select(key, "ord", F.explode(lists).alias("l")).select(key, "ord", "l.kind", F.posexplode("l.vals").alias("i", "v"))
-    seen = long.filter(F.coalesce("v", F.lit("")) != "").groupBy(key, "kind", "v").agg(F.min(F.struct("ord", "i")).alias("_f"))
+    long = faqs.select(key, "ord", F.explode(lists).alias("l")).select(key, "ord", F.lit(0).alias("late"), "l.kind", F.posexplode("l.vals").alias("i", "v"))
+    blocks = None
+    if "link_blocks" in faqs.columns:
+        rows = faqs.select(key, "ord", F.posexplode("link_blocks").alias("pos", "b")).select(key, "ord", "pos", "b.url", "b.title", "b.body", "b.kind")
+        blocks = merge_link_blocks(rows, [key])
+        long = long.unionByName(blocks.select(key, F.col("first_ord").alias("ord"), F.lit(1).alias("late"), F.lit("links").alias("kind"), F.col("first_pos").alias("i"), F.col("url").alias("v")))
+    seen = long.filter(F.coalesce("v", F.lit("")) != "").groupBy(key, "kind", "v").agg(F.min(F.struct("late", "ord", "i")).alias("_f"))
     primary = heads.select(key, F.lit("variants").alias("kind"), F.col("question").alias("v"))
     seen = seen.join(primary, [key, "kind", "v"], "left_anti")
-    top = top_rows(seen, [key, "kind"], [F.col("_f")], max(LIST_CAPS.values()), "_n")
+    most = [caps.get(k) for k in LIST_CAPS]
+    top = top_rows(seen, [key, "kind"], [F.col("_f")], max(m or 0 for m in most) if all(most) else (1 << 31) - 1, "_n")
     fits = F.lit(False)
-    for kind, cap in LIST_CAPS.items():
-        fits = fits | ((F.col("kind") == kind) & (F.col("_n") <= cap))
+    for kind, cap in zip(LIST_CAPS, most):
+        fits = fits | ((F.col("kind") == kind) & (F.lit(True) if cap is None else F.col("_n") <= cap))
     packed = [
         F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("_n", "v")))), lambda x: x["v"]).alias(k)
         for k in LIST_CAPS
     ]
-    return heads.join(top.filter(fits).groupBy(key).agg(*packed), key, "left")
+    out = heads.join(top.filter(fits).groupBy(key).agg(*packed), key, "left")
+    if blocks is None:
+        return out
+    block = F.struct("url", "title", "body", "kind").alias("b")
+    told = blocks.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("first_ord", "first_pos", block))), lambda x: x["b"]).alias("link_blocks"))
+    return out.join(told, key, "left").withColumn("link_blocks", F.coalesce("link_blocks", F.array().cast(faqs.schema["link_blocks"].dataType)))
 
 
-def collect_raw_faqs(ext: DataFrame) -> DataFrame:
-    """Usable extractions, merged when the first 80 characters of their normalised question agree."""
+def collect_raw_faqs(ext: DataFrame, key_chars: int | None = None) -> DataFrame:
+    """Usable extractions, merged when their normalised questions agree (their first ``key_chars``, if given)."""
     rows = ext.filter(
         (tx.strip(F.coalesce("question", F.lit(""))) != "")
         & ((F.length(tx.strip(F.coalesce("answer", F.lit("")))) >= 12) | (F.size(F.coalesce("link_blocks", F.array())) > 0))
@@ -294,8 +315,9 @@ def collect_raw_faqs(ext: DataFrame) -> DataFrame:
         (tx.strip(F.coalesce("question", F.lit(""))) != "") & (F.length(tx.strip(F.coalesce("answer", F.lit("")))) >= 12))
     if "skip" in ext.columns:
         rows = rows.filter(~F.coalesce("skip", F.lit(False)))
+    key = tx.normalize_question(F.col("question"))
     keyed = rows.withColumn("question", tx.strip(F.col("question"))).withColumn("answer", tx.strip(F.col("answer"))).withColumn(
-        "faq_key", F.substring(tx.normalize_question(F.col("question")), 1, 80)).withColumn(
+        "faq_key", key if key_chars is None else F.substring(key, 1, key_chars)).withColumn(
         "variants", F.slice(F.filter("variants", lambda v: v != ""), 1, 5)).withColumn(
         "steps", F.filter("steps", lambda x: F.length(x) >= 5))
     return merge_faq_groups(keyed, "faq_key")
@@ -306,7 +328,7 @@ def faqs_from_extractions(ext: DataFrame) -> DataFrame:
     return ext.select(
         F.col("session_id").alias("ord"), "question", "answer", "category_id", F.col("question_variants").alias("variants"),
         "steps", "links", _none().alias("tags"), _none().alias("related_wikilinks"), F.lit(1).cast("bigint").alias("source_count"),
-        F.lit("").alias("file_name"))
+        F.lit("").alias("file_name"), *[c for c in ("link_blocks",) if c in ext.columns])
 
 
 # --- roll-ups ---------------------------------------------------------------------------------

@@ -221,7 +221,7 @@ def upsert_faqs(existing: DataFrame, new: DataFrame, threshold: float = rules.SI
     """Update best matches, insert the rest, delete nothing."""
     matches = upsert_matches(existing, new, threshold)
     grouped = existing.withColumn("group_id", F.col("ord")).unionByName(
-        new.join(matches.select("ord", "match"), "ord").withColumn("group_id", F.coalesce("match", "ord")).drop("match"))
+        new.join(matches.select("ord", "match"), "ord").withColumn("group_id", F.coalesce("match", "ord")).drop("match"), allowMissingColumns=True)
     return merge_faq_groups(grouped, "group_id")
 
 

@@ -19,13 +19,13 @@ from talkweave.session import cut_lineage
 from talkweave.sources.adapters import DOCS_SQL, FAQ_SQL
 
 CATS = [
-    ("german", "Deutsch", "d", [r"[ .,]der[ .,]", r"[ .,]und[ .,]", r"ung[ .,]"]),
-    ("french", "Français", "f", [r"eau", r"tion[ .,]", r"é"]),
-    ("spanish", "Español", "s", [r"ción", r"[ .,]para[ .,]"]),
-    ("english", "English", "e", [r"[ .,]the[ .,]", r"[ .,]of[ .,]", r"ing[ .,]"]),
-    ("general", "General", "g", []),
+    ("german", "Deutsch", [r"[ .,]der[ .,]", r"[ .,]und[ .,]", r"ung[ .,]"]),
+    ("french", "Français", [r"eau", r"tion[ .,]", r"é"]),
+    ("spanish", "Español", [r"ción", r"[ .,]para[ .,]"]),
+    ("english", "English", [r"[ .,]the[ .,]", r"[ .,]of[ .,]", r"ing[ .,]"]),
+    ("general", "General", []),
 ]
-CAT_RULES = [(c, p) for c, _, _, p in CATS if p]
+CAT_RULES = [(c, p) for c, _, p in CATS if p]
 CONCEPT_RULES = [("con-a", [r"[ .,]with[ .,]"]), ("con-b", [r"[ .,]les[ .,]", r"[ .,]des[ .,]"]), ("con-c", [r"ción"])]
 KEYWORDS = [("k-the", ["the "]), ("k-eau", ["eau", "euxm"]), ("k-cion", ["ción"]), ("k-sch", ["sch"])]
 FAQ_RULES = LATIN.__class__(**{**LATIN.__dict__, "categories": CATS})
@@ -81,7 +81,7 @@ SECTION = """concat('### [网页] ', source, '\n\n来源: https://docs.example/'
 
 @query("ext2_parse_link_blocks", f"""WITH d AS (SELECT doc_id, source, {s.strip('text')} AS x, list_filter(list_transform(string_split(text, chr(10)), lambda y: {s.strip('y')}), lambda y: y <> '' AND NOT starts_with(y, '#') AND NOT starts_with(y, '来源:')) AS l FROM documents),
 e AS (SELECT *, array_to_string(l, chr(10)) AS body FROM d)
-SELECT doc_id, 'https://docs.example/' || doc_id AS url, source AS title, md5(substr(body, 1, 2500)) AS body, '网页' AS kind FROM e
+SELECT doc_id, 'https://docs.example/' || doc_id AS url, source AS title, md5(body) AS body, '网页' AS kind FROM e
 WHERE length(body) >= 20 AND len(list_filter(l, lambda y: NOT starts_with(y, '>') AND {s.hit('y', '[A-Za-z]{4,}')})) > 0""")
 def _(t):
     blocks = fq.parse_link_blocks(F.expr(SECTION))
@@ -112,7 +112,7 @@ _STEPN = s.distinct_in_order(
     f"list_transform(list_filter(list_transform(steps, lambda x: {s.one_space(s.strip('x'))}), lambda x: length(x) >= 6), lambda x: CASE WHEN length(x) > 160 THEN substr(x, 1, 157) || '…' ELSE x END)")
 
 
-@query("ext5_enrich_extractions", f"""WITH {FAQ_EXT_SQL} SELECT session_id, question, CASE category_id {' '.join(f"WHEN {s.q(c)} THEN {s.q(n)}" for c, n, _, _ in CATS)} END AS category_title,
+@query("ext5_enrich_extractions", f"""WITH {FAQ_EXT_SQL} SELECT session_id, question, CASE category_id {' '.join(f"WHEN {s.q(c)} THEN {s.q(n)}" for c, n, _ in CATS)} END AS category_title,
  md5(array_to_string({_STEPN}[1:10], '|')) AS steps, {_summary_sql()} AS summary FROM ext""")
 def _(t):
     return fq.enrich_extractions(extracted(t), FAQ_RULES).select(
@@ -155,6 +155,19 @@ def _(t):
     return fq.merge_link_blocks(rows, ["lang"]).select("lang", "url", "first_ord", F.md5("body").alias("body"))
 
 
+@query("mrg4b_merge_link_blocks_of_groups", f"""WITH {FAQ_SQL}, f AS (SELECT faq.*, documents.source, row_number() OVER (PARTITION BY category_id, documents.source ORDER BY length(answer) DESC, ord) AS rn,
+  min(ord) OVER (PARTITION BY category_id, documents.source) AS first_ord FROM faq JOIN documents ON doc_id = ord),
+b AS (SELECT category_id, 'https://docs.example/' || source AS url, answer AS body, first_ord FROM f WHERE rn = 1)
+SELECT category_id, count(*) AS n, md5(string_agg(url, '|' ORDER BY first_ord)) AS urls, md5(string_agg(body, '|' ORDER BY first_ord)) AS bodies,
+  array_to_string(list(url ORDER BY first_ord)[1:10], '|') AS links FROM b GROUP BY 1""")
+def _(t):
+    url = F.concat(F.lit("https://docs.example/"), F.get("variants", F.lit(0)))
+    block = F.struct(url.alias("url"), url.alias("title"), F.col("answer").alias("body"), F.lit("网页").alias("kind"))
+    merged = fq.merge_faq_groups(t.faq_items().withColumn("link_blocks", F.array(block)).withColumn("gk", F.col("category_id")), "gk")
+    told = lambda name: F.md5(F.array_join(F.transform("link_blocks", lambda b: b[name]), "|"))
+    return merged.select("category_id", F.size("link_blocks").cast("bigint").alias("n"), told("url").alias("urls"), told("body").alias("bodies"), F.array_join("links", "|").alias("links"))
+
+
 @query("mrg4_merge_faq_group", f"WITH {FAQ_SQL}, {merged_sql(s.question_key('question'), 'faq')} {_MOUT}")
 def _(t):
     items = t.faq_items().withColumn("g", tx.normalize_question(F.col("question")))
@@ -162,13 +175,13 @@ def _(t):
 
 
 @query("mrg5_collect_raw_faqs", f"""WITH {FAQ_SQL}, f2 AS (SELECT ord, {s.strip('question')} AS question, {s.strip('answer')} AS answer, category_id, variants, list_filter(steps, lambda x: length(x) >= 5) AS steps, source_count FROM faq),
-{merged_sql('substr(' + s.question_key('question') + ', 1, 80)', 'f2', "WHERE question <> '' AND length(answer) >= 12")} {_MOUT}""")
+{merged_sql(s.question_key('question'), 'f2', "WHERE question <> '' AND length(answer) >= 12")} {_MOUT}""")
 def _(t):
     return _merged_out(fq.collect_raw_faqs(t.faq_items()), "faq_key")
 
 
 CHAT_FAQ_SQL = f"""{FAQ_EXT_SQL}, cf AS (SELECT session_id AS ord, question, answer, category_id, variants, list_filter(steps, lambda x: length(x) >= 5) AS steps, 1 AS source_count FROM ext),
-{merged_sql('substr(' + s.question_key('question') + ', 1, 80)', 'cf', "WHERE length(" + s.strip('answer') + ") >= 12")}"""
+{merged_sql(s.question_key('question'), 'cf', "WHERE length(" + s.strip('answer') + ") >= 12")}"""
 
 
 def chat_faqs(t):
