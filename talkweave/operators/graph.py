@@ -24,17 +24,27 @@ def page_edges(pages: DataFrame) -> DataFrame:
         "src", "src_type", F.col("e.dst").alias("dst"), F.col("e.kind").alias("kind"), F.col("pos").cast("bigint").alias("pos"))
 
 
+def typed_edges(pages: DataFrame) -> DataFrame:
+    """Edges src, dst along category, concept and question links, resolved to pages of that type:
+    the exact name, else the first name that starts with the link. Retrieval follows these alone."""
+    kind = F.when(F.col("link").startswith("分类-"), "category").when(F.col("link").startswith("概念-"), "concept").otherwise("faq")
+    links = pages.select(F.col("stem").alias("src"), F.explode(lk.typed_wikilinks(F.col("text"))).alias("link")).withColumn("page_type", kind)
+    return links.join(resolve_page(links, pages), ["page_type", "link"]).select("src", F.col("stem").alias("dst")).distinct()
+
+
 # --- resolution ------------------------------------------------------------------------
 
-def _prefix_matches(targets: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs (target, name) where a name starts with the target, by equality on prefixes.
+def _prefix_summary(targets: DataFrame, names: DataFrame) -> DataFrame:
+    """Per target that is the beginning of some name: how many (``_n``) and the first (``by_prefix``).
 
-    Names emit their own prefixes, which are then met by the targets; no pair is tried
-    that does not match.
+    Names emit their prefixes, which are counted per prefix before they meet the targets, so a short
+    target costs one row, however many names begin with it.
     """
     spots = F.sequence(F.lit(1), F.length("name_key"))
     emitted = names.filter(F.length("name_key") > 0).select("name", F.explode(F.transform(spots, lambda i: F.substring(F.col("name_key"), F.lit(1), i))).alias("target_key"))
-    return targets.join(emitted, "target_key")
+    wanted = targets.select("target_key").distinct()
+    counted = emitted.join(wanted, "target_key", "left_semi").groupBy("target_key").agg(F.count(F.lit(1)).alias("_n"), F.min("name").alias("by_prefix"))
+    return targets.join(counted, "target_key")
 
 
 def resolve_wikilinks(targets: DataFrame, stems: DataFrame) -> DataFrame:
@@ -53,8 +63,7 @@ def resolve_wikilinks(targets: DataFrame, stems: DataFrame) -> DataFrame:
         "resolved", F.coalesce("by_name", "by_alias", "by_soft"))
     typed = F.col("raw").rlike("^(问答|文档|概念|分类)-")
     open_ones = joined.filter(F.col("resolved").isNull() & typed).select("target", F.col("nkey").alias("target_key"))
-    found = _prefix_matches(open_ones, names.select(F.col("stem").alias("name"), tx.alias_key(F.col("stem")).alias("name_key")))
-    unique = found.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.min("name").alias("by_prefix")).filter("_n = 1")
+    unique = _prefix_summary(open_ones, names.select(F.col("stem").alias("name"), tx.alias_key(F.col("stem")).alias("name_key"))).filter("_n = 1")
     return joined.join(unique.select("target", "by_prefix"), "target", "left").select(
         "target", F.coalesce("resolved", "by_prefix").alias("resolved"))
 
@@ -70,8 +79,8 @@ def resolve_page(links: DataFrame, pages: DataFrame) -> DataFrame:
     prefix = tx.strip(F.regexp_replace("link", "(?s)（.*", ""))
     open_ones = joined.filter(F.col("by_name").isNull()).select("page_type", "link", F.concat("page_type", F.lit("\u0000"), prefix).alias("target_key"))
     # the type is part of the key, so only prefixes longer than it are of use
-    names = pages.select(F.struct("page_type", "stem").alias("name"), F.concat("page_type", F.lit("\u0000"), "stem").alias("name_key"))
-    first = _prefix_matches(open_ones, names).groupBy("page_type", "link").agg(F.min("name.stem").alias("by_prefix"))
+    names = pages.select(F.col("stem").alias("name"), F.concat("page_type", F.lit("\u0000"), "stem").alias("name_key"))
+    first = _prefix_summary(open_ones, names).select("page_type", "link", "by_prefix")
     return joined.join(first, ["page_type", "link"], "left").select("page_type", "link", F.coalesce("by_name", "by_prefix").alias("stem")).filter(
         F.col("stem").isNotNull())
 

@@ -219,6 +219,8 @@ def retrieve(
 ) -> DataFrame:
     """Ranked pages per question: index route, else all category and concept pages; then linked pages.
 
+    ``edges`` are typed, resolved links (:func:`talkweave.operators.graph.typed_edges`).
+
     Questions with an index match follow their own links. All others share one seed set,
     so its closure is computed once and only pages with a keyword, plus the few best
     pages without one, are ranked per question. ``fallback_selector`` maps questions

@@ -262,25 +262,43 @@ def _(t):
     return rt.parse_index_sections(src).select("title", "overview", "category_link", F.array_join("questions", "|").alias("questions"))
 
 
-@query("jon8_index_route", WIKI_WITH + f""", {KW_SQL}, sec AS (SELECT doc_id, lower(unnest([source || ' ' || lang, '主题页：[[分类-' || doc_id || ']]', '高频问题：', regexp_extract(documents.text, '^[^ ' || chr(10) || ']*'), '概念 [[概念-' || (doc_id + 1) || ']]'])) AS line FROM documents JOIN wiki ON doc_id = ord WHERE page_type = 'category'),
+INDEX_SQL = """sec AS (SELECT doc_id, lower(unnest([source || ' ' || lang, '主题页：[[分类-' || doc_id || ']]', '高频问题：', regexp_extract(documents.text, '^[^ ' || chr(10) || ']*'), '概念 [[概念-' || (doc_id + 1) || ']]'])) AS line FROM documents JOIN wiki ON doc_id = ord WHERE page_type = 'category'),
 m AS (SELECT DISTINCT question_id, doc_id FROM (SELECT question_id, unnest(keywords) AS k FROM kw), sec WHERE contains(line, k)),
-l AS (SELECT question_id, unnest(['分类-' || doc_id, '概念-' || (doc_id + 1)]) AS stem FROM m) SELECT DISTINCT question_id, stem FROM l WHERE stem IN (SELECT stem FROM wiki)""")
+il AS (SELECT question_id, unnest(['分类-' || doc_id, '概念-' || (doc_id + 1)]) AS stem FROM m)"""
+
+
+@query("jon8_index_route", WIKI_WITH + f""", {KW_SQL}, {INDEX_SQL} SELECT DISTINCT question_id, stem FROM il WHERE stem IN (SELECT stem FROM wiki)""")
 def _(t):
     return rt.index_route(_kw(t), index_page(t), t.wiki_pages())
 
 
 def retrieved(t):
     pages = t.wiki_pages()
-    return rt.retrieve(t.questions(), pages, gr.page_edges(pages), index_page(t), stop_words=LATIN_STOP)
+    return rt.retrieve(t.questions(), pages, gr.typed_edges(pages), index_page(t), stop_words=LATIN_STOP)
 
 
-RETR_SQL = WIKI_EDGES + f""", {KW_SQL}, seeds AS (SELECT stem FROM wiki WHERE page_type IN ('category', 'concept')),
-c1 AS (SELECT DISTINCT dst AS stem FROM we JOIN seeds ON src = stem WHERE dst IN (SELECT stem FROM wiki)), c2 AS (SELECT DISTINCT dst AS stem FROM we JOIN c1 ON src = stem WHERE dst IN (SELECT stem FROM wiki)),
-cl AS (FROM seeds UNION FROM c1 UNION FROM c2), pg AS (SELECT stem, page_type, lower(regexp_replace(stem, '^(问答|概念|分类)-', '')) AS title, lower(text) AS text FROM wiki WHERE stem IN (FROM cl)),
-h AS (SELECT question_id, stem, page_type AS hit_type, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (len(list_filter(keywords, lambda k: contains(title, k))) * 2.5::DOUBLE + len(list_filter(keywords, lambda k: contains(pg.text, k)))) / (len(keywords) * 3.5::DOUBLE)
-  + 0.15::DOUBLE + CASE page_type WHEN 'category' THEN 0.20::DOUBLE WHEN 'concept' THEN 0.18::DOUBLE ELSE 0.05::DOUBLE END + CASE page_type WHEN 'faq' THEN 0.10::DOUBLE ELSE 0.05::DOUBLE END)) AS score FROM kw, pg),
-g AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, CASE hit_type WHEN 'category' THEN 0 WHEN 'concept' THEN 1 ELSE 2 END, stem) AS page_rank FROM h),
-b AS (SELECT *, row_number() OVER (PARTITION BY question_id, hit_type ORDER BY page_rank) AS rank FROM g WHERE page_rank <= 10)
+TYPED_EDGES = """tl AS (SELECT stem AS src, unnest(regexp_extract_all(text, '\\[\\[((?:分类|问答|概念)-[^\\]]+)\\]\\]', 1)) AS raw FROM wiki),
+tn AS (SELECT DISTINCT src, trim(split_part(raw, '（', 1)) AS link, CASE substr(raw, 1, 2) WHEN '分类' THEN 'category' WHEN '概念' THEN 'concept' ELSE 'faq' END AS kind FROM tl),
+te AS (SELECT DISTINCT src, coalesce((SELECT min(w.stem) FROM wiki w WHERE w.page_type = kind AND w.stem = link), (SELECT min(w.stem) FROM wiki w WHERE w.page_type = kind AND starts_with(w.stem, link))) AS dst FROM tn),
+we2 AS (SELECT src, dst FROM te WHERE dst IS NOT NULL)"""
+
+
+def _score_sql(bonus: str, boost: str) -> str:
+    """The confidence of a page for a question; ``w`` is the page, ``kw`` the question."""
+    return f"""CASE WHEN len(keywords) = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+  (len(list_filter(keywords, lambda k: contains(w.title, k))) * 2.5::DOUBLE + len(list_filter(keywords, lambda k: contains(w.low, k)))) / (len(keywords) * 3.5::DOUBLE)
+  + {bonus} + CASE w.page_type WHEN 'category' THEN 0.20::DOUBLE WHEN 'concept' THEN 0.18::DOUBLE ELSE 0.05::DOUBLE END + {boost})) END"""
+
+
+_LINKED = _score_sql("0.15::DOUBLE", "CASE w.page_type WHEN 'faq' THEN 0.10::DOUBLE ELSE 0.05::DOUBLE END")
+_RANKED = """best AS (SELECT question_id, stem, hit_type, max(score) AS score FROM h GROUP BY 1, 2, 3),
+g AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, CASE hit_type WHEN 'category' THEN 0 WHEN 'concept' THEN 1 ELSE 2 END, stem) AS page_rank FROM best),
+b AS (SELECT *, row_number() OVER (PARTITION BY question_id, hit_type ORDER BY page_rank) AS rank FROM g WHERE page_rank <= 10)"""
+_SCAN = """seeds AS (SELECT stem FROM wiki WHERE page_type IN ('category', 'concept')),
+c1 AS (SELECT DISTINCT dst AS stem FROM we2 JOIN seeds ON src = stem), c2 AS (SELECT DISTINCT dst AS stem FROM we2 JOIN c1 ON src = stem), cl AS (FROM seeds UNION FROM c1 UNION FROM c2),
+w AS (SELECT stem, page_type, lower(regexp_replace(stem, '^(问答|概念|分类)-', '')) AS title, lower(text) AS low FROM wiki)"""
+RETR_SQL = WIKI_WITH + f""", {KW_SQL}, {TYPED_EDGES}, {_SCAN},
+h AS (SELECT question_id, stem, page_type AS hit_type, {_LINKED} AS score FROM kw, w WHERE stem IN (FROM cl)), {_RANKED}
 SELECT question_id, stem, hit_type, score, rank::INT AS rank FROM b WHERE rank <= CASE hit_type WHEN 'faq' THEN 5 ELSE 2 END"""
 
 
@@ -289,10 +307,21 @@ def _(t):
     pages = t.wiki_pages()
     # an index without any matching section sends every question down the scan route
     none = index_page(t).select(F.lit("### \u0001\n- \u0001\n").alias("text"))
-    return rt.retrieve(t.questions(), pages, gr.page_edges(pages), none, stop_words=LATIN_STOP).select("question_id", "stem", "hit_type", "score", "rank")
+    return rt.retrieve(t.questions(), pages, gr.typed_edges(pages), none, stop_words=LATIN_STOP).select("question_id", "stem", "hit_type", "score", "rank")
+
+
+# The index route: questions with a matching section follow their own links, all others scan.
+FULL_SQL = WIKI_WITH + f""", {KW_SQL}, {TYPED_EDGES}, {_SCAN}, {INDEX_SQL},
+q0 AS (SELECT DISTINCT question_id, stem FROM il WHERE stem IN (SELECT stem FROM wiki)),
+q1 AS (SELECT DISTINCT question_id, dst AS stem FROM q0 JOIN we2 ON src = stem), q2 AS (SELECT DISTINCT question_id, dst AS stem FROM q1 JOIN we2 ON src = stem), own AS (FROM q0 UNION FROM q1 UNION FROM q2),
+h AS (SELECT question_id, stem, page_type AS hit_type, {_score_sql("0.25::DOUBLE", "0.0::DOUBLE")} AS score FROM q0 JOIN w USING (stem) JOIN kw USING (question_id)
+UNION ALL SELECT question_id, stem, page_type, {_LINKED} FROM own JOIN w USING (stem) JOIN kw USING (question_id) WHERE page_type IN ('category', 'concept', 'faq')
+UNION ALL SELECT question_id, stem, page_type, {_LINKED} FROM kw, w WHERE stem IN (FROM cl) AND question_id NOT IN (SELECT question_id FROM q0)), {_RANKED}
+SELECT question_id, stem, hit_type, score, rank::INT AS rank, CASE WHEN question_id IN (SELECT question_id FROM q0) THEN 'index_match' ELSE 'global_scan' END AS note
+FROM b WHERE rank <= CASE hit_type WHEN 'faq' THEN 5 ELSE 2 END"""
 
 
-@query("ext12b_retrieve")
+@query("ext12b_retrieve", FULL_SQL)
 def _(t):
     return retrieved(t).select("question_id", "stem", "hit_type", "score", "rank", "note")
 

@@ -108,7 +108,7 @@ def test_parsing_pages(wiki):
 
 def test_retrieval(spark, wiki):
     questions = spark.createDataFrame([(1, "怎么安装高斯"), (2, "Token 不够用"), (3, "zz")], "question_id bigint, question string")
-    edges, index = gr.page_edges(wiki), wiki.filter("stem = 'index'")
+    edges, index = gr.typed_edges(wiki), wiki.filter("stem = 'index'")
     hits = rt.retrieve(questions, wiki, edges, index)
     rows = {}
     for r in hits.collect():
