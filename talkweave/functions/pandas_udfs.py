@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
@@ -46,19 +45,6 @@ def gestalt_ratio(threshold: float = 0.0):
     return ratio
 
 
-@F.pandas_udf(T.DoubleType())
-def rms(samples: pd.Series) -> pd.Series:
-    """Root mean square of little-endian 16-bit PCM, scaled to 0..1."""
-
-    def one(raw: bytes | None) -> float:
-        if raw is None or len(raw) < 2:
-            return 0.0
-        wave = np.frombuffer(raw[: len(raw) // 2 * 2], dtype="<i2").astype("float64") / 32768.0
-        return float(np.sqrt(np.mean(wave * wave)))
-
-    return samples.map(one).astype("float64")
-
-
 class _Outline(HTMLParser):
     """Collects block elements with the container they sit in."""
 

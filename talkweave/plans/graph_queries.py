@@ -67,7 +67,8 @@ def _(t):
     return gr.crawl_frontier(nodes.select(at("stem").alias("url")), anchors, gr.orphans(nodes, edges).select(at("stem").alias("start")), 2)
 
 
-@query("jon11b_page_anchors")
+@query("jon11b_page_anchors", """WITH a AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<a[ \\n\\t]+[^>]*?href="([^"]*)"', 1)) AS href FROM pages)
+SELECT DISTINCT url AS src, regexp_extract(url, '^[^/]*//[^/]*') || href AS dst FROM a""")
 def _(t):
     return gr.page_anchors(t.read("pages"))
 

@@ -206,7 +206,13 @@ def _(t):
     return t.read("documents").select("doc_id", tx.is_meaningful_ocr_text(F.col("text"), 500).alias("meaningful"))
 
 
-@query("txt17b_labelled_ocr_text")
+_SEEN = s.strip("text")
+_TOLD = s.strip("array_to_string(list_filter(" + _LINES.replace("text", _SEEN) + ", lambda x: x <> '' AND NOT " + s.hit("x", _OCR.replace("(?i)", "")) + "), chr(10))")
+
+
+@query("txt17b_labelled_ocr_text", f"""SELECT doc_id, md5(CASE WHEN {_SEEN} = '' THEN '（本地 OCR 未识别到有效文字；截图中的箭头/框选标注需结合客户文字说明理解）'
+ WHEN length({_TOLD}) >= 15 THEN {_SEEN} || chr(10) || chr(10) || '说明：以上为本地 OCR 提取的文字；若图中有客户标注（箭头、框选等），请结合客户描述理解。'
+ ELSE '（本地 OCR 仅识别到少量文字）' || chr(10) || {_SEEN} || chr(10) || chr(10) || '说明：本地 OCR 无法解析标注含义；若图中有圈选/箭头，请以客户文字为准。' END) AS labelled FROM documents""")
 def _(t):
     return t.read("documents").select("doc_id", F.md5(tx.labelled_ocr_text(F.col("text"))).alias("labelled"))
 

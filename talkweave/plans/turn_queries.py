@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkweave import rules
-from talkweave.functions.pandas_udfs import rms
+from talkweave.functions.sound import rms
 from talkweave.operators import turns as tn
 from talkweave.plans.registry import query
 from talkweave.sources.adapters import AUDIT_SQL, VOICE_SQL
@@ -88,7 +88,7 @@ def _(t):
     return out.withColumn("speech_start", F.unix_micros("speech_start")).withColumn("speech_end", F.unix_micros("speech_end"))
 
 
-@query("str8b_frame_levels")
+@query("str8b_frame_levels", "SELECT event_id, round(least(floor(value * 60), 32767) / 32768.0::DOUBLE, 6) AS level FROM events")
 def _(t):
     # the value of an event, repeated as 16-bit samples, stands for a frame of sound
     n = F.least(F.floor(F.col("value") * 60), F.lit(32767)).cast("int")

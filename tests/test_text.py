@@ -129,3 +129,16 @@ def test_ratio_bound_is_exact():
         for t in (0.4, 0.68, 0.9):
             got = bounded_ratio(a, b, t)
             assert got == want or (got == 0.0 and want < t)
+
+
+def test_sound_level(spark):
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from talkweave.functions.sound import rms
+
+    waves = [b"", b"\x01", struct.pack("<3h", 100, -32768, 32767), struct.pack("<2h", -5, 5) + b"\x07", None]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(waves)), "i int, c binary").orderBy("i").select(F.coalesce(rms(F.col("c")), F.lit(0.0)).alias("x")).collect()]
+    want = [0.0, 0.0, ((100**2 + 32768**2 + 32767**2) / 3) ** 0.5 / 32768, 5 / 32768, 0.0]
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got, want))
