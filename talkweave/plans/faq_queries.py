@@ -91,11 +91,11 @@ def _(t):
 
 _BLOCK = f"""d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda y: {s.strip('y')}), lambda y: y <> '' AND NOT starts_with(y, '#') AND NOT starts_with(y, '来源:')) AS l FROM documents),
 e AS (SELECT doc_id, CASE WHEN length(array_to_string(l, chr(10))) >= 20 AND len(list_filter(l, lambda y: NOT starts_with(y, '>') AND {s.hit('y', '[A-Za-z]{4,}')})) > 0 THEN l ELSE CAST([] AS VARCHAR[]) END AS l FROM d)"""
-_STEP = s.hit("y", r"(?i)([ .,]to[ .,]|[ .,]de[ .,]|[ .,]die[ .,])")
+_BLOCK_STEP = s.hit("y", r"(?i)([ .,]to[ .,]|[ .,]de[ .,]|[ .,]die[ .,])")
 _TIDY = f"list_transform(list_filter(list_transform(f, lambda y: {s.one_space(s.strip('y'))}), lambda y: length(y) >= 6), lambda y: CASE WHEN length(y) > 160 THEN substr(y, 1, 157) || '…' ELSE y END)"
 
 
-@query("ext3_steps_from_blocks", f"""WITH {_BLOCK}, x AS (SELECT doc_id, {s.distinct_in_order(f"list_filter(rl, lambda y: length(y) >= 6 AND {_STEP})")}[1:12] AS f FROM (SELECT doc_id, l AS rl FROM e)),
+@query("ext3_steps_from_blocks", f"""WITH {_BLOCK}, x AS (SELECT doc_id, {s.distinct_in_order(f"list_filter(rl, lambda y: length(y) >= 6 AND {_BLOCK_STEP})")}[1:12] AS f FROM (SELECT doc_id, l AS rl FROM e)),
 n AS (SELECT doc_id, {s.distinct_in_order(_TIDY)} AS g FROM x) SELECT doc_id, array_to_string(g[1:10], '|') AS steps FROM n""")
 def _(t):
     blocks = fq.parse_link_blocks(F.expr(SECTION))
