@@ -181,7 +181,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MA
     found = near_duplicates(docs, shingle, max_bits)
     # The component's name is the winner's id; components without any id are one group.
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("digest").alias("d"))).alias("w"))
-    winners = best.select(F.col("w.i").alias("_i"), F.col("w.d").alias("_d"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("_digest"))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(0)))).filter("_n = 1")
-    return first.join(winners, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d")), "left_semi").select("row.*")
+    # The same plain keys for the numbering and the join: texts are shuffled once.
+    def keys(i, d) -> list:
+        return [i.isNull().alias("_none"), F.coalesce(i, F.lit(0).cast("long")).alias("_id"), d.alias("_digest")]
+
+    winners = best.select(*keys(F.col("w.i"), F.col("w.d")))
+    rows = docs.select(F.struct("*").alias("row"), *keys(F.col("doc_id").cast("long"), F.xxhash64(whole_text())))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_none", "_id", "_digest").orderBy(F.lit(0)))).filter("_n = 1")
+    return first.join(winners, ["_none", "_id", "_digest"], "left_semi").select("row.*")
