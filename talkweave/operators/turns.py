@@ -141,7 +141,9 @@ def stream_segments(deltas: DataFrame, max_run: int = 120, boundaries: str = rul
     """Speakable segments of each turn from its deltas, with increasing chunk index.
 
     Deltas are cut at boundary marks; a running count of marks says which segment a
-    piece belongs to, so a turn's text is never gathered whole.
+    piece belongs to, so a turn's text is never gathered whole. A run without a mark is cut
+    at ``max_run`` characters as soon as a delta brings it there, so what is cut before the delta
+    with the mark is a multiple of ``max_run``.
     """
     group = "".join("\\" + ch if ch in "[]()" else ch for ch in boundaries)
     pieces = deltas.select(*TURN, "seq", "event_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[^{group}]*[{group}]|[^{group}]+"), F.lit(0))).alias("i", "piece"))
@@ -149,8 +151,10 @@ def stream_segments(deltas: DataFrame, max_run: int = 120, boundaries: str = rul
     ends = F.col("piece").rlike(f"[{group}]\\z").cast("int")
     counted = running(pieces, TURN, order, id_bucket("seq"), {"segment": ("sum", ends)}, inclusive=False)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "event_id", "i", "piece"))), lambda x: x["piece"]), "")
-    whole = counted.groupBy(*TURN, "segment").agg(joined.alias("text"))
-    cut = F.when(F.col("text").rlike(f"[{group}]\\z"), F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{max_run}}}"), F.lit(0)))
+    whole = counted.groupBy(*TURN, "segment").agg(joined.alias("text"), F.sum(F.when(ends == 1, 0).otherwise(F.length("piece"))).cast("int").alias("_before"))
+    at = F.floor(F.col("_before") / max_run).cast("int") * max_run
+    runs = F.regexp_extract_all(F.substring(F.col("text"), F.lit(1), at), F.lit(f"(?s).{{{max_run}}}"), F.lit(0))
+    cut = F.concat(runs, F.array(F.substring(F.col("text"), at + 1, F.length("text"))))
     from talkweave.functions.text import strip
 
     out = whole.select(*TURN, "segment", F.posexplode(cut).alias("cut", "piece")).withColumn("text", strip(F.col("piece"))).filter("text <> ''")

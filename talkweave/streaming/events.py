@@ -65,11 +65,12 @@ def accepted_commits(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return commits.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["session_id", "turn_id"])
 
 
-def suppress_cancelled_stream(deltas: DataFrame, cancels: DataFrame, horizon: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
+def suppress_cancelled_stream(deltas: DataFrame, cancels: DataFrame, horizon: str, delay: str = "1 minute") -> DataFrame:
     """Deltas whose generation was not cancelled before them.
 
     ``deltas``: generation_id, event_time, ...; ``cancels``: effective cancels with
     generation_id, cancel_time. Emitted when the watermark rules out an earlier cancel.
+    ``horizon`` is the longest time between a cancel and a delta it must still hold back.
     """
     d = deltas.withWatermark("event_time", delay).alias("d")
     c = cancels.withWatermark("cancel_time", delay).alias("c")
@@ -77,8 +78,9 @@ def suppress_cancelled_stream(deltas: DataFrame, cancels: DataFrame, horizon: st
     return d.join(c, same, "left_outer").filter("c.generation_id IS NULL").select("d.*")
 
 
-def stream_turn_text(deltas: DataFrame, gap: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
-    """Assembled text of a turn once no delta can follow (session window on the turn)."""
+def stream_turn_text(deltas: DataFrame, gap: str, delay: str = "1 minute") -> DataFrame:
+    """Assembled text of a turn once no delta can follow (session window on the turn;
+    a pause longer than ``gap`` ends it)."""
     rows = F.sort_array(F.collect_list(F.struct("seq", "text")))
     return deltas.withWatermark("event_time", delay).groupBy("session_id", "turn_id", F.session_window("event_time", gap).alias("w")).agg(
         F.array_join(F.transform(rows, lambda x: x["text"]), "").alias("assistant_text"), F.min("event_time").alias("first_delta_at"), F.count(F.lit(1)).alias("deltas"))

@@ -1,12 +1,13 @@
 """Stateful turn operators on streams: commit once, cancel, state, sequence and segments.
 
-State lives per turn and expires, so nothing grows without bound. Expiry needs the
-processing-time clock, which keeps a query running; a run that should end with its
-input (``availableNow``) passes ``ttl_ms=None``.
+State lives per turn. ``ttl_ms`` says how long after its last update it is dropped; an event that
+comes later starts its turn anew, so the caller chooses it. Expiry needs the processing-time clock,
+which keeps a query running; a run that should end with its input (``availableNow``) passes None.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,8 +16,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from talkweave import rules
 
-TTL_MS = 6 * 3600 * 1000
-
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """Events of one key in this micro-batch, by arrival."""
@@ -28,7 +27,7 @@ class ExpiringProcessor(StatefulProcessor):
 
     schema = ""
 
-    def __init__(self, ttl_ms: int | None = TTL_MS) -> None:
+    def __init__(self, ttl_ms: int | None) -> None:
         self.ttl_ms = ttl_ms
 
     def close(self) -> None:
@@ -71,27 +70,39 @@ class TurnDecisions(ExpiringProcessor):
 
 
 class SequenceCheck(ExpiringProcessor):
-    """Flags of sequence numbers inside a turn against the greatest one seen so far."""
+    """Flags of sequence numbers inside a turn: duplicate, out of order, after a gap, or ok.
+
+    The numbers seen are kept as ranges, of which there are as many as there are open gaps.
+    """
 
     schema = "session_id string, turn_id string, event_id bigint, seq bigint, flag string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.greatest = handle.getValueState("greatest", "seq bigint", ttlDurationMs=self.ttl_ms)
+        self.seen = handle.getValueState("seen", "low array<bigint>, high array<bigint>", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        top = self.greatest.get()[0] if self.greatest.exists() else None
+        low, high = (list(map(int, x)) for x in (self.seen.get() if self.seen.exists() else ((), ())))
         out = []
         for e in _in_order(rows).itertuples():
             seq = int(e.seq)
-            if top is None or seq == top + 1:
-                flag = "ok"
-            elif seq > top:
-                flag = "gap"
+            at = bisect_right(low, seq)  # ranges that begin at or before it
+            if at and seq <= high[at - 1]:
+                flag = "duplicate"
             else:
-                flag = "duplicate" if seq == top else "late"
-            top = seq if top is None else max(top, seq)
+                flag = "out_of_order" if at < len(low) else "gap" if high and seq > high[-1] + 1 else "ok"
+                before, after = at > 0 and high[at - 1] + 1 == seq, at < len(low) and low[at] - 1 == seq
+                if before and after:
+                    high[at - 1] = high.pop(at)
+                    low.pop(at)
+                elif before:
+                    high[at - 1] = seq
+                elif after:
+                    low[at] = seq
+                else:
+                    low.insert(at, seq)
+                    high.insert(at, seq)
             out.append((key[0], key[1], e.event_id, seq, flag))
-        self.greatest.update((top,))
+        self.seen.update((low, high))
         yield pd.DataFrame(out, columns=["session_id", "turn_id", "event_id", "seq", "flag"])
 
 
@@ -135,33 +146,34 @@ def _apply(events: DataFrame, processor: ExpiringProcessor) -> DataFrame:
         timeMode="None" if processor.ttl_ms is None else "ProcessingTime")
 
 
-def turn_decisions(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
+def turn_decisions(events: DataFrame, ttl_ms: int | None) -> DataFrame:
     """Stream of outcomes for commits, cancels, deltas and completions (event_id, event_time, type, generation_id)."""
     return _apply(events, TurnDecisions(ttl_ms))
 
 
-def sequence_flags(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
+def sequence_flags(events: DataFrame, ttl_ms: int | None) -> DataFrame:
     return _apply(events, SequenceCheck(ttl_ms))
 
 
-def stream_segments(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
+def stream_segments(events: DataFrame, ttl_ms: int | None) -> DataFrame:
     """Segments from deltas; an ``audio_complete`` event drains what is left."""
     return _apply(events.filter("type IN ('llm_delta', 'audio_complete')"), SegmentCutter(ttl_ms))
 
 
+def finished_once(turns: DataFrame, delay: str) -> DataFrame:
+    """First row of each turn on a stream with ``event_time``; repeats within ``delay`` are left out."""
+    return turns.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["session_id", "turn_id"])
+
+
 def audit_sink(path: str):
-    """``foreachBatch`` body that appends each finished turn once, also when a batch is repeated."""
+    """``foreachBatch`` body that writes a micro-batch to a folder of its own (``epoch=N``).
+
+    A repeated batch replaces its folder, and nothing written before is read. Turns that repeat
+    across batches are left out upstream by :func:`finished_once`.
+    """
     from talkweave.operators.turns import audit_rows
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = audit_rows(batch)
-        try:
-            known = spark.read.parquet(path)
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-            known = None
-        audit_rows(rows, known).write.mode("append").parquet(path)
+        audit_rows(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write

@@ -90,12 +90,19 @@ def test_segments_carry_over(spark, tmp_path):
     assert [x[1] for x in same] == one
 
 
+def test_long_runs_are_cut_alike(spark, tmp_path):
+    rows = [ev(i, "t1", "llm_delta", i, text) for i, text in enumerate(("a" * 70, "b" * 70, "c" * 61 + "，d", "e" * 300, "f，" + "g" * 5))]
+    got = stream(spark, tmp_path, [*rows, ev(9, "t1", "audio_complete", 9)], "long", lambda e: st.stream_segments(e, None), files=6)
+    batch = tn.stream_segments(spark.createDataFrame(rows, SCHEMA)).collect()
+    one, two = ([r.text for r in sorted(x, key=lambda r: r.chunk_index)] for x in (got, batch))
+    assert one == two and len(one[0]) == 120 and max(map(len, one)) == 120
+
+
 def test_sequence_flags(spark, tmp_path, batch):
-    rows = [ev(i, "t1", "llm_delta", q) for i, q in enumerate((0, 1, 1, 3, 2, 4))]
+    rows = [ev(i, "t1", "llm_delta", q) for i, q in enumerate((0, 1, 1, 3, 2, 4, 2, 9, 0, 7, 8, 10))]
     got = {r.event_id: r.flag for r in stream(spark, tmp_path, rows, "flags", lambda e: st.sequence_flags(e, None), files=2)}
-    assert got == {0: "ok", 1: "ok", 2: "duplicate", 3: "gap", 4: "late", 5: "ok"}
     flags = {r.event_id: r.flag for r in tn.seq_gaps(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert flags == {0: "ok", 1: "ok", 2: "duplicate", 3: "gap", 4: "out_of_order", 5: "ok"}
+    assert got == flags == {0: "ok", 1: "ok", 2: "duplicate", 3: "gap", 4: "out_of_order", 5: "ok", 6: "duplicate", 7: "gap", 8: "duplicate", 9: "out_of_order", 10: "out_of_order", 11: "ok"}
 
 
 def test_late_cancel_and_text_windows(spark, tmp_path):
@@ -105,11 +112,11 @@ def test_late_cancel_and_text_windows(spark, tmp_path):
     def build(events):
         deltas = events.filter("type = 'llm_delta'")
         cancels = events.filter("type = 'cancel'").select("generation_id", F.col("event_time").alias("cancel_time"))
-        return se.suppress_cancelled_stream(deltas, cancels)
+        return se.suppress_cancelled_stream(deltas, cancels, "1 hour")
 
     got = {r.event_id for r in stream(spark, tmp_path, rows, "suppressed", build, files=4)}
     assert {1, 900} <= got and 4 not in got
-    texts = stream(spark, tmp_path, [r for r in rows if r[4] == "llm_delta"], "texts", se.stream_turn_text, files=2)
+    texts = stream(spark, tmp_path, [r for r in rows if r[4] == "llm_delta"], "texts", lambda e: se.stream_turn_text(e, "10 minutes"), files=2)
     assert {r.turn_id: r.assistant_text for r in texts}["t1"] == "ab"
 
 
