@@ -106,11 +106,11 @@ def _(t):
     return gr.concept_backlinks(pages, gr.page_edges(pages))
 
 
-@query("agg9_duplicate_key_groups", f"""WITH d AS (SELECT doc_id, '问答-' || substr(regexp_extract(text, '^[^' || chr(10) || ']*'), 1, 200) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '-' || substr(md5(text), 1, 6) END || '' AS st FROM documents),
+@query("agg9_duplicate_key_groups", f"""WITH d AS (SELECT doc_id, '问答-' || regexp_extract(text, '^[^' || chr(10) || ']*') || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '-' || substr(md5(text), 1, 6) END || '' AS st FROM documents),
 k AS (SELECT {s.link_key("replace(" + s.sub(s.sub(s.strip('st'), chr(92)+'.md'+chr(92)+'z'), '-[0-9a-f]{6,8}'+chr(92)+'z') + ", '问答-', '')")} AS key, st FROM d)
 SELECT key, count(*) AS n, array_to_string(list(st ORDER BY st)[1:20], '|') AS stems FROM k WHERE key <> '' GROUP BY 1 HAVING count(*) > 1""")
 def _(t):
-    stem = F.concat(F.lit("问答-"), F.substring(tx.first_line(F.col("text")), 1, 200),
+    stem = F.concat(F.lit("问答-"), tx.first_line(F.col("text")),
                     F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("-"), F.substring(F.md5("text"), 1, 6))))
     return gr.duplicate_key_groups(t.read("documents").select(stem.alias("stem")), tx.norm_faq_key(F.col("stem"))).withColumn("stems", F.array_join("stems", "|"))
 
@@ -197,21 +197,11 @@ def _(t):
     return rt.bucket_hits(_confident(t)).select("question_id", "stem", "hit_type", "score", "page_rank", "rank")
 
 
-CATS_SQL = "cats AS (SELECT lang AS category_id, row_number() OVER (ORDER BY lang) AS ord, lower(string_agg(source || ' ' || substr(text, 1, 30), ' ')) AS blob FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 5) GROUP BY 1)"
+CATS_SQL = "cats AS (SELECT doc_id AS category_id, doc_id AS ord, lower(source || ' ' || text) AS blob FROM documents)"
 
 
 def _cats(t):
-    from talkweave.operators.ordering import top_rows
-
-    docs = top_rows(t.read("documents"), ["lang"], [F.col("doc_id")], 5)
-    blob = F.array_join(F.collect_list(F.concat("source", F.lit(" "), F.substring("text", 1, 30))), " ")
-    cats = docs.groupBy(F.col("lang").alias("category_id")).agg(blob.alias("blob"))
-    # languages are a small dictionary; their order number is their place in name order
-    order = {"de": 1, "en": 2, "es": 3, "fr": 4}
-    ord_col = F.lit(9)
-    for k, v in order.items():
-        ord_col = F.when(F.col("category_id") == k, v).otherwise(ord_col)
-    return cats.withColumn("ord", ord_col)
+    return t.read("documents").select(F.col("doc_id").alias("category_id"), F.col("doc_id").alias("ord"), F.concat_ws(" ", "source", "text").alias("blob"))
 
 
 @query("top4_rank_categories", f"""WITH {KW_SQL}, {CATS_SQL}, r AS (SELECT question_id, category_id, ord, CAST(len(list_filter(keywords, lambda k: contains(blob, k))) AS DOUBLE) AS score FROM kw, cats),
