@@ -20,16 +20,22 @@ _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class _Known(dict):
-    """Ids by unit; a new unit is worked out, and remembered while there is room."""
+    """Ids by unit; a unit is worked out when it is new, and remembered from its second sight on while
+    there is room, since most units never come again."""
 
     def __init__(self, work, limit: int) -> None:
         super().__init__()
         self.work, self.limit = work, limit
+        self.sighted = bytearray(1 << 22)
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.work(unit)
         if len(self) < self.limit:
-            self[unit] = ids
+            slot = hash(unit) & 0x3FFFFF
+            if self.sighted[slot]:
+                self[unit] = ids
+            else:
+                self.sighted[slot] = 1
         return ids
 
 
@@ -42,7 +48,7 @@ class Encoder:
     outside ``AGREED`` go to the library as they are.
     """
 
-    def __init__(self, path: str, units: int = 700_000) -> None:
+    def __init__(self, path: str, units: int = 690_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -68,7 +74,7 @@ class Encoder:
         return self._model(_BYTES[32] + unit) if unit.isascii() else self._word(" " + unit)
 
     def _words(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, SPLIT.findall(text)))
+        return b"".join([self.spaced[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in SPLIT.findall(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
