@@ -163,14 +163,14 @@ def export_rows(turns: DataFrame, f: TurnFilter = TurnFilter(), limit: int = 200
 
 # --- metrics ------------------------------------------------------------------------
 
-def metric_counters(turns: DataFrame) -> DataFrame:
-    """Counter samples as (name, labels, value)."""
+def metric_counters(turns: DataFrame, tool: str = rules.SEARCH_TOOL) -> DataFrame:
+    """Counter samples as (name, labels, value); ``tool`` labels the calls of the search tool."""
     def sample(name: str, df: DataFrame, labels: dict[str, str]) -> DataFrame:
         pairs = [x for k, c in labels.items() for x in (F.lit(k), F.col(c))]
         return df.select(F.lit(name).alias("name"), F.create_map(*pairs).alias("labels"), F.col("n").cast("double").alias("value"))
 
     by_turn = turns.groupBy("status", "input_mode").agg(F.count(F.lit(1)).alias("n"))
-    tools = turns.filter("tool_called").groupBy(F.lit("query_kefu_wiki").alias("tool")).agg(F.count(F.lit(1)).alias("n"))
+    tools = turns.filter("tool_called").groupBy(F.lit(tool).alias("tool")).agg(F.count(F.lit(1)).alias("n"))
     notes = turns.select(F.explode("retrieval_notes").alias("note")).groupBy("note").agg(F.count(F.lit(1)).alias("n"))
     return (
         sample("voice_turn_total", by_turn, {"status": "status", "input_mode": "input_mode"})

@@ -181,6 +181,13 @@ def lint_report(pages: DataFrame, edges: DataFrame, index_targets: DataFrame, li
     return rows.withColumn("ok", F.col("findings") == 0)
 
 
+def lint_summary(pages: DataFrame, report: DataFrame) -> DataFrame:
+    """One row over a lint report: whether all checks passed, findings, and pages in all and by type."""
+    kinds = [F.count_if(F.col("page_type") == t).alias(f"{t}_pages") for t in KNOWLEDGE]
+    totals = pages.agg(F.count(F.lit(1)).alias("pages"), *kinds)
+    return totals.select(report.agg(F.bool_and("ok")).scalar().alias("all_ok"), report.agg(F.sum("findings")).scalar().alias("findings"), "*")
+
+
 # --- reachability ---------------------------------------------------------------------------
 
 def expand_neighbors(seeds: DataFrame, graph: DataFrame, pages: DataFrame, min_confidence: float = rules.GRAPH_CONFIDENCE) -> DataFrame:

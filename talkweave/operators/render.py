@@ -258,12 +258,13 @@ def parse_drafts(pages: DataFrame) -> DataFrame:
         F.substring(tx.strip(F.regexp_extract("text", "## 会话摘要\\s*\\n+(.+)", 1)), 1, 80).alias("summary"))
 
 
-def attach_link_content(messages: DataFrame, contents: DataFrame, keys: list[str], max_urls: int = 3) -> DataFrame:
-    """Messages (keys, text) with a block per link: content, or why there is none.
+def attach_link_content(messages: DataFrame, contents: DataFrame, keys: list[str], max_urls: int | None = 3,
+                        tool: str = rules.SEARCH_TOOL) -> DataFrame:
+    """Messages (keys, text) with a block for each of the first ``max_urls`` links (None: all): content, or why there is none.
 
     ``contents``: url, kind, content, error. Unsafe links are marked as blocked.
     """
-    listed = messages.select(*keys, "text", F.posexplode(F.slice(ux.extract_urls_distinct(F.col("text")), 1, max_urls)).alias("i", "url"))
+    listed = messages.select(*keys, "text", F.posexplode(F.slice(ux.extract_urls_distinct(F.col("text")), 1, max_urls or 1 << 30)).alias("i", "url"))
     joined = listed.join(contents, "url", "left")
     kind = F.when(~ux.is_safe_url(F.col("url")), "blocked").otherwise(F.coalesce("kind", F.lit("error")))
     error = F.when(kind == "blocked", "不允许访问的内网或非法 URL").otherwise(
@@ -276,7 +277,7 @@ def attach_link_content(messages: DataFrame, contents: DataFrame, keys: list[str
         F.count_if(error.isNotNull()).alias("failed"))
     out = messages.join(packed, keys, "left")
     text = _cat("【客户原始消息】\n", tx.strip(F.col("text")), "\n\n【链接附件解析】（以下由系统自动抓取/OCR，请结合客户问题作答；图片请特别关注客户标注位置）\n",
-                F.array_join("blocks", "\n"), "\n请根据上述附件内容理解客户意图；回答产品问题时仍须调用 query_kefu_wiki，附件仅作上下文，勿编造附件中未出现的信息。")
+                F.array_join("blocks", "\n"), "\n请根据上述附件内容理解客户意图；回答产品问题时仍须调用 ", F.lit(tool), "，附件仅作上下文，勿编造附件中未出现的信息。")
     return out.select(*keys, F.when(F.col("blocks").isNotNull(), text).otherwise(F.col("text")).alias("text"),
                       F.coalesce(F.size("blocks"), F.lit(0)).alias("n_links"), F.coalesce("failed", F.lit(0)).alias("failed"))
 

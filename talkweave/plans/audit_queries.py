@@ -104,7 +104,7 @@ def _(t):
 
 
 @query("agg13_metric_counters", W + """SELECT 'voice_turn_total' AS name, concat('status=', status, ',input_mode=', input_mode) AS labels, CAST(count(*) AS DOUBLE) AS value FROM audit GROUP BY 2
-UNION ALL SELECT 'voice_agent_tool_calls_total', 'tool=query_kefu_wiki', CAST(count(*) AS DOUBLE) FROM audit WHERE tool_called
+UNION ALL SELECT 'voice_agent_tool_calls_total', 'tool=wiki_search', CAST(count(*) AS DOUBLE) FROM audit WHERE tool_called
 UNION ALL SELECT 'voice_wiki_retrieval_notes_total', concat('note=', note), CAST(count(*) AS DOUBLE) FROM (SELECT unnest(retrieval_notes) AS note FROM audit) GROUP BY 2""")
 def _(t):
     labels = F.array_join(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")

@@ -56,6 +56,9 @@ def test_findings(wiki):
     groups = gr.duplicate_key_groups(wiki.filter("page_type = 'faq'").select("stem"), tx.norm_faq_key(F.col("stem"))).collect()
     assert [(g.key, g.n, g.stems) for g in groups] == [("安装高斯", 2, ["问答-安装高斯", "问答-安装高斯-a1b2c3"])]
     report = {r.check: r for r in gr.lint_report(wiki, edges, edges.filter("src = 'index'")).collect()}
+    total = gr.lint_summary(wiki, gr.lint_report(wiki, edges, edges.filter("src = 'index'"))).collect()[0]
+    assert not total.all_ok and total.findings == sum(r.findings for r in report.values())
+    assert total.pages == wiki.count() and total.faq_pages == wiki.filter("page_type = 'faq'").count()
     assert not report["1_index_consistency"].ok and report["5_similar_faq_merged"].findings == 1 and report["7a_same_key_links"].findings == 1
 
 
