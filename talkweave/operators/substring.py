@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from talkweave.functions.text import let
+from talkweave.session import cut_lineage
+
 GRAM = 4
 
 
@@ -43,6 +46,10 @@ def contains_join(needles: DataFrame, texts: DataFrame, n: int = 4, proper: bool
     return checked.select("needle_id", "text_id")
 
 
+def _leading(k: int):
+    return lambda x: F.substring(x, 1, k)
+
+
 def keyword_hits(pages: DataFrame, keywords: DataFrame) -> DataFrame:
     """Rows (page_id, keyword, in_title, in_text) for every keyword found in a page.
 
@@ -52,10 +59,15 @@ def keyword_hits(pages: DataFrame, keywords: DataFrame) -> DataFrame:
     """
     words = keywords.select("keyword").filter(F.length("keyword") > 0).distinct()
     whole = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
-    sizes = F.flatten(F.array(*[grams(whole, k) for k in range(1, GRAM + 1)]))
-    on_pages = pages.select("page_id", F.explode(sizes).alias("gram"))
+    longest = F.array_distinct(F.regexp_extract_all(whole, F.lit(f"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1)))
+    sizes = let(longest, lambda g: F.array_distinct(F.concat(g, *[F.transform(g, _leading(k)) for k in range(1, GRAM)])))
     own = words.select("keyword", F.explode(F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(grams(F.col("keyword"), GRAM))).alias("gram"))
-    frequency = on_pages.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+    # pages give their grams once; what keywords share of them is written and read twice
+    # taking grams costs far more than moving the text, so pages are dealt to all tasks first
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pages.select("page_id", "title", "text").repartition(tasks, "page_id")
+    on_pages = cut_lineage(spread.select("page_id", F.explode(sizes).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi"))
+    frequency = on_pages.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
     rarest = own.join(frequency, "gram", "left").groupBy("keyword").agg(
         F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("gram").alias("gram"))).alias("_r")).filter("_r.df > 0")
     met = on_pages.join(rarest.select("keyword", F.col("_r.gram").alias("gram")), "gram")
@@ -63,5 +75,5 @@ def keyword_hits(pages: DataFrame, keywords: DataFrame) -> DataFrame:
     per_page = met.groupBy("page_id").agg(F.collect_list("keyword").alias("_k"))
     found = F.transform("_k", lambda k: F.struct(k.alias("keyword"), F.coalesce(F.contains("title", k), F.lit(False)).alias("in_title"),
                                                  F.coalesce(F.contains("text", k), F.lit(False)).alias("in_text")))
-    rows = pages.select("page_id", "title", "text").join(per_page, "page_id").select("page_id", F.explode(found).alias("f"))
+    rows = spread.join(per_page, "page_id").select("page_id", F.explode(found).alias("f"))
     return rows.select("page_id", "f.*").filter("in_title OR in_text")
