@@ -55,6 +55,26 @@ def test_plain_tokens_stay():
     assert list(decoder.spaced_words("a b")) == []
 
 
+@pytest.mark.parametrize("token,word", [("“1d10t”", "idiot"), ("1d10t…", "idiot"), ("1d10t—he", "idiot"), ("he—1d10t", "idiot"), ("m0r0n’s", "moron"), ("stu" + "u" * 70 + "pid", "stupid"),
+                                        ("¡cl0wn!", "clown"), ("the," * 30 + "1d10t", "idiot")])
+def test_typographic_marks_and_length_hide_no_word(token, word):
+    assert word in Decoder(trigram_costs(trigram_counts(CORPUS.encode()))).words_of_token(token)
+
+
+def test_tokens_with_other_letters_are_decoded_in_linear_time():
+    decoder = Decoder(trigram_costs(trigram_counts((CORPUS + "le crétin était là. " * 20).encode())))
+    assert "crétin" in decoder.words_of_token("cr€-crét1n") and decoder.words_of_token("l’homme") == ("l", "homme")
+    assert decoder.words_of_token("=" * 200_000 + "—thing") == ("thing",) and len("".join(decoder.restore("12" * 20_000))) == 40_000
+
+
+def test_scores_see_words_next_to_typographic_marks(llm_spark):
+    df = labelled(llm_spark)
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    rows = llm_spark.createDataFrame([(0, "the “1d10t” said"), (1, "the 1d10t— said"), (2, "the person said")], "doc_id long, text string")
+    score = {r.doc_id: r.s for r in rows.select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()}
+    assert score[0] > 0.5 and score[1] > 0.5 and score[2] < 0.5
+
+
 def labelled(spark, n=400):
     words = ["idiot", "clown", "stupid", "1d10t", "s t u p i d", "cl0wn"]
     rows = [(i, CORPUS[i % 50:60 + i % 60].split(";")[0].replace("idiot", "person").replace("clown", "man").replace("stupid", "tall") + (f" {words[i % 6]} he" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(n)]
