@@ -1,8 +1,9 @@
 """Toxicity by a noisy channel: disguised words are decoded first, then the restored text is scored.
 
 1. A character language model is counted over the whole corpus (at most 28**3 counts come together).
-2. Tokens that look disguised (signs for letters, letters apart, letters repeated) are decoded by
-   Viterbi over a lattice of what each sign may stand for, weighed by that model.
+2. Tokens that look disguised (signs for letters, letters apart, a letter twice or more in a row) are decoded by
+   Viterbi over a lattice of what each sign may stand for, weighed by that model. Telling words are also
+   found in pieces ("st up id"), as far as their letters are plain.
 3. A logistic model on the presence of restored words and word beginnings gives the score. It is fitted on at most
    ``max_train`` labelled documents, chosen by a hash of their id.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talkweave.llm.common import kept, whole_text
-from talkweave.llm.deobfuscation import SYMBOLS, Decoder, trigram_costs, trigram_counts
+from talkweave.llm.deobfuscation import SYMBOLS, Decoder, Pieces, trigram_costs, trigram_counts
 
 REMEMBERED = 400_000  # tokens a worker remembers
 
@@ -77,6 +78,7 @@ class _Reader:
 
     def __init__(self, costs: np.ndarray, wanted: frozenset[str] | None = None) -> None:
         self.decoder, self.wanted = Decoder(costs), wanted
+        self.pieces = Pieces(w for w in wanted or () if w.isalpha())
         self.known: dict[str, tuple[str, ...]] = {}
 
     def _of(self, words: Iterable[str]) -> tuple[str, ...]:
@@ -97,6 +99,7 @@ class _Reader:
             if found:
                 out.update(found)
         out.update(self._of(self.decoder.spaced_words(low)))
+        out.update(self._of(list(self.pieces.found(low, out))))
         return out
 
 

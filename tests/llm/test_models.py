@@ -63,10 +63,32 @@ def test_typographic_marks_and_length_hide_no_word(token, word):
 
 def test_tokens_with_other_letters_are_decoded_in_linear_time():
     decoder = Decoder(trigram_costs(trigram_counts((CORPUS + "le crétin était là. " * 20).encode())))
-    assert "crétin" in decoder.words_of_token("cr€-crét1n") and decoder.words_of_token("l’homme") == ("l", "homme")
+    assert "crétin" in decoder.words_of_token("cr€-crét1n") and decoder.words_of_token("l’ami") == ("l", "ami")
     assert decoder.words_of_token("=" * 200_000 + "—thing") == ("thing",) and len("".join(decoder.restore("12" * 20_000))) == 40_000
 
 
+@pytest.mark.parametrize("text,word", [("wwoorrtthhlleess", "worthles"), ("ccllownn", "clown"), ("the wwoorrtthhlleess one", "worthles")])
+def test_doubled_letters_pass_the_gate(text, word):
+    decoder = Decoder(trigram_costs(trigram_counts(CORPUS.encode())))
+    assert any(w.startswith(word) for t in text.split() for w in decoder.words_of_token(t)) and decoder.words_of_token("sorry")[0] == "sorry"
+
+
+@pytest.mark.parametrize("text,word", [("s c u m", "scum"), ("the n o t he", "not"), ("i   d   i   o   t", "idiot"), ("m, 0, r, 0, n", "moron"), ("s\nc\nu\nm", "scum"), ("s — c … u _ m", "scum")])
+def test_letters_apart_by_anything(text, word):
+    assert word in list(Decoder(trigram_costs(trigram_counts(CORPUS.encode()))).spaced_words(text))
+
+
+def test_scores_see_pieces_doubled_letters_and_letters_apart(llm_spark):
+    df = labelled(llm_spark)
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    texts = ["the st up id said", "the sttuuppiidd said", "the s, t, u, p, 1, d said", "the i\nd\ni\no\nt said", "the id   iot said", "the person said", "fist up idle"]
+    rows = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {r.doc_id: r.s for r in rows.select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()}
+    assert [score[i] > 0.5 for i in range(7)] == [True] * 5 + [False] * 2
+    got = toxicity.score_documents(df.select("doc_id", "text").union(rows.selectExpr("doc_id + 1000", "text")), df.select("doc_id", "toxic"))
+    assert [r.predicted for r in got.filter("doc_id >= 1000").orderBy("doc_id").collect()] == [1] * 5 + [0] * 2
+
+
 def test_scores_see_words_next_to_typographic_marks(llm_spark):
     df = labelled(llm_spark)
     model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
