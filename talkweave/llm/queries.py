@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkweave.llm import exact, fingerprints, lines, mixing, ordinal, packing, simhash, suffix, tokens, toxicity
+from talkweave.llm import alignment, exact, fingerprints, lines, mixing, ordinal, packing, simhash, suffix, tokens, toxicity
 from talkweave.llm.common import kept, shared_folder
 from talkweave.session import configure
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -141,3 +142,9 @@ def op8(spark, read):
     found = suffix.remove_repeated_substrings(read("documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op11_token_alignment")
+def op11(spark, read):
+    return alignment.align_corpus(read("documents"), TOKENIZER, PIECES).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
