@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 from hashlib import sha256
 from typing import NamedTuple
 
@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talkweave.llm.common import arrow_rows, kept, whole_text
-from talkweave.llm.encoding import AGREED, _BYTES, Encoder
+from talkweave.llm.encoding import AGREED, _BYTES, _Known, Encoder
 
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}!-~]) (?=[\p{L}\p{N}!-~])")
 RANGE_BYTES = 1 << 16
 FAN_IN = 16
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 class Fragment(NamedTuple):
@@ -49,15 +49,6 @@ class Fragment(NamedTuple):
     same: bool = True  # both tokenizers give the text's own bytes
 
 
-class Joined(NamedTuple):
-    """A unit's closed groups: rendered, pair numbers, tokens of each side (a << 32 | b)."""
-
-    closed: bytes
-    links: bytes
-    sizes: int
-    same: bool
-
-
 @dataclass(frozen=True)
 class Vocabularies:
     """Token bytes of both sides, and a number for every pair that can end together.
@@ -68,11 +59,11 @@ class Vocabularies:
 
     a: dict[int, bytes]
     b: dict[int, bytes]
-    number: dict[tuple[int, int], int]
+    pairs: np.ndarray  # (a, b) in order of their numbers
 
-    def pairs(self) -> np.ndarray:
-        """(a, b) in order of their numbers."""
-        return np.array(sorted(self.number, key=self.number.__getitem__), dtype=np.int64).reshape(-1, 2)
+    def keys(self) -> np.ndarray:
+        """A pair's ids in one number; a pair's own number is its place among them."""
+        return self.pairs[:, 0] << 32 | self.pairs[:, 1]
 
 
 def vocabularies(a_path: str, b_path: str) -> Vocabularies:
@@ -94,70 +85,96 @@ def vocabularies(a_path: str, b_path: str) -> Vocabularies:
             names.setdefault(raw, []).append(i)
     found = {(i, j) for i, raw in a.items() for k in range(len(raw)) for j in by_b.get(raw[k:], ())}
     found |= {(i, j) for j, raw in b.items() for k in range(1, len(raw)) for i in by_a.get(raw[k:], ())}
-    return Vocabularies(a, b, {pair: n for n, pair in enumerate(sorted(found))})
-
-
-def render(a: tuple[int, ...], b: tuple[int, ...]) -> bytes:
-    return f"{','.join(map(str, a))}|{','.join(map(str, b))}".encode()
+    return Vocabularies(a, b, np.array(sorted(found), dtype=np.int64).reshape(-1, 2))
+
+
+def render(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
+    """Groups whose last tokens stand before the places ``ends_a`` and ``ends_b``: "a1,a2|b1;a3|b2,b3"."""
+    if not len(ends_a):
+        return b""
+    group_a = np.repeat(np.arange(len(ends_a)), np.diff(ends_a, prepend=0))
+    group_b = np.repeat(np.arange(len(ends_b)), np.diff(ends_b, prepend=0))
+    # In a group the tokens of a come first; all tokens of earlier groups stand before them.
+    at_a = np.arange(len(group_a)) + np.concatenate(([0], ends_b[:-1]))[group_a]
+    at_b = np.arange(len(group_b)) + ends_a[group_b]
+    ids, sign = np.empty(len(at_a) + len(at_b), dtype=np.int64), np.full(len(at_a) + len(at_b), ord(","), dtype=np.uint8)
+    ids[at_a], ids[at_b] = a[:len(at_a)], b[:len(at_b)]
+    sign[at_a[ends_a - 1]], sign[at_b[ends_b - 1]] = ord("|"), ord(";")
+    digits, width = _decimals(1 << max(16, int(ids.max()).bit_length()))
+    shown = np.empty((len(ids), digits.shape[1] + 1), dtype=np.uint8)
+    shown[:, :-1] = digits[ids]
+    long = width[ids]
+    shown[np.arange(len(ids)), long] = sign
+    return shown[np.arange(shown.shape[1]) <= long[:, None]].tobytes()[:-1]
+
+
+@cache
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of the numbers below ``n``, left-aligned, and how many there are."""
+    text = np.arange(n).astype(f"S{len(str(n - 1))}")
+    return text.view(np.uint8).reshape(n, -1), np.char.str_len(text)
 
 
 class Aligner:
-    """Fragments of units, texts and byte ranges; one per worker and pair of vocabularies."""
+    """Fragments of texts and byte ranges; one per worker and pair of vocabularies."""
 
     def __init__(self, a_path: str, b_path: str, remembered: int = REMEMBERED) -> None:
         import sentencepiece
 
-        self.vocabularies = vocabularies(a_path, b_path)
-        self.number = self.vocabularies.number
-        self.a, self.b = self.vocabularies.a, self.vocabularies.b
+        v = self.vocabularies = vocabularies(a_path, b_path)
+        self.a, self.b = ([side.get(i, b"") for i in range(max(side) + 1)] for side in (v.a, v.b))
+        self.size_a, self.size_b = (np.array(list(map(len, side))) for side in (self.a, self.b))
+        self.keys = v.keys()
         self.encoder = Encoder(a_path, units=0)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         # Units are only independent if no token holds a blank after a character.
-        self.cuts = self.encoder.by_word and not any(b" " in raw.lstrip(b" ") for raw in self.b.values())
-        self.remembered = remembered
-        self.known: dict[str, Joined] = {}
-
-    def tokens(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each unit by both tokenizers, the space before it included."""
-        a = [np.frombuffer(self.encoder.encode(" " + u), dtype="<u4").tolist() for u in units]
-        return a, self.pieces.encode(units, num_threads=1) if units else []
-
-    def fragment(self, unit: str, a: list[int], b: list[int], first: int = 0, last: int | None = None) -> Fragment:
-        """Of the tokens whose ends lie in ``(first, last]``, in bytes from the unit's space on."""
-        raw = b" " + unit.encode()
-        last = len(raw) if last is None else last
-        same = b"".join(map(self.a.__getitem__, a)) == raw and b"".join([self.b.get(j, b"") for j in b]) == raw
-        closed, links, pre, group_a, group_b = [], [], None, [], []
-        place = end_a = end_b = 0
-        n_b = 0
-        for i in a:
-            end_a += len(self.a[i])
-            while place < len(b) and end_b + len(self.b.get(b[place], b"")) <= end_a:
-                end_b += len(self.b.get(b[place], b""))
-                if first < end_b <= last:
-                    group_b.append(b[place])
-                    n_b += 1
-                place += 1
-            if not first < end_a <= last:
-                continue
-            group_a.append(i)
-            if end_a == end_b:
-                if pre is None:
-                    pre = tuple(group_a), tuple(group_b)
-                else:
-                    closed.append(render(tuple(group_a), tuple(group_b)))
-                    links.append(self.number.get((group_a[-1], group_b[-1]), 0) if group_b else 0)
-                group_a, group_b = [], []
-        for j in b[place:]:
-            end_b += len(self.b.get(j, b""))
-            if first < end_b <= last:
-                group_b.append(j)
-                n_b += 1
-        n_a = len(group_a) + (0 if pre is None else len(pre[0])) + sum(g.split(b"|")[0].count(b",") + 1 for g in closed)
-        packed = np.array(links, dtype="<i4").tobytes()
-        if pre is None:
-            return Fragment(tuple(group_a), tuple(group_b), n_a=n_a, n_b=n_b, same=same)
-        return Fragment(*pre, True, b";".join(closed), packed, tuple(group_a), tuple(group_b), n_a, n_b, same)
+        self.cuts = self.encoder.by_word and not any(b" " in raw.lstrip(b" ") for raw in self.b)
+        self.plain = _Known(self._plain_unit, remembered)
+        self.other = _Known(self._unit, remembered // 10)
+
+    def _pieces(self, unit: str) -> bytes:
+        return np.array(self.pieces.encode(unit), dtype="<u4").tobytes()
+
+    def _plain_unit(self, unit: str) -> tuple[bytes, bytes]:
+        return self.encoder._after_space(unit), self._pieces(unit)
+
+    def _unit(self, unit: str) -> tuple[bytes, bytes]:
+        return self.encoder.encode(" " + unit), self._pieces(unit)
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and the text by both tokenizers; units are looked up where they were seen before."""
+        if not self.cuts:
+            parts = [self._unit(text)]
+        elif AGREED.fullmatch(text) and not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or " \t" in text or " \r" in text):
+            parts = list(map(self.plain.__getitem__, text.split(" ")))
+        else:
+            parts = list(map(self.other.__getitem__, SAFE.split(text)))
+        a, b = zip(*parts)
+        return tuple(np.frombuffer(b"".join(side), dtype="<u4").astype(np.int64) for side in (a, b))
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> bytes:
+        """Numbers of pairs of ids."""
+        return np.searchsorted(self.keys, a << 32 | b).astype("<i4").tobytes()
+
+    def fragment(self, text: str, first: int = 0, last: int | None = None) -> Fragment:
+        """Of the tokens of a space and ``text`` whose ends lie in ``(first, last]``, counted in bytes."""
+        raw = b" " + text.encode()
+        a, b = self.tokens(text)
+        if b"".join(map(self.a.__getitem__, a.tolist())) != raw or b"".join(map(self.b.__getitem__, b.tolist())) != raw:
+            return Fragment(same=False)
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        if first > 0 or last is not None:
+            last = len(raw) if last is None else last
+            here_a, here_b = (slice(*np.searchsorted(e, [first, last], side="right")) for e in (end_a, end_b))
+            a, end_a, b, end_b = a[here_a], end_a[here_a], b[here_b], end_b[here_b]
+        at = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(np.append(end_b, -1)[at] == end_a)  # where both end
+        last_b = at[last_a]
+        if not len(last_a):
+            return Fragment(tuple(a.tolist()), tuple(b.tolist()), n_a=len(a), n_b=len(b))
+        x, y, ends_a, ends_b = last_a[0] + 1, last_b[0] + 1, last_a[1:] + 1, last_b[1:] + 1
+        return Fragment(tuple(a[:x].tolist()), tuple(b[:y].tolist()), True, render(a[x:], b[y:], ends_a - x, ends_b - y),
+                        self.links(a[last_a[1:]], b[last_b[1:]]), tuple(a[last_a[-1] + 1:].tolist()), tuple(b[last_b[-1] + 1:].tolist()), len(a), len(b))
 
     def compose(self, left: Fragment, right: Fragment) -> Fragment:
         """Associative; the empty fragment is neutral."""
@@ -167,77 +184,15 @@ class Aligner:
         a, b = left.a_suf + right.a_pre, left.b_suf + right.b_pre
         if not right.cut:
             return left._replace(a_suf=a, b_suf=b, n_a=n_a, n_b=n_b, same=same)
-        group = [g for g in (left.closed, render(a, b), right.closed) if g]
-        link = self.number.get((a[-1], b[-1]), 0) if a and b else 0
-        return Fragment(left.a_pre, left.b_pre, True, b";".join(group), left.links + link.to_bytes(4, "little") + right.links,
+        group = f"{','.join(map(str, a))}|{','.join(map(str, b))}".encode()
+        link = self.links(np.array(a[-1:]), np.array(b[-1:]))
+        return Fragment(left.a_pre, left.b_pre, True, b";".join([g for g in (left.closed, group, right.closed) if g]), left.links + link + right.links,
                         right.a_suf, right.b_suf, n_a, n_b, same)
 
-    def whole(self, fragment: Fragment) -> Joined:
-        """A whole text's fragment: its prefix is a group of its own and nothing is open at its end."""
-        if not fragment.same or not fragment.cut or fragment.a_suf or fragment.b_suf:
-            return Joined(b"", b"", 0, False)
-        full = self.compose(Fragment(cut=True, closed=b""), fragment)
-        return Joined(full.closed, full.links, full.n_a << 32 | full.n_b, True)
-
-    def _learn(self, units: list[str]) -> dict[str, Joined]:
-        """Units that are not remembered, aligned together."""
-        new = list({u for u in units if u not in self.known})
-        a, b = self.tokens(new)
-        found = {u: self.whole(self.fragment(u, x, y)) for u, x, y in zip(new, a, b)}
-        if len(self.known) + len(found) > self.remembered:
-            self.known = {}
-        self.known.update(found)
-        return found
-
-    def units(self, text: str) -> list[str]:
-        if not self.cuts:
-            return [text]
-        if AGREED.fullmatch(text) and not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or " \t" in text or " \r" in text):
-            return text.split(" ")
-        return SAFE.split(text)
-
-    def text(self, text: str) -> Joined:
-        """Closed groups of a text that is not empty; ``same`` is false if the bytes of a side differ from the text's."""
-        units = self.units(text)
-        try:
-            parts = list(map(self.known.__getitem__, units))
-        except KeyError:
-            # What is new is held here too: the memory may be emptied when it is full.
-            held = {u: self.known[u] for u in units if u in self.known}
-            held.update(self._learn(units))
-            parts = list(map(held.__getitem__, units))
-        closed, links, sizes, same = zip(*parts)
-        if not all(same):
-            return Joined(b"", b"", 0, False)
-        return Joined(b";".join(closed), b"".join(links), sum(sizes), True)
-
-    def range(self, piece: str, first: int, last: int) -> Fragment:
-        """Fragment of the tokens of ``piece`` (units with a space before) that end in bytes ``(first, last]``."""
-        units = self.units(piece)
-        out, at, middle = Fragment(), 0, []
-
-        def flush(out: Fragment) -> Fragment:
-            if not middle:
-                return out
-            joined = self.text(" ".join(middle))
-            middle.clear()
-            if not joined.same:
-                return self.compose(out, Fragment(same=False))
-            # The first group of the run is its prefix: the space before it may close a group on the left.
-            group, _, rest = joined.closed.partition(b";")
-            a, b = (tuple(map(int, side.split(b","))) for side in group.split(b"|"))
-            return self.compose(out, Fragment(a, b, True, rest, joined.links[4:], n_a=joined.sizes >> 32, n_b=joined.sizes & 0xFFFFFFFF))
-
-        for u in units:
-            size = len(u.encode()) + 1
-            if first <= at and at + size <= last:
-                middle.append(u)
-            elif at + size > first and at < last:
-                out = flush(out)
-                (a,), (b,) = self.tokens([u])
-                out = self.compose(out, self.fragment(u, a, b, first - at, last - at))
-            at += size
-        return flush(out)
+    def whole(self, fragment: Fragment) -> Fragment:
+        """A whole text's fragment with its prefix closed, which is a group of its own; empty if the bytes of
+        a side differ from the text's."""
+        return self.compose(Fragment(cut=True), fragment) if fragment.same and fragment.cut else Fragment(same=False)
 
 
 def ranges(text: str, size: int) -> list[tuple[str, int, int]]:
@@ -281,10 +236,10 @@ def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
 
 
-def _aligned_batch(ids: list[int | None], found: list[Joined], groups: bool) -> pa.RecordBatch:
+def _aligned_batch(ids: list[int | None], found: list[Fragment], groups: bool) -> pa.RecordBatch:
     n = [len(j.links) // 4 for j in found]
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([j.sizes >> 32 for j in found], pa.int64()), pa.array([j.sizes & 0xFFFFFFFF for j in found], pa.int64()), pa.array(n, pa.int64()),
+        [pa.array(ids, pa.int64()), pa.array([j.n_a for j in found], pa.int64()), pa.array([j.n_b for j in found], pa.int64()), pa.array(n, pa.int64()),
          pa.array([j.closed if groups else None for j in found], pa.binary()), pa.array([j.links for j in found], pa.binary()),
          pa.array([sha256(j.closed).hexdigest() if j.closed else "" for j in found], pa.string())],
         names=["doc_id", "n_a", "n_b", "n_groups", "groups", "links", "groups_sha256"])
@@ -293,9 +248,8 @@ def _aligned_batch(ids: list[int | None], found: list[Joined], groups: bool) ->
 def _whole_texts(a_path: str, b_path: str, groups: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = aligner(a_path, b_path)
-        none = Joined(b"", b"", 0, False)
         for batch in batches:
-            yield _aligned_batch(batch.column("doc_id").to_pylist(), [of.text(t) if t else none for t in batch.column("text").to_pylist()], groups)
+            yield _aligned_batch(batch.column("doc_id").to_pylist(), [of.whole(of.fragment(t)) if t else Fragment() for t in batch.column("text").to_pylist()], groups)
 
     return run
 
@@ -317,7 +271,7 @@ def _range_fragments(a_path: str, b_path: str):
         of = aligner(a_path, b_path)
         for batch in batches:
             for r in batch.to_pylist():
-                yield _fragment_batch([(r["row"], r["doc_id"], r["part"], *of.range(r["piece"], r["first"], r["last"]))])
+                yield _fragment_batch([(r["row"], r["doc_id"], r["part"], *of.fragment(r["piece"], r["first"], r["last"]))])
 
     return run
 
@@ -396,7 +350,7 @@ def with_link_statistics(aligned: DataFrame, a_path: str, b_path: str) -> DataFr
     """Add ``n_links``, ``n_best`` (links whose pair is its b id's most frequent, ties included) and
     ``count_sum`` (of the pairs' counts over the links). ``aligned`` is read twice."""
     found = vocabularies(a_path, b_path)
-    pairs = found.pairs()
+    pairs = found.pairs
     counts = link_counts(aligned, len(pairs))
     context = aligned.sparkSession.sparkContext
     shared = context.broadcast((counts, best_links(counts, pairs)))  # at most as many entries as both vocabularies have bytes
@@ -418,7 +372,7 @@ def with_link_statistics(aligned: DataFrame, a_path: str, b_path: str) -> DataFr
 
 def pair_counts(spark: SparkSession, aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``a_id``, ``b_id``, ``n`` of every linked pair: a translation table between the vocabularies."""
-    pairs = vocabularies(a_path, b_path).pairs()
+    pairs = vocabularies(a_path, b_path).pairs
     counts = link_counts(aligned, len(pairs))
     seen = np.flatnonzero(counts)
     return spark.createDataFrame(pa.table({"a_id": pairs[seen, 0], "b_id": pairs[seen, 1], "n": counts[seen]}), "a_id long, b_id long, n long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkweave.llm import alignment, exact, fingerprints, lines, mixing, ordinal, packing, simhash, suffix, tokens, toxicity
+from talkweave.llm import alignment, exact, fingerprints, hardnegatives, language, lines, mixing, ordinal, packing, simhash, suffix, tokens, toxicity
 from talkweave.llm.common import kept, shared_folder
 from talkweave.session import configure
 
@@ -148,3 +148,30 @@ def op8(spark, read):
 def op11(spark, read):
     return alignment.align_corpus(read("documents"), TOKENIZER, PIECES).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_language_id")
+def op12(spark, read):
+    return language.identify(read("documents"))
+
+
+@query("op13_hard_negatives", """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.row <> b.row),
+p AS (
+  SELECT *, row_number() OVER () AS w
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) AS n FROM s WHERE same) WHERE n <= 5),
+m AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.w ORDER BY s.score DESC, s.vec_id NULLS LAST, s.row) AS rank,
+         s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 10
+""")
+def op13(spark, read):
+    return hardnegatives.mine(read("embeddings"))
