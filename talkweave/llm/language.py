@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-SIZES = (2, 3, 4, 5)  # characters of an n-gram; a blank stands for whatever is between words
+SIZES = (2, 3, 4)  # characters of an n-gram; a blank stands for whatever is between words
 HASHES = 3
 SLOTS_PER_GRAM = 8
 MIN_SHARE = 1e-5  # of a language's n-grams of one size
@@ -42,7 +42,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(text: str) -> Iterator[np.ndarray]:
-    """Hashes of all n-grams of ``text``, in several arrays.
+    """Hashes of all n-grams of ``text``: for every piece one array per size of ``SIZES``.
 
     Letters count in lower case; every run of other characters is one blank, also at both ends. N-grams
     that are blank in their middle or hold no letter are not counted.
@@ -58,41 +58,45 @@ def gram_hashes(text: str) -> Iterator[np.ndarray]:
         single = np.concatenate(([True], (points[1:] != 0) | (points[:-1] != 0))) if len(points) else np.zeros(0, dtype=bool)
         seen = int(single[:seen].sum())
         points = points[single]
+        blank = points == 0
         for n in SIZES:
-            count = len(points) - n + 1
-            first = max(0, seen - n + 1)
-            if count <= first:
+            # Those that begin early enough to have been complete in the piece before are left out.
+            first, last = max(0, seen - n + 1), len(points) - n + 1
+            if last <= first:
+                yield np.zeros(0, dtype=np.uint64)
                 continue
-            h = np.full(count - first, n, dtype=np.uint64)
+            h = np.zeros(last - first, dtype=np.uint64)
             for k in range(n):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + points[first + k:first + k + count - first] + np.uint64(1)
-            inner = np.ones(count - first, dtype=bool)
-            for k in range(1, n - 1):
-                inner &= points[first + k:first + k + count - first] != 0
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h += points[first + k:last + k]
             if n == 2:
-                inner = (points[first:first + count - first] != 0) | (points[first + 1:first + 1 + count - first] != 0)
-            yield _mixed(h[inner])
+                out = blank[first:last] & blank[first + 1:last + 1]
+            else:
+                out = blank[first + 1:last + 1].copy()
+                for k in range(2, n - 1):
+                    out |= blank[first + k:last + k]
+            yield _mixed(h[~out] + np.uint64(n))
         rest = points[max(0, len(points) - keep):]
 
 
 @dataclass(frozen=True)
 class LanguageFilter:
     languages: tuple[str, ...]
-    slots: np.ndarray  # (slots, words) of uint64 masks
+    slots: np.ndarray  # (slots, words) of masks: one word of the least width that does, or several of 64 bits
     chance: np.ndarray  # per language: share of absent n-grams that are found
     prior: np.ndarray  # per language: share of the learned documents
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         """(n-grams, words): the languages that contain each."""
-        out = self.slots[_slot(grams, 0, len(self.slots))]
+        out = np.take(self.slots, _slot(grams, 0, len(self.slots)), axis=0)
         for k in range(1, HASHES):
-            out = out & self.slots[_slot(grams, k, len(self.slots))]
+            out &= np.take(self.slots, _slot(grams, k, len(self.slots)), axis=0)
         return out
 
 
 def _slot(grams: np.ndarray, k: int, slots: int) -> np.ndarray:
-    step = (grams >> np.uint64(32)) | np.uint64(1)
-    return ((grams + np.uint64(k) * step) & np.uint64(slots - 1)).astype(np.int64)
+    return ((grams >> np.uint64(20 * k)) & np.uint64(slots - 1)).view(np.int64) if k * 20 + slots.bit_length() <= 64 else (
+        (_mixed(grams + np.uint64(k)) & np.uint64(slots - 1)).view(np.int64))
 
 
 def held_out(doc_id: Column, folds: int = 4, remainder: int = 2) -> Column:
@@ -146,6 +150,7 @@ def gram_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
 def build_filter(languages: list[str], prior: np.ndarray, rows: list[tuple[int, int]]) -> LanguageFilter:
     """Filter from (n-gram, place of a language) rows."""
     words = max(1, -(-len(languages) // 64))
+    width = next((w for w in (8, 16, 32) if len(languages) <= w), 64)
     grams = np.array([g for g, _ in rows], dtype=np.int64).view(np.uint64)
     of = np.array([i for _, i in rows], dtype=np.int64)
     n = len(np.unique(grams))
@@ -154,7 +159,7 @@ def build_filter(languages: list[str], prior: np.ndarray, rows: list[tuple[int,
     for k in range(HASHES):
         np.bitwise_or.at(masks, (_slot(grams, k, slots), of // 64), np.uint64(1) << (of % 64).astype(np.uint64))
     fill = np.array([((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
-    return LanguageFilter(tuple(languages), masks, fill**HASHES, prior)
+    return LanguageFilter(tuple(languages), masks.astype(f"u{width // 8}"), fill**HASHES, prior)
 
 
 def fit(docs: DataFrame, min_share: float = MIN_SHARE, rival_share: float = RIVAL_SHARE) -> LanguageFilter:
@@ -186,8 +191,10 @@ def shares(model: LanguageFilter, text: str) -> tuple[int, np.ndarray]:
     for grams in gram_hashes(text):
         n += len(grams)
         masks = model.masks(grams)
-        for i in range(len(hits)):
-            hits[i] += np.count_nonzero(masks[:, i // 64] & (np.uint64(1) << np.uint64(i % 64)))
+        for word in range(masks.shape[1]):
+            column = np.ascontiguousarray(masks[:, word])
+            for i in range(64 * word, min(len(hits), 64 * word + 64)):
+                hits[i] += np.count_nonzero(column & column.dtype.type(1 << i % 64))
     if not n:
         return 0, hits
     return n, np.clip((hits / n - model.chance) / np.maximum(1e-9, 1 - model.chance), 0.0, 1.0)

@@ -47,6 +47,7 @@ def test_filter_returns_all_languages_of_a_gram():
     for g, i in rows:
         held[g].add(i)
     masks = model.masks(values.view(np.uint64))
+    assert masks.shape == (6000, 3)
     strays = 0
     for g, mask in zip(values.tolist(), masks.tolist()):
         found = {i for i in range(130) if mask[i // 64] >> i % 64 & 1}
