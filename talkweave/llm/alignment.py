@@ -125,7 +125,7 @@ class Aligner:
         self.a, self.b = ([side.get(i, b"") for i in range(max(side) + 1)] for side in (v.a, v.b))
         self.size_a, self.size_b = (np.array(list(map(len, side))) for side in (self.a, self.b))
         self.keys = v.keys()
-        self.encoder = Encoder(a_path, units=0)
+        self.encoder = Encoder(a_path, units=150_000)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         # Units are only independent if no token holds a blank after a character.
         self.cuts = self.encoder.by_word and not any(b" " in raw.lstrip(b" ") for raw in self.b)
