@@ -41,7 +41,12 @@ def commit_once(events: DataFrame) -> DataFrame:
 
 
 def turn_bounds(events: DataFrame) -> DataFrame:
-    """Per turn: first commit, and the first cancel after it (the one that takes effect)."""
+    """Per turn: first commit, and the first cancel after it (the one that takes effect).
+
+    Where events have a ``generation_id``, a cancel that names another generation has no effect.
+    """
+    if "generation_id" in events.columns:
+        events = events.filter((F.col("type") != "cancel") | F.col("generation_id").isNull() | (F.col("generation_id") == generation_id(F.col("turn_id"))))
     commits = events.filter("type = 'turn_commit_request'").groupBy(*TURN).agg(F.min(_arrival()).alias("commit"))
     cancels = events.filter("type = 'cancel'").select(*TURN, _arrival().alias("_c")).join(commits, TURN).filter(F.col("_c") > F.col("commit"))
     first = cancels.groupBy(*TURN).agg(F.min("_c").alias("cancel"))
@@ -181,6 +186,18 @@ def asr_latest(events: DataFrame) -> DataFrame:
         F.bool_or(F.col("type") == "asr_final").alias("is_final"), F.count(F.lit(1)).alias("updates"))
 
 
+def asr_stamped(events: DataFrame, opens: Column, results: Column) -> DataFrame:
+    """Recognised texts with the turn their session opened last, at or before them; before any, their own.
+
+    An as-of join as one pass: openings and results stand in one order, and the last opening is carried
+    over time slots, so that a long session spreads over all tasks.
+    """
+    opened = F.when(opens, F.struct(*ARRIVAL, F.col("turn_id").alias("turn")))
+    marked = events.filter(opens | results).withColumn("_o", opened).withColumn("_result", results)
+    carried = running(marked, ["session_id"], [F.col(c) for c in ARRIVAL], _slot(), {"_last": ("max", F.col("_o"))})
+    return carried.filter("_result").withColumn("turn_id", F.coalesce("_last.turn", "turn_id")).drop("_o", "_last", "_result")
+
+
 def turn_metrics(events: DataFrame, width: str = "1 minute", slide: str | None = None) -> DataFrame:
     """Commits, turns committed, duplicate commits and their rate, cancels, completions and errors per time window.
 

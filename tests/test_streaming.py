@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from talkweave.operators import turns as tn
 from talkweave.streaming import events as se
+from talkweave.streaming import sessions as sn
 from talkweave.streaming import turns as st
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -157,3 +158,94 @@ def test_history_and_gauge(spark):
     turns = spark.createDataFrame([("s1", 1, "q", "hi"), ("s2", 2, "q2", "")], "session_id string, id bigint, user_text string, assistant_text string")
     got = [(r.session_id, r.role, r.text) for r in tn.thread_history(turns, "hi").orderBy("session_id", "turn", "side").collect()]
     assert got == [("s1", "user", "q"), ("s1", "assistant", "hi"), ("s2", "assistant", "hi"), ("s2", "user", "q2")]
+
+
+def shuffled(rows, seed):
+    """Rows out of order by a few places, as a network would deliver them."""
+    import random
+
+    rng = random.Random(seed)
+    return [r for _, r in sorted(((n + rng.uniform(0, 6), r) for n, r in enumerate(rows)), key=lambda x: x[0])]
+
+
+END = ev(10_000, "t-end", "turn_commit_request", s="s-end")  # moves the watermark past all other rows
+
+
+@pytest.fixture(scope="module")
+def many():
+    """Several sessions with interleaved turns: repeats, foreign cancels, cancels before and after deltas."""
+    import random
+
+    rng, rows = random.Random(11), []
+    for i in range(1, 260):
+        kind = rng.choice(["turn_commit_request", "llm_delta", "llm_delta", "llm_delta", "cancel", "audio_complete"])
+        turn = f"t{i // 60}-{rng.randrange(3)}"
+        rows.append(ev(i, turn, kind, i, f"<{i}>", rng.choice([f"g_{turn}", "g_other", None]) if kind == "cancel" else None, s=f"s{i % 3}"))
+    return rows
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_session_states_equal_batch(spark, tmp_path, many, files):
+    got = stream(spark, tmp_path, [*shuffled(many, files), END], f"states{files}", lambda e: sn.session_states(e, "30 seconds"), files=files)
+    if files == 1:  # one batch: the watermark moves once all rows are in
+        assert not any(r.late for r in got)
+    want = {(r.session_id, r.event_id, r.type, r.state) for r in tn.session_state(spark.createDataFrame(many, SCHEMA)).collect()}
+    assert {(r.session_id, r.event_id, r.type, r.state) for r in got} == want and len(got) == len(want)
+
+
+def test_late_rows_are_reported(spark, tmp_path):
+    rows = [ev(1, "t1", "turn_commit_request"), ev(100, "t1", "llm_delta", 0, "a"), ev(500, "t1", "audio_complete"), ev(2, "t1", "llm_delta", 1, "late", at=2), END]
+    got = {(r.event_id, r.state, r.late) for r in stream(spark, tmp_path, rows, "lates", lambda e: sn.session_states(e, "10 seconds"), files=5)}
+    assert got == {(1, "thinking", False), (100, "speaking", False), (500, "listening", False), (2, None, True)}
+
+
+def test_forgotten_turns_begin_anew(spark, tmp_path):
+    rows = [ev(1, "t1", "turn_commit_request"), ev(2, "t1", "audio_complete"), ev(900, "t2", "cancel"), ev(1800, "t1", "turn_commit_request"), END]
+    got = {r.event_id: r.state for r in stream(spark, tmp_path, rows, "keep", lambda e: sn.session_states(e, "10 seconds", keep_ms=60_000), files=5)}
+    assert got == {1: "thinking", 2: "listening", 900: "listening", 1800: "thinking"}
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_turn_texts_equal_batch(spark, tmp_path, many, files):
+    got = stream(spark, tmp_path, [*shuffled(many, files), END], f"turntexts{files}", lambda e: sn.turn_texts(e, 600_000, "30 seconds"), files=files)
+    want = {tuple(r) for r in tn.assemble_turn_text(spark.createDataFrame(many, SCHEMA)).collect()}
+    assert {tuple(r)[:-1] for r in got} == want and not any(r.late for r in got)
+
+
+def test_turn_texts_keep_what_was_said_before_a_cancel(spark, tmp_path):
+    got = stream(spark, tmp_path, [*EVENTS, END], "cancelled", lambda e: sn.turn_texts(e, 60_000, "10 seconds"), files=3)
+    by = {(r.session_id, r.turn_id): r for r in got}
+    assert (by["s1", "t1"].assistant_text, by["s1", "t1"].status, by["s1", "t1"].latency_ms_e2e) == ("你好，世界。", "cancelled", 5000)
+    assert (by["s1", "t2"].assistant_text, by["s1", "t2"].status) == ("好的", "ok")
+    assert (by["s2", "t3"].assistant_text, by["s2", "t3"].status, by["s2", "t3"].latency_ms_e2e) == ("", "open", None)
+
+
+def test_long_turns_are_passed_on_in_parts(spark, tmp_path):
+    rows = [ev(1, "t1", "turn_commit_request"), *(ev(2 + i, "t1", "llm_delta", i, f"{i},") for i in range(25)), ev(40, "t1", "audio_complete")]
+    pace = [*rows, ev(200, "t2", "turn_commit_request"), END]
+    got = sorted(stream(spark, tmp_path, pace, "parts", lambda e: sn.turn_texts(e, 60_000, "2 seconds", rows_per_part=10), files=9), key=lambda r: r.part)
+    want = sorted((r for r in tn.assemble_turn_text(spark.createDataFrame(rows, SCHEMA), rows_per_part=10).collect()), key=lambda r: r.part)
+    got = [r for r in got if r.turn_id == "t1"]
+    assert [(r.part, r.assistant_text, r.llm_first_token_ms) for r in got] == [(r.part, r.assistant_text, r.llm_first_token_ms) for r in want]
+    assert [r.status for r in got] == ["open", "open", "ok"] and got[-1].latency_ms_e2e == want[-1].latency_ms_e2e
+
+
+def test_results_carry_the_latest_turn(spark, tmp_path):
+    rows = [ev(1, "t1", "asr_partial", 0, "own"), ev(2, "t1", "audio_chunk"), ev(3, "t1", "asr_partial", 1, "a"), ev(4, "t2", "audio_chunk"), ev(5, "t1", "asr_final", 2, "late final"),
+            ev(6, "t9", "asr_final", 0, "other", s="s2"), ev(7, "t2", "asr_final", 3, "b")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kind = F.col("type")
+    batch = {(r.event_id, r.turn_id) for r in tn.asr_stamped(df, kind == "audio_chunk", kind.startswith("asr_")).collect()}
+    assert batch == {(1, "t1"), (3, "t1"), (5, "t2"), (6, "t9"), (7, "t2")}
+    got = stream(spark, tmp_path, [*shuffled(rows, 3), END], "latest", lambda e: sn.latest_turns(e, delay="20 seconds"), files=3)
+    assert {(r.event_id, r.turn_id) for r in got} == batch
+
+
+def test_gauge_stream_equals_batch_at_window_ends(spark, tmp_path):
+    rows = [ev(i, "t", "open" if i % 3 else "close", s=f"s{i % 4}", at=i * 7) for i in range(60)]
+    change = F.when(F.col("type") == "open", 1).otherwise(-1)
+    build = lambda e: sn.connection_gauge(e.withColumn("change", change), "1 minute", "5 seconds")
+    got = {r.window_end: r.active for r in stream(spark, tmp_path, [*rows, ev(1000, "t", "open"), ev(9000, "t", "open")], "gauge", build, files=6)}
+    gauge = tn.active_connections(spark.createDataFrame([*rows, ev(1000, "t", "open")], SCHEMA), F.col("type") == "open", F.col("type") == "close")
+    last = gauge.groupBy(F.window("event_time", "1 minute")["end"].alias("e")).agg(F.max_by("active", F.struct("event_time", "event_id")).alias("a")).collect()
+    assert got == {r.e: r.a for r in last}
