@@ -209,13 +209,23 @@ def latency_slo(turns: DataFrame, targets: dict[str, float] | None = None) -> Da
 
 
 def voice_slo(events: DataFrame) -> DataFrame:
-    """Duplicate-commit rate and barge-in delay (cancel to next event of the session) against targets."""
+    """Duplicate-commit rate against its target."""
     commits = events.filter(F.col("type") == "turn_commit_request").groupBy("session_id", "turn_id").agg(F.count(F.lit(1)).alias("n"))
     dup = commits.agg(F.sum(F.col("n") - 1).alias("duplicates"), F.sum("n").alias("commits"))
     return dup.withColumn("duplicate_rate", _rate(F.col("duplicates"), F.col("commits"))).withColumn(
         "met", F.col("duplicate_rate") < rules.DUPLICATE_COMMIT_TARGET)
 
 
+def barge_in_delays(events: DataFrame) -> DataFrame:
+    """``stop_ms`` of each turn with an effective cancel: from the cancel to the turn's last delta after it, 0 if none came."""
+    from talkweave.operators.turns import TURN, turn_bounds
+
+    cancels = turn_bounds(events).filter(F.col("cancel").isNotNull()).select(*TURN, "cancel")
+    deltas = events.filter("type = 'llm_delta'").groupBy(*TURN).agg(F.max(F.struct("event_time", "event_id")).alias("_last"))
+    stop = F.unix_millis("_last.event_time") - F.unix_millis("cancel.event_time")
+    return cancels.join(deltas, TURN, "left").select(*TURN, F.when(F.col("_last") > F.col("cancel"), stop).otherwise(0).alias("stop_ms"))
+
+
 def barge_in_slo(delays: DataFrame, target_ms: float = rules.BARGE_IN_TARGET_MS) -> DataFrame:
     """95th percentile of ``stop_ms`` (cancel request to acknowledged stop) against its target."""
     return exact_percentiles(delays, [], "stop_ms", [0.95]).withColumn("met", F.col("p95") <= target_ms)

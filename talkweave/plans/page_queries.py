@@ -15,10 +15,10 @@ from talkweave.plans import sqltext as s
 from talkweave.plans.graph_queries import WIKI_EDGES
 from talkweave.plans.registry import query
 from talkweave.plans.text_queries import WIKI_WITH
-from talkweave.session import cut_lineage
+from talkweave.session import cut_lineage, shared_folder
 from talkweave.sources import readers as rs
 from talkweave.sources.adapters import DOCS_SQL
-from talkweave.sources.writers import assemble_fragments, taxonomy_document
+from talkweave.sources.writers import append_run_log, assemble_fragments, taxonomy_document, write_pages_markdown, write_report
 
 DAY = "2024-01-01"
 
@@ -278,3 +278,39 @@ def _(t):
         "j.concepts", F.lit(0.0), lambda a, c: a + F.get(c["related_doc_indices"], F.lit(0))).cast("bigint").alias("docs"))
 
 
+
+
+@query("snk1_write_pages", WIKI_WITH + "SELECT rel_path, stem, page_type, md5(text) AS h FROM wiki")
+def _(t):
+    folder = shared_folder(t.spark)
+    write_pages_markdown(pages(t), folder)
+    return rs.read_wiki_pages(t.spark, folder).select("rel_path", "stem", "page_type", F.md5("text").alias("h"))
+
+
+@query("snk3_write_report", "SELECT source AS kind, count(*) AS n FROM documents GROUP BY 1")
+def _(t):
+    folder = shared_folder(t.spark)
+    write_report(t.read("documents").groupBy(F.col("source").alias("kind")).agg(F.count(F.lit(1)).alias("n")), folder)
+    return t.spark.read.schema("kind string, n bigint").json(folder)
+
+
+@query("snk6_append_run_log", """SELECT 'first' AS label, count(*) AS docs, count(DISTINCT source) AS sources FROM documents
+UNION ALL SELECT 'second', count(*), count(DISTINCT source) FROM documents WHERE lang = 'en'""")
+def _(t):
+    folder, docs = shared_folder(t.spark), t.read("documents")
+    for label, rows in (("first", docs), ("second", docs.filter("lang = 'en'"))):
+        append_run_log(rows.agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("source").alias("sources")), folder, label)
+    return t.spark.read.schema("label string, docs bigint, sources bigint").json(folder)
+
+
+@query("src1_chat_messages", """SELECT CASE WHEN conv_id % 13 = 5 THEN '  ' ELSE conv_id::VARCHAR END AS session_id, conv_id * 100000 + turn AS msg_id, CASE WHEN turn % 11 = 3 THEN NULL ELSE CASE role WHEN 'user' THEN 2 WHEN 'assistant' THEN 1 ELSE 3 END END AS sender_type,
+ CASE WHEN conv_id % 13 = 5 THEN 'NO_SESSION' WHEN turn % 7 = 2 THEN 'BAD_TIME' WHEN turn % 11 = 3 THEN 'BAD_SENDER' WHEN text IS NULL THEN 'NO_CONTENT' END AS problem,
+ CASE WHEN conv_id % 13 = 5 THEN '  ' WHEN turn % 7 = 2 THEN '2024-13-99' WHEN turn % 11 = 3 THEN 'x' || role END AS bad_value, md5(text) AS h FROM conversations""")
+def _(t):
+    # An export with other headers, in which some rows are broken.
+    turn, conv = F.col("turn"), F.col("conv_id")
+    raw = t.read("conversations").select(
+        F.when(conv % 13 == 5, "  ").otherwise(conv.cast("string")).alias("mainUniqueId"), F.when(turn % 7 == 2, "2024-13-99").otherwise("2024-01-01 08:00:00").alias("createTime"),
+        F.when(turn % 11 == 3, F.concat(F.lit("x"), "role")).otherwise(F.when(F.col("role") == "user", "2").when(F.col("role") == "assistant", "1").otherwise("3")).alias("senderType"),
+        F.col("text").alias("content"), (conv * 100000 + turn).alias("msg_id"))
+    return rs.checked_chat_rows(raw).select("session_id", "msg_id", "sender_type", "problem", "bad_value", F.md5("content").alias("h"))

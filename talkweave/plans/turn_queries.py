@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from talkweave import rules
 from talkweave.functions.sound import rms
+from talkweave.operators import sketches as sk
 from talkweave.operators import turns as tn
+from talkweave.operators.audit import barge_in_delays
 from talkweave.plans.registry import query
 from talkweave.sources.adapters import AUDIT_SQL, VOICE_SQL
-from talkweave.streaming.events import parse_voice_events
+from talkweave.streaming.events import body_fields, parse_voice_events, quarantine
 
 # (event_time, event_id) as one ordered value
 AT = "(epoch_us(event_time)::HUGEINT * 1000000000 + event_id)"
@@ -104,6 +106,13 @@ def _(t):
     return tn.asr_latest(t.voice_events().filter("type IN ('llm_delta', 'audio_complete')").withColumn("type", kind))
 
 
+@query("str9b_latest_turn", f"""WITH {VOICE_SQL}, l AS (SELECT *, last_value(CASE WHEN type = 'vad_event' THEN turn_id END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY event_time, event_id ROWS UNBOUNDED PRECEDING) AS opened FROM voice)
+SELECT session_id, event_id, text, coalesce(opened, turn_id) AS turn_id FROM l WHERE type IN ('llm_delta', 'audio_complete')""")
+def _(t):
+    kind = F.col("type")
+    return tn.asr_stamped(t.voice_events(), kind == "vad_event", kind.isin("llm_delta", "audio_complete")).select("session_id", "event_id", "text", "turn_id")
+
+
 @query("str10_turn_metrics", f"""WITH {VOICE_SQL} SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, event_time)) AS window_start, count(*) FILTER (type = 'turn_commit_request') AS commits,
  count(DISTINCT session_id || '|' || turn_id) FILTER (type = 'turn_commit_request') AS turns,
  count(*) FILTER (type = 'turn_commit_request') - count(DISTINCT session_id || '|' || turn_id) FILTER (type = 'turn_commit_request') AS duplicates,
@@ -121,6 +130,41 @@ def _(t):
     return tn.latency_windows(t.audit_turns(), "1 day")
 
 
+GROWTH = "((1 + 0.01::DOUBLE) / (1 - 0.01::DOUBLE))"
+
+
+def sketch_sql(rows: str, keys: str) -> str:
+    """Quantiles of log buckets over ``rows`` (keys, v) as SQL."""
+    est = ", ".join(f"round(CASE WHEN min(bucket) FILTER (upto > floor({p}::DOUBLE * (total - 1))) = -2147483648 THEN 0.0 ELSE "
+                    f"pow({GROWTH}, min(bucket) FILTER (upto > floor({p}::DOUBLE * (total - 1)))) * (2 / ({GROWTH} + 1)) END, 6) AS p{round(p * 100)}" for p in (0.5, 0.95, 0.99))
+    return f"""r AS ({rows}), s AS (SELECT {keys}, CASE WHEN v > 0 THEN ceil(ln(v) / ln({GROWTH})) ELSE -2147483648 END AS bucket, count(*) AS n FROM r WHERE v IS NOT NULL GROUP BY ALL),
+ c AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM s)
+SELECT {keys}, max(total)::BIGINT AS n, {est} FROM c GROUP BY {keys}"""
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) if c[0] == "p" and c[1:].isdigit() else c for c in df.columns])
+
+
+@query("agg15d_latency_sketch", f"WITH {AUDIT_SQL}, " + sketch_sql("SELECT input_mode, latency_ms_e2e::DOUBLE AS v FROM audit", "input_mode"))
+def _(t):
+    return _rounded(sk.sketch_quantiles(sk.log_sketch(t.audit_turns(), ["input_mode"], "latency_ms_e2e"), ["input_mode"], [0.5, 0.95, 0.99]))
+
+
+@query("str10d_sliding_latency", f"WITH {AUDIT_SQL}, " + sketch_sql(
+    "SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, created_at) + INTERVAL 6 HOUR * (1 + k)) AS window_end, latency_ms_e2e::DOUBLE AS v FROM audit, range(4) AS i(k)", "window_end"))
+def _(t):
+    found = sk.sketch_quantiles(sk.sliding_sketches(t.audit_turns(), "created_at", "latency_ms_e2e", "6 hours", 4), ["window_end"], [0.5, 0.95, 0.99])
+    return _rounded(found).withColumn("window_end", F.unix_micros("window_end"))
+
+
+@query("agg15e_barge_in_delays", W + """, d AS (SELECT session_id, turn_id, max(arr) AS last, arg_max(event_time, arr) AS said FROM j WHERE type = 'llm_delta' GROUP BY 1, 2),
+xs AS (SELECT session_id, turn_id, x, max(CASE WHEN arr = x THEN event_time END) AS xt FROM j WHERE x IS NOT NULL GROUP BY 1, 2, 3)
+SELECT session_id, turn_id, CASE WHEN last > x THEN (epoch_us(said) // 1000) - (epoch_us(xt) // 1000) ELSE 0 END AS stop_ms FROM xs LEFT JOIN d USING (session_id, turn_id)""")
+def _(t):
+    return barge_in_delays(t.voice_events())
+
+
 @query("str10c_active_connections", f"""WITH {VOICE_SQL} SELECT event_id, CAST(sum(CASE type WHEN 'vad_event' THEN 1 ELSE -1 END) OVER (ORDER BY event_time, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS active FROM voice WHERE type IN ('vad_event', 'cancel')""")
 def _(t):
     return tn.active_connections(t.voice_events(), F.col("type") == "vad_event", F.col("type") == "cancel").select("event_id", "active")
@@ -147,3 +191,18 @@ def _(t):
         F.when(n % 7 == 0, "  ").otherwise(F.col("text")).alias("reason"), F.concat(F.lit("g_"), "turn_id").alias("generation_id"),
         F.lit("speech_start").alias("event"), F.col("event_id").cast("string").alias("text")))
     return parse_voice_events(t.voice_events().select(body.alias("value"))).select(F.col("text").cast("bigint").alias("event_id"), "problem", "input_mode")
+
+
+@query("src9b_quarantine", f"""WITH {VOICE_SQL} SELECT event_id, 'INVALID_EVENT' AS problem, CASE WHEN seq % 9 = 0 THEN NULL ELSE type END AS kind, CASE WHEN seq % 9 <> 0 AND seq % 2 = 0 THEN seq END AS depth,
+ CASE WHEN seq % 9 <> 0 THEN text END AS tag, seq % 9 <> 0 AS whole FROM voice WHERE type IN ('llm_delta', 'audio_complete', 'vad_event')""")
+def _(t):
+    # Events of unknown types with a nested body; of some the text is cut off, of some a field has another type.
+    events = t.voice_events().filter("type IN ('llm_delta', 'audio_complete', 'vad_event')")
+    n = F.col("seq")
+    event = F.to_json(F.struct(F.concat(F.lit("x_"), "type").alias("type"), F.col("event_id").alias("id"), F.struct(
+        F.when(n % 2 == 0, n.cast("string")).otherwise(F.lit("deep")).alias("depth"), F.array("text").alias("tags")).alias("note")))
+    value = F.when(n % 9 == 0, F.concat(F.substring(event, 1, 12), F.lit("#"), "event_id")).otherwise(event)
+    found = quarantine(parse_voice_events(events.select(value.alias("value"))))
+    typed = body_fields(found, {"kind": ("$.type", "string"), "depth": ("$.note.depth", "bigint"), "tag": ("$.note.tags[0]", "string"), "id": ("$.id", "bigint")})
+    event_id = F.coalesce("id", F.substring_index("raw", "#", -1).try_cast("bigint"))
+    return typed.select(event_id.alias("event_id"), "problem", F.expr("substr(kind, 3)").alias("kind"), "depth", "tag", F.col("body").isNotNull().alias("whole"))

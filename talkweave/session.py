@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +40,33 @@ def local_session(cores: str = "8", app: str = "talkweave", shuffle_partitions:
     return configure(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and forget how it was made.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A private
-    folder is made only when none is configured, which is the case in local tests.
+    A private one takes its place only in a local session, whose tasks run on this machine; elsewhere
+    the setting must be there.
     """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        folder = tempfile.mkdtemp(prefix="talkweave-shared-")
+        context.setCheckpointDir(folder)
+        return folder
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below the shared one; what is written there stays until its owner removes it."""
+    return f"{shared_base(spark)}/talkweave-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder and forget how it was made."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="talkweave-checkpoint-")
-        context.setCheckpointDir(folder)
+        base = shared_base(df.sparkSession)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(base)
     return df.checkpoint(eager=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from talkweave import rules
@@ -18,8 +20,28 @@ TURN_SCHEMA = (
 
 # --- chat exports ---------------------------------------------------------------------
 
+def checked_chat_rows(raw: DataFrame) -> DataFrame:
+    """Rows of an export whose fields are text, typed, with a ``problem`` for those that cannot be used.
+
+    ``NO_SESSION``: blank id; ``BAD_TIME``, ``BAD_SENDER``: a value that is no time or whole number;
+    ``NO_CONTENT``: null content. The text of a bad field stays in ``bad_value``. Nothing is nulled silently: good
+    rows are ``problem IS NULL``, the others go to whoever mends the export.
+    """
+    df = _renamed_chat(raw)
+    when, sender = F.col("created_at").try_cast("timestamp"), F.col("sender_type").try_cast("int")
+    no_session = F.coalesce(tx.strip(F.col("session_id").cast("string")), F.lit("")) == ""
+    bad_time, bad_sender = when.isNull(), sender.isNull() & F.col("sender_type").isNotNull()
+    problem = (F.when(no_session, "NO_SESSION").when(bad_time, "BAD_TIME").when(bad_sender, "BAD_SENDER").when(F.col("content").isNull(), "NO_CONTENT"))
+    bad = F.when(no_session, F.col("session_id").cast("string")).when(bad_time, F.col("created_at").cast("string")).when(bad_sender, F.col("sender_type").cast("string"))
+    return df.withColumns({"problem": problem, "bad_value": bad, "created_at": when, "sender_type": sender})
+
+
 def normalize_chat_columns(df: DataFrame) -> DataFrame:
     """Rename known export headers; an alias counts only where the canonical header is absent."""
+    return _renamed_chat(df).withColumn("sender_type", F.col("sender_type").cast("int"))
+
+
+def _renamed_chat(df: DataFrame) -> DataFrame:
     canonical = {v: k for k, v in rules.CHAT_COLUMNS.items()}
     names = {c: canonical[c] for c in df.columns if c in canonical}
     for alias, target in rules.CHAT_ALIASES.items():
@@ -38,7 +60,7 @@ def normalize_chat_columns(df: DataFrame) -> DataFrame:
             df = df.withColumn(name, F.lit(None).cast(kind))
     if "msg_id" not in df.columns:
         df = df.withColumn("msg_id", F.xxhash64("session_id", "created_at", "content"))
-    return df.select("session_id", "msg_id", F.col("sender_type").cast("int").alias("sender_type"), "content", "created_at", "file_url", "sensitive_word")
+    return df.select("session_id", "msg_id", "sender_type", "content", "created_at", "file_url", "sensitive_word")
 
 
 def read_chat_messages(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -127,7 +149,7 @@ def session_messages(docs: DataFrame) -> DataFrame:
 
 def parse_wiki_pages(files: DataFrame, root: str) -> DataFrame:
     """Wiki pages with relative path, stem, page type and heading title."""
-    base = root.rstrip("/") + "/"
+    base = re.sub("^file:/+", "/", root.rstrip("/")) + "/"
     full = F.regexp_replace(ux.unquote(F.col("file_path")), "^file:/+", "/")
     rel = F.replace(full, F.lit(base), F.lit(""))
     stem = F.regexp_replace(F.regexp_extract(rel, "[^/]*\\z", 0), "\\.md\\z", "")

@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-from pathlib import Path
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from talkweave.sources.pagefiles import write_page_files
 
 
-def _write_files(folder: str):
-    def write(rows: Iterator[Row]) -> None:
-        for row in rows:
-            target = Path(folder) / row["rel_path"]
-            target.parent.mkdir(parents=True, exist_ok=True)
-            # a repeated task overwrites the same name in one step
-            draft = target.with_name(f".{target.name}.{os.getpid()}.tmp")
-            draft.write_text(row["text"], encoding="utf-8")
-            os.replace(draft, target)
+def write_pages_markdown(pages: DataFrame, folder: str, full_rebuild: bool = False) -> None:
+    """One Markdown file per page (rel_path, text); see :mod:`talkweave.sources.pagefiles`.
 
-    return write
-
-
-def write_pages_markdown(pages: DataFrame, folder: str) -> None:
-    """One Markdown file per page (rel_path, text) in a folder all executors share.
-
-    Files of the same name are overwritten; other files stay.
+    Files of the same name are overwritten; others stay unless it is a full rebuild.
     """
-    pages.select("rel_path", "text").foreachPartition(_write_files(folder))
+    write_page_files(pages.sparkSession, pages, folder, full_rebuild)
 
 
 def assemble_fragments(fragments: DataFrame) -> DataFrame:

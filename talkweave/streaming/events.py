@@ -51,7 +51,13 @@ def valid_events(parsed: DataFrame) -> DataFrame:
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("problem").isNotNull()).select("raw", "problem", "session_id", "turn_id")
+    """Invalid events with their whole body, which may have any fields; null where the text is no JSON."""
+    return parsed.filter(F.col("problem").isNotNull()).select("raw", "problem", "session_id", "turn_id", F.try_parse_json("raw").alias("body"))
+
+
+def body_fields(df: DataFrame, fields: dict[str, tuple[str, str]], body: str = "body") -> DataFrame:
+    """Add typed fields of open bodies: name to (path, type); null where a body lacks the path or has another type."""
+    return df.withColumns({name: F.try_variant_get(F.col(body), path, kind) for name, (path, kind) in fields.items()})
 
 
 def read_voice_events(spark: SparkSession, path: str) -> DataFrame:

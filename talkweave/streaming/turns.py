@@ -168,8 +168,9 @@ def finished_once(turns: DataFrame, delay: str) -> DataFrame:
 def audit_sink(path: str):
     """``foreachBatch`` body that writes a micro-batch to a folder of its own (``epoch=N``).
 
-    A repeated batch replaces its folder, and nothing written before is read. Turns that repeat
-    across batches are left out upstream by :func:`finished_once`.
+    A repeated batch replaces its folder, and nothing written before is read. Turns that repeat across
+    batches are left out upstream by :func:`finished_once` as far as its delay reaches; a table that knows
+    its turns for good is :func:`talkweave.streaming.audittable.audit_table`.
     """
     from talkweave.operators.turns import audit_rows
 
