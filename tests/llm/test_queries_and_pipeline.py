@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from talkweave.llm import simhash, toxicity
+from talkweave.llm import toxicity
 from talkweave.llm.common import kept
 
 FOLDER = "/root/testdata/sf0.001"
@@ -74,18 +74,42 @@ def test_exact_stage(stages):
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted(best.values()) and stages[2].columns == stages[0].columns
 
 
+def word_shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).translate({ord(c): " " for c in "\t\n\x0b\x0c\r"}).split(" ")
+    words = [w for w in words if w]
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_groups(texts):
+    """Component of each text over all pairs of resemblance 0.8 or more, and the number of these pairs."""
+    sets = [word_shingles(t) for t in texts]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    label, pairs = list(range(len(texts))), []
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in holders[x] if j > i)  # every pair that shares a shingle, none left out
+        pairs += [(i, j) for j, n in shared.items() if n >= 0.8 * (len(s) + len(sets[j]) - n)]
+    empty = [i for i, s in enumerate(sets) if not s]
+    pairs += [(empty[0], j) for j in empty[1:]]
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in pairs:
+        a, b = sorted((root(i), root(j)))
+        label[b] = a
+    return [root(i) for i in range(len(texts))], pairs
+
+
 def test_near_stage(stages):
-    rows = sorted((r.doc_id, simhash.simhash(r.text.encode()) & (2**64 - 1)) for r in stages[2].collect())
-    fps = np.array([f for _, f in rows], dtype=np.uint64)
-    label = list(range(len(rows)))
-    for _ in range(len(rows)):  # labels fall until none changes
-        before = list(label)
-        for i in range(len(rows)):
-            near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4)
-            label[i] = min(label[j] for j in near)
-        if label == before:
-            break
+    rows = sorted((r.doc_id, r.text) for r in stages[2].collect())
+    label, pairs = near_groups([t for _, t in rows])
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted({rows[k][0] for k in label}) and stages[3].columns == stages[0].columns
+    assert pairs
 
 
 def test_mix_stage(stages):
