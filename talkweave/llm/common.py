@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from talkweave.session import shared_folder
+
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is absent (local tests) a private folder takes its place.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="talkweave-shared-")
-    return f"{base.rstrip('/')}/talkweave-{uuid.uuid4().hex}"
-
-
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 

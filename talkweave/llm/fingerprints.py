@@ -20,12 +20,19 @@ from talkweave.llm.hashing import bounds_by_text, word_hashes, mixed
 SIZE = 128
 SHINGLE = 5
 BITS = 48
-_FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (2**64 - 1) for k in range(16)], dtype=np.uint64)
+
+
+def _factors(n: int) -> np.ndarray:
+    """Odd factors for the places of ``n`` words."""
+    return np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (2**64 - 1) for k in range(n)], dtype=np.uint64)
 
 
 def sketches(texts: Sequence[str], size: int = SIZE, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Bottom-``size`` hashes of every text. ASCII letters count without case; words are runs of
     non-blanks. A text of fewer words than a shingle is one shingle; one without words has none."""
+    if shingle < 1 or size < 1:
+        raise ValueError("a shingle has one word at least, and a sketch one hash")
+    factors = _factors(shingle)
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
     starts, words = word_hashes(raw)
     edges = bounds_by_text(raw, starts)
@@ -33,14 +40,14 @@ def sketches(texts: Sequence[str], size: int = SIZE, shingle: int = SHINGLE) ->
     joined = np.zeros(max(n, 0), dtype=np.uint64)
     for k in range(shingle):
         if n > 0:
-            joined += words[k:k + n] * _FACTORS[k]
+            joined += words[k:k + n] * factors[k]
     joined = mixed(joined) >> np.uint64(64 - BITS)
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         if b - a >= shingle:
             out.append(np.unique(joined[a:b - shingle + 1])[:size])
         elif b > a:
-            out.append(mixed((words[a:b] * _FACTORS[:b - a]).sum(keepdims=True) + np.uint64(b - a)) >> np.uint64(64 - BITS))
+            out.append(mixed((words[a:b] * factors[:b - a]).sum(keepdims=True) + np.uint64(b - a)) >> np.uint64(64 - BITS))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
@@ -101,14 +108,16 @@ def document_sketches(docs: DataFrame, size: int = SIZE, shingle: int = SHINGLE)
 
 def merge_fingerprints(parts: DataFrame, key: str, size: int = SIZE) -> DataFrame:
     """One fingerprint per ``key`` from those of its parts, whatever their number: hashes are made
-    distinct by key, and ranking passes on at most ``size`` of a key from every task."""
+    distinct by key, and ranking passes on at most ``size`` of a key from every task. Null is a key like
+    any other; a key whose parts have no shingles gets an empty fingerprint."""
     step = BITS // 4
     at = F.sequence(F.lit(0), F.floor(F.length("fingerprint") / step).cast("int") - 1)
     pieces = F.when(F.length("fingerprint") > 0, F.transform(at, lambda i: F.substring(F.col("fingerprint"), i * step + 1, F.lit(step))))
     hashes = parts.select(key, F.explode(pieces).alias("_h")).distinct()
     first = hashes.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_h"))).filter(F.col("_r") <= size)
     merged = first.groupBy(key).agg(F.concat_ws("", F.sort_array(F.collect_list("_h"))).alias("fingerprint"))
-    return parts.select(key).distinct().join(merged, key, "left").select(key, F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
+    found = merged.withColumnRenamed(key, "_key")
+    return parts.select(key).distinct().join(found, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
 
 
 def _portions(texts: list[str], limit: int = 2 << 20) -> Iterator[list[str]]:

@@ -57,17 +57,21 @@ def mix(docs: DataFrame, weigh, share: float = 1.5, max_epochs: int = 2, seed: i
     Rows that repeat an id follow each other in the order. An empty table gives no rows. The order is
     summed per source and leading digits of the key, so a source of any size spreads over all tasks.
     """
-    rows = kept(docs.select("doc_id", F.col("source").cast("string").alias("_source"), word_count(whole_text()).cast("long").alias("size")))
+    return _mix(docs, weigh, share, max_epochs, seed, F.lit(0).cast("long")).drop("_digest")
+
+
+def _mix(docs: DataFrame, weigh, share: float, max_epochs: int, seed: int, digest: Column) -> DataFrame:
+    rows = kept(docs.select("doc_id", F.col("source").cast("string").alias("_source"), word_count(whole_text()).cast("long").alias("size"), digest.alias("_digest")))
     sources = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
     targets = fill_targets(sources, weigh, share, max_epochs).withColumn("_key", _null_safe("_source")).drop("_source")
     keyed = rows.withColumn("_key", _null_safe("_source")).withColumn("_order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     bucket = F.conv(F.substring("_order", 1, KEY_DIGITS), 16, 10).cast("int")
-    ordered = running(keyed, ["_key"], [F.col("_order"), F.col("size")], bucket, {"_before": ("sum", F.col("size"))}, inclusive=False)
+    ordered = running(keyed, ["_key"], [F.col("_order"), F.col("size"), F.col("_digest")], bucket, {"_before": ("sum", F.col("size"))}, inclusive=False)
     whole = F.floor(F.floor("target") / F.greatest(F.col("source_size"), F.lit(1)))
     rest = F.floor("target") - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
     return ordered.join(targets, "_key").select(
-        "doc_id", F.col("_source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+        "doc_id", F.col("_source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), "_digest")
 
 
 def _null_safe(name: str) -> Column:
@@ -85,14 +89,26 @@ def mixed_documents(docs: DataFrame, weigh, share: float = 1.5, max_epochs: int
     """The rows of ``docs`` as often as the mix takes them; a partial repetition has the leading words.
 
     Columns as they came; ``n_chars``, where there is one, follows the text of a partial repetition.
-    Documents without words are kept once where their source has a target or no words at all. Of rows
-    that repeat an id, each is repeated as the sum of their shares allows.
+    Documents without words are kept once. Shares are kept by source, id and text, so an id in two sources
+    brings each its own; rows that agree in all three divide theirs, whole repetitions first.
     """
-    plan = mix(docs, weigh, share, max_epochs, seed)
-    per_id = plan.groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_all"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id")).join(per_id.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    copies = F.when(F.col("_all") == 0, 1).otherwise(F.floor(F.col("_taken") / F.greatest(F.col("_all"), F.lit(1))))
-    rest = F.when(F.col("_all") == 0, 0).otherwise(F.col("_taken") - copies * F.col("_all"))
+    digest = F.xxhash64(whole_text())
+    plan = _mix(docs, weigh, share, max_epochs, seed, digest)
+    keys = ["_none", "_id", "_key", "_digest"]
+
+    def keyed(df: DataFrame, source: Column, text_digest: Column, *rest) -> DataFrame:
+        i = F.col("doc_id")
+        return df.select(*rest, i.isNull().alias("_none"), F.coalesce(i.cast("string"), F.lit("")).alias("_id"), source.alias("_key"), text_digest.alias("_digest"))
+
+    shares = keyed(plan, _null_safe("source"), F.col("_digest"), "taken", "size").groupBy(*keys).agg(
+        F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
+    rows = keyed(docs.withColumn("_source", F.col("source").cast("string")), _null_safe("_source"), digest, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    placed = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    rows = placed.join(shares, keys)
+    full = F.floor(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1)))
+    own = F.floor(full / F.col("_rows")) + (F.col("_n") <= full % F.col("_rows")).cast("long")
+    copies = F.when(F.col("_size") == 0, 1).otherwise(own)
+    rest = F.when((F.col("_size") > 0) & (F.col("_n") == full % F.col("_rows") + 1), F.col("_taken") - full * F.col("_size")).otherwise(0)
     parts = F.concat(F.array_repeat(F.lit(0).cast("long"), copies.cast("int")), F.when(rest > 0, F.array(rest.cast("long"))).otherwise(F.array().cast("array<bigint>")))
     out = rows.select("row", F.explode(parts).alias("_words"))
     text = F.col("row")["text"]

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from talkweave.llm.common import whole_text
@@ -25,6 +26,7 @@ ENCODINGS = {"dictionary": {"parquet.enable.dictionary": "true", "parquet.writer
 def _encode_batches(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
@@ -32,8 +34,10 @@ def _encode_batches(path: str, end_id: int):
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("lang"), batch.column("source"), pa.array(np.diff(offsets), pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(offsets), values)],
-                names=["doc_id", "lang", "source", "n_tokens", "ids"])
+                 pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(np.full(len(ids), part, dtype=np.int32)),
+                 pa.array(np.arange(place, place + len(ids), dtype=np.int64))],
+                names=["doc_id", "lang", "source", "n_tokens", "ids", "part", "place"])
+            place += len(ids)
 
     return run
 
@@ -43,13 +47,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, en
     """Write the ids of every text of ``docs``, with ``end_id`` after each, to Parquet files at ``path``.
 
     Files and their rows are in ascending ``doc_id`` (null first; rows that repeat an id follow the
-    text). A null text is empty and has the end id only. ``lang`` and ``source`` go along as
+    text). ``part`` numbers the ranges of ids and ``place`` the rows of a range, so a row's place in the whole is
+    kept whatever the files are called. A null text is empty and has the end id only. ``lang`` and ``source`` go along as
     metadata where they exist, other columns do not. An empty table gives files without rows.
     """
     extra = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, whole_text().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ids = ordered.mapInArrow(_encode_batches(tokenizer, end_id), "doc_id long, lang string, source string, n_tokens int, ids array<int>")
+    ids = ordered.mapInArrow(_encode_batches(tokenizer, end_id), "doc_id long, lang string, source string, n_tokens int, ids array<int>, part int, place long")
     writer = ids.write.option("compression", codec).option("parquet.block.size", row_group_bytes)
     writer = writer.option("parquet.page.row.count.limit", page_rows).option("parquet.page.size", page_bytes)
     for key, value in ENCODINGS[encoding].items():
@@ -72,18 +77,21 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         offsets = np.asarray(ids.offsets)
         raw = memoryview(np.ascontiguousarray(np.asarray(ids.values), dtype="<u4")).cast("B")
         crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
-                                         names=["doc_id", "file", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("part"), batch.column("place"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
+            names=["doc_id", "part", "place", "n_tokens", "ids_crc32"])
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """From the files alone: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``."""
-    stored = spark.read.parquet(path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
-    rows = stored.mapInArrow(_digest_batches, "doc_id long, file string, n_tokens long, ids_crc32 long")
-    order = ["doc_id", "n_tokens", "ids_crc32"]
-    inside = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file: names follow the order of the ranges.
-    sizes = spark.read.parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("_size"))
-    before = sizes.select("file", F.coalesce(F.sum("_size").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    """From the files alone: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
+
+    Rows that repeat an id stand where they were written.
+    """
+    stored = spark.read.parquet(path).select("doc_id", "ids", "part", "place")
+    rows = stored.mapInArrow(_digest_batches, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range of ids.
+    sizes = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("_size"))
+    before = sizes.select("part", F.coalesce(F.sum("_size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     local = rows.withColumn("_local", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return local.join(before, "file").select("doc_id", (F.col("_before") + F.col("_local")).alias("start"), "n_tokens", "ids_crc32")
+    return local.join(before, "part").select("doc_id", (F.col("_before") + F.col("_local")).alias("start"), "n_tokens", "ids_crc32")

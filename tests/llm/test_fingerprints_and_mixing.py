@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from talkweave.llm import fingerprints as fp, mixing
@@ -108,3 +109,30 @@ def test_documents_are_repeated_as_planned(table, odd_rows):
         assert r.text is None or any(t is not None and t.startswith(r.text) for i, t, _ in odd_rows if i == r.doc_id)
     assert {k: v for k, v in words.items() if v} == {k: v for k, v in plan.items() if v}
     assert mixing.mixed_documents(table([]), mixing.cyclic_weights([1])).count() == 0
+
+
+def test_null_is_a_key_of_merged_fingerprints(llm_spark):
+    parts = llm_spark.createDataFrame([(None, "00000000000a"), (None, "000000000001"), ("k", "000000000002"), ("e", "")], "key string, fingerprint string")
+    got = {r.key: r.fingerprint for r in fp.merge_fingerprints(parts, "key").collect()}
+    assert got == {None: "00000000000100000000000a", "k": "000000000002", "e": ""}
+
+
+def test_shingles_of_any_length():
+    words = [f"w{i}" for i in range(60)]
+    assert len(fp.sketches([" ".join(words)], shingle=40)[0]) == 21
+    with pytest.raises(ValueError):
+        fp.sketches(["a"], shingle=0)
+
+
+def test_an_id_in_two_sources_keeps_its_shares_apart(table):
+    rows = [(i, " ".join(f"{s}{i}w{k}" for k in range(3 + 7 * i)), s) for i in range(10) for s in ("a", "b")] + [(3, "same text here", "b")] * 3 + [(None, "no id at all", "a")] * 2 + [(50, "", "a")]
+    docs = table(rows)
+    plan = {r.source: r.target for r in mixing.mix(docs, mixing.cyclic_weights([3, 1])).collect()}
+    out = mixing.mixed_documents(docs, mixing.cyclic_weights([3, 1])).collect()
+    words = Counter()
+    for r in out:
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - target) <= 1 for s, target in plan.items())
+    texts = {(i, s, t) for i, t, s in rows}
+    assert all(any(i == r.doc_id and s == r.source and t.startswith(r.text) for i, s, t in texts) for r in out)
+    assert sum(r.doc_id == 50 for r in out) == 1

@@ -122,3 +122,16 @@ def test_pieces_hold_every_id_once(table, odd_rows, library):
         assert sum(n for _, n, _ in pieces) == copies * key[1]
         for start, length, crc in pieces:
             assert crc == zlib.crc32(texts[key][0][start:start + length].tobytes())
+
+
+def test_start_follows_the_file_where_ids_repeat(llm_spark, table, tmp_path):
+    rows = [(1, "a rather long text of many words", "a"), (1, "b", "a"), (2, "c", "b"), (None, "null id", None), (None, "a null id", None), (1, "b", "a")]
+    path = str(tmp_path / "repeated")
+    tokens.write_tokens(table(rows), path, PATH)
+    stored = sorted(llm_spark.read.parquet(path).collect(), key=lambda r: (r.part, r.place))
+    want, at = [], 0
+    for r in stored:
+        want.append((r.doc_id, at, len(r.ids)))
+        at += len(r.ids)
+    got = sorted(((r.doc_id, r.start, r.n_tokens) for r in tokens.token_digests(llm_spark, path).collect()), key=lambda r: r[1])
+    assert got == want and [r.doc_id for r in stored] == [None, None, 1, 1, 1, 2]
