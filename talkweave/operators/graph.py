@@ -160,6 +160,21 @@ def kb_check(pages: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def kb_check_samples(pages: DataFrame, edges: DataFrame, k: int = 15) -> DataFrame:
+    """The first ``k`` broken links and orphans of :func:`kb_check` by name: (sample, n, stem, target)."""
+    none = F.lit(None).cast("string")
+    found = (broken_links(edges.filter("kind = 'wikilink'"), pages).select(F.lit("broken").alias("sample"), F.col("src").alias("stem"), F.col("dst").alias("target"))
+             .unionByName(orphans(pages, edges, ["wikilink"]).select(F.lit("orphans_wiki").alias("sample"), "stem", none.alias("target")))
+             .unionByName(orphans(pages, edges).select(F.lit("orphans_full").alias("sample"), "stem", none.alias("target"))))
+    return top_rows(found.distinct(), ["sample"], [F.col("stem"), F.col("target")], k, "n")
+
+
+def draft_counts(pages: DataFrame) -> DataFrame:
+    """Pages whose front matter calls them drafts, by type."""
+    head = F.regexp_extract("text", "(?s)\\A---\\n(.*?)\\n---", 1)
+    return pages.filter(head.rlike("(?m)^status:\\s*\"?draft\"?\\s*$")).groupBy("page_type").agg(F.count(F.lit(1)).alias("drafts"))
+
+
 def lint_report(pages: DataFrame, edges: DataFrame, index_targets: DataFrame, link_threshold: float = rules.LINK_SIMILARITY) -> DataFrame:
     """The seven checks: name, number of findings, and whether the check passed."""
     taxonomy = pages.filter(F.col("page_type").isin("category", "concept")).select(F.col("stem").alias("src"))

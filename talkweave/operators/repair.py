@@ -177,13 +177,25 @@ def backfill_concept_faqs(pages: DataFrame, cap: int = 5) -> DataFrame:
                       F.concat(F.lit("- [["), "faq", F.lit("]]")).alias("line"))
 
 
+def _with_bucket(lines: DataFrame, width: int = 3) -> DataFrame:
+    """Add ``_after``: the ``width`` characters after what all ``ord`` of the section begin with, which
+    follow the order and tell the lines of one folder apart too."""
+    ends = lines.groupBy("page", "section").agg(F.min("ord").alias("_least"), F.max("ord").alias("_most"))
+    # What the least and the greatest begin with, all begin with.
+    places = F.sequence(F.lit(0), F.least(F.length("_least"), F.length("_most")))
+    same = F.filter(places, lambda i: F.substring(F.col("_least"), F.lit(1), i) == F.substring(F.col("_most"), F.lit(1), i))
+    shared = ends.select("page", "section", F.array_max(same).alias("_shared"))
+    return lines.join(shared, ["page", "section"]).withColumn("_after", F.substring(F.col("ord"), F.col("_shared") + 1, F.lit(width))).drop("_shared")
+
+
 def apply_additions(pages: DataFrame, additions: DataFrame, lines_per_part: int = 4096) -> DataFrame:
     """Pages with their lines appended under section headings.
 
     Part 0 is the page itself; pages that gain more lines than a part holds continue in
     further parts.
     """
-    placed = with_ordinal(additions.distinct(), ["page", "section"], [F.col("ord")], F.substring("ord", 1, 5), "n")
+    lines = additions.distinct()
+    placed = with_ordinal(_with_bucket(lines), ["page", "section"], [F.col("ord")], F.col("_after"), "n").drop("_after")
     parts = in_parts(placed, ["page", "section"], "n", lines_per_part)
     block = F.concat(F.lit("\n"), "section", F.lit("\n\n"), F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n"), F.lit("\n"))

@@ -241,6 +241,18 @@ def thread_history(turns: DataFrame, greeting: str) -> DataFrame:
     return missing.unionByName(rows)
 
 
+def turns_from_events(events: DataFrame, users: DataFrame) -> DataFrame:
+    """Turns for :func:`thread_history` straight from events: a cancelled turn has the text that was emitted before
+    its cancel, and none if nothing was.
+
+    ``users``: session_id, turn_id, id, user_text. Turns without a commit are left out.
+    """
+    parts = assemble_turn_text(events)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "assistant_text"))), lambda x: x["assistant_text"]), "")
+    whole = parts.groupBy(*TURN).agg(text.alias("assistant_text"), F.max("status").alias("status"))
+    return users.join(whole, TURN).select("session_id", "id", "user_text", "assistant_text", "status")
+
+
 def audit_rows(turns: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One audit row per finished turn, however often it was delivered; known turns are left out."""
     first = turns.groupBy(*TURN).agg(F.min("id").alias("id"))

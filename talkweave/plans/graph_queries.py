@@ -95,6 +95,21 @@ def _(t):
     return gr.kb_check(pages, gr.page_edges(pages))
 
 
+@query("agg8b_kb_check_samples", WIKI_EDGES + """, f AS (SELECT DISTINCT 'broken' AS sample, src AS stem, dst AS target FROM we WHERE kind = 'wikilink' AND dst NOT IN (SELECT stem FROM wiki)
+UNION ALL SELECT 'orphans_wiki', stem, NULL FROM wiki WHERE stem NOT IN (SELECT dst FROM we WHERE kind = 'wikilink')
+UNION ALL SELECT 'orphans_full', stem, NULL FROM wiki WHERE stem NOT IN (SELECT dst FROM we))
+SELECT sample, row_number() OVER (PARTITION BY sample ORDER BY stem, target) AS n, stem, target FROM f QUALIFY n <= 15""")
+def _(t):
+    pages = t.wiki_pages()
+    return gr.kb_check_samples(pages, gr.page_edges(pages))
+
+
+@query("agg8c_draft_counts", WIKI_WITH + "SELECT page_type, count(*) AS drafts FROM wiki WHERE ord % 3 = 1 GROUP BY 1")
+def _(t):
+    state = F.when(F.col("ord") % 3 == 1, "draft").otherwise("done")
+    return gr.draft_counts(t.wiki_pages().withColumn("text", F.concat(F.lit("---\nstatus: "), state, F.lit("\n---\n"), "text")))
+
+
 @query("lnt2_missing_heading", WIKI_WITH + "SELECT stem FROM wiki WHERE page_type = 'category' AND NOT contains(text, '## 主题内问答总结')")
 def _(t):
     return gr.missing_heading(t.wiki_pages())

@@ -176,6 +176,17 @@ def _(t):
     return tn.thread_history(t.audit_turns(), "a7")
 
 
+@query("str11b_history_of_events", TURN_TEXT.replace("SELECT b.session_id, b.turn_id, 0::BIGINT AS part", ", tt AS (SELECT b.session_id, b.turn_id, 0::BIGINT AS part", 1) + """),
+u AS (SELECT session_id, turn_id, min(event_id) AS id, 'q' || min(event_id) AS user_text FROM voice GROUP BY 1, 2),
+h AS (SELECT session_id, id, user_text, assistant_text FROM tt JOIN u USING (session_id, turn_id))
+SELECT session_id, -1::BIGINT AS turn, 1 AS side, 'assistant' AS role, 'hello' AS text FROM h GROUP BY 1
+UNION ALL SELECT session_id, id, 0, 'user', user_text FROM h UNION ALL SELECT session_id, id, 1, 'assistant', assistant_text FROM h WHERE assistant_text <> ''""")
+def _(t):
+    events = t.voice_events()
+    users = events.groupBy("session_id", "turn_id").agg(F.min("event_id").alias("id")).withColumn("user_text", F.concat(F.lit("q"), "id"))
+    return tn.thread_history(tn.turns_from_events(events, users), "hello")
+
+
 @query("str12_audit_rows", f"WITH {VOICE_SQL} SELECT session_id, turn_id, min(event_id) AS id FROM voice WHERE type = 'audio_complete' GROUP BY 1, 2")
 def _(t):
     done = t.voice_events().filter("type = 'audio_complete'").withColumnRenamed("event_id", "id")

@@ -249,3 +249,11 @@ def test_gauge_stream_equals_batch_at_window_ends(spark, tmp_path):
     gauge = tn.active_connections(spark.createDataFrame([*rows, ev(1000, "t", "open")], SCHEMA), F.col("type") == "open", F.col("type") == "close")
     last = gauge.groupBy(F.window("event_time", "1 minute")["end"].alias("e")).agg(F.max_by("active", F.struct("event_time", "event_id")).alias("a")).collect()
     assert got == {r.e: r.a for r in last}
+
+
+def test_history_keeps_what_was_said_before_a_cancel(spark, batch):
+    users = spark.createDataFrame([("s1", "t1", 1, "q1"), ("s1", "t2", 2, "q2"), ("s2", "t3", 3, "q3")], "session_id string, turn_id string, id bigint, user_text string")
+    rows = tn.thread_history(tn.turns_from_events(batch, users), "hi").orderBy("session_id", "turn", "side").collect()
+    assert [(r.session_id, r.role, r.text) for r in rows] == [
+        ("s1", "assistant", "hi"), ("s1", "user", "q1"), ("s1", "assistant", "你好，世界。"), ("s1", "user", "q2"), ("s1", "assistant", "好的"),
+        ("s2", "assistant", "hi"), ("s2", "user", "q3")]
