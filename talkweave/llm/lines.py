@@ -25,10 +25,19 @@ def units_of(text: str, unit: str) -> list[str]:
     return [u for u in BREAKS[unit].split(text) if u]
 
 
-def unit_hash(unit: str, min_words: int) -> bytes | None:
-    """128-bit hash without regard to case and blanks; none for a unit of fewer words."""
-    words = unit.lower().encode("utf-8", "surrogatepass").split()
-    return xxhash.xxh3_128_digest(b" ".join(words)) if len(words) >= min_words else None
+def unit_hashes(units: list[str], min_words: int) -> list[bytes]:
+    """128-bit hash of each unit without regard to case and blanks.
+
+    A unit of fewer than ``min_words`` words says little by itself: it is hashed with the units before and
+    after it, so it counts as repeated where its surroundings are.
+    """
+    norms = [b" ".join(u.lower().encode("utf-8", "surrogatepass").split()) for u in units]
+    out = []
+    for i, norm in enumerate(norms):
+        if norm.count(b" ") + 1 < min_words or not norm:
+            norm = b"\n".join((b"", norms[i - 1] if i else b"", norm, norms[i + 1] if i + 1 < len(norms) else b""))
+        out.append(xxhash.xxh3_128_digest(norm))
+    return out
 
 
 def _hash_units(unit: str, min_words: int):
@@ -38,10 +47,7 @@ def _hash_units(unit: str, min_words: int):
         for batch in batches:
             earliest: dict[bytes, tuple] = {}
             for doc, digest, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "text"))):
-                for at, u in enumerate(units_of(text, unit)):
-                    h = unit_hash(u, min_words)
-                    if h is None:
-                        continue
+                for at, h in enumerate(unit_hashes(units_of(text, unit), min_words)):
                     rank = (doc is not None, doc or 0, digest, at, doc)
                     if h not in earliest or rank < earliest[h]:
                         earliest[h] = rank
@@ -52,7 +58,7 @@ def _hash_units(unit: str, min_words: int):
     return run
 
 
-def _rebuild(unit: str, min_words: int):
+def _rebuild(unit: str):
     names = ["doc_id", "text", "n_units", "n_removed", "removed_chars", "removed"]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
@@ -60,7 +66,7 @@ def _rebuild(unit: str, min_words: int):
         units, firsts = units_of(text, unit), set(stay or ())
         left, spans, at, gone = [], [], 0, 0
         for i, u in enumerate(units):
-            if i in firsts or unit_hash(u, min_words) is None:
+            if i in firsts:
                 left.append(u)
             else:
                 gone += 1
@@ -86,7 +92,8 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 5)
     Returns ``doc_id``, ``text`` (what is left), ``n_units``, ``n_removed``, ``removed_chars`` and ``removed``: maximal
     removed spans as (``start``, ``end``) in characters of the original text. ``unit`` is "line", "paragraph" or
     "sentence" (lines cut further after . ! ? and a space). Units count as equal without regard to case and
-    ASCII blanks; units of fewer than ``min_words`` words always stay. A null text is empty and has no units.
+    ASCII blanks; a unit of fewer than ``min_words`` words is equal to another if the units before and after
+    are too (none counts as blank), whatever their length. A null text is empty and has no units.
     Ids that are null rank first. Rows that repeat an id and its text are one document and get the same
     result; with different texts they rank by a hash of the text. Other columns are not read; an empty
     table gives no rows.
@@ -96,5 +103,5 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 5)
     first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "digest", "at")).alias("w"))
     stays = first.groupBy(F.col("w.doc_id").alias("_i"), F.col("w.digest").alias("_d")).agg(F.collect_list("w.at").alias("stay"))  # positions in one document
     met = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d")), "left").select("doc_id", "text", "stay")
-    return met.mapInArrow(_rebuild(unit, min_words), "doc_id long, text string, n_units long, n_removed long, removed_chars long, "
+    return met.mapInArrow(_rebuild(unit), "doc_id long, text string, n_units long, n_removed long, removed_chars long, "
                           "removed array<struct<start: long, end: long>>")

@@ -116,7 +116,9 @@ WITH m AS (SELECT doc_id, coalesce(text, '') AS text,
            FROM documents),
 u AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS pos FROM m),
 n AS (SELECT *, trim(regexp_replace(lower(unit), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM u WHERE unit <> ''),
-k AS (SELECT *, len(string_split(norm, ' ')) < 5 OR row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) = 1 AS keep FROM n),
+c AS (SELECT *, CASE WHEN len(string_split(norm, ' ')) < 5 THEN concat(chr(10), coalesce(lag(norm) OVER w, ''), chr(10), norm, chr(10), coalesce(lead(norm) OVER w, '')) ELSE norm END AS key
+      FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) = 1 AS keep FROM c),
 g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (NOT keep) AS n_removed, coalesce(sum(length(unit)) FILTER (NOT keep), 0)::BIGINT AS removed_chars,
              coalesce(string_agg(unit, '' ORDER BY pos) FILTER (keep), '') AS left_text
       FROM k GROUP BY doc_id)

@@ -47,17 +47,16 @@ def test_normalised_groups(table):
 def brute_lines(rows, unit, min_words):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        left, gone, total = [], 0, 0
-        for u in lines.units_of(t or "", unit):
-            total += 1
-            norm = " ".join(u.lower().split())
-            if len(norm.split()) >= min_words and norm in seen:
-                gone += 1
-            else:
+        units = lines.units_of(t or "", unit)
+        norms = [" ".join(u.lower().split()) for u in units]
+        left = []
+        for k, u in enumerate(units):
+            around = (*[norms[k - 1] if k else ""], norms[k], *[norms[k + 1] if k + 1 < len(norms) else ""])
+            key = norms[k] if len(norms[k].split()) >= min_words else around
+            if key not in seen:
                 left.append(u)
-            if len(norm.split()) >= min_words:
-                seen.add(norm)
-        out[i] = ("".join(left), total, gone)
+            seen.add(key)
+        out[i] = ("".join(left), len(units), len(units) - len(left))
     return out
 
 
@@ -82,3 +81,33 @@ def test_lines_odd_rows(table, odd_rows):
     assert len(got) == len(odd_rows)
     assert [r.text for r in got if r.doc_id in (5, 6)] == ["", "", ""] and [r.text for r in got if r.doc_id is None] == ["one two three four five six seven."]
     assert lines.remove_repeats(table([])).count() == 0
+
+
+def test_short_units_go_with_their_surroundings(table):
+    passage = "The first of all these sentences. So it is. No! Yes. And the last of all these sentences. "
+    rows = [(1, "Before it stands another long sentence. " + passage + "No! ", "a"), (2, "Something else is said here first. " + passage + "Yes. So it is. ", "b"), (3, "No! ", "a"), (4, "Yes. ", "a"), (5, "Yes. ", "a")]
+    got = {r.doc_id: r.text for r in lines.remove_repeats(table(rows)).collect()}
+    assert got[2] == "Something else is said here first. Yes. So it is. "  # the passage as a whole, nothing else
+    assert got[1] == rows[0][1] and (got[3], got[4], got[5]) == ("No! ", "Yes. ", "")
+
+
+def test_passages_are_removed_with_their_short_sentences(table):
+    import random
+
+    rng = random.Random(6)
+
+    def sentence(tag, n):
+        return " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n)) + ". "
+
+    passages = ["".join(sentence(f"p{k}x", rng.choice((2, 3, 8, 12))) for _ in range(12)) for k in range(20)]
+    rows, total = [], 0
+    for i in range(200):
+        own = [sentence(f"d{i}x", rng.choice((2, 9, 15))) for _ in range(6)]
+        rows.append((i, "".join(own[:3]) + passages[i % 20] + "".join(own[3:]), "a"))
+        total += len(passages[i % 20]) if i >= 20 else 0
+    gone = 0
+    for r in lines.remove_repeats(table(rows)).collect():
+        gone += r.removed_chars
+        if r.doc_id < 20:
+            assert r.removed_chars == 0
+    assert 0.95 * total < gone <= total  # only short sentences at the edges stay
