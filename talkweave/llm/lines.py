@@ -21,8 +21,19 @@ from talkweave.llm.common import whole_text
 BREAKS = {"line": re.compile(r"(?<=\n)"), "paragraph": re.compile(r"(?<=\n\n)(?!\n)"), "sentence": re.compile(r"(?<=\n)|(?<=[.!?] )")}
 
 
+#: Units of more words are cut further where the content says so, so that passages without sentence ends
+#: align too: after a blank that follows one of every second letter or digit.
+LONGEST = 50
+EVERY_SECOND = "acegikmoqsuwyACEGIKMOQSUWY02468"
+CONTENT = re.compile(f"(?<=[{EVERY_SECOND}][\\x20\\x09-\\x0D])")
+
+
 def units_of(text: str, unit: str) -> list[str]:
-    return [u for u in BREAKS[unit].split(text) if u]
+    out = []
+    for u in BREAKS[unit].split(text):
+        long = len(u) > 2 * LONGEST and len(u.encode("utf-8", "surrogatepass").split()) > LONGEST
+        out += CONTENT.split(u) if long else [u]
+    return [u for u in out if u]
 
 
 def unit_hashes(units: list[str], min_words: int) -> list[bytes]:
@@ -91,7 +102,8 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 5)
 
     Returns ``doc_id``, ``text`` (what is left), ``n_units``, ``n_removed``, ``removed_chars`` and ``removed``: maximal
     removed spans as (``start``, ``end``) in characters of the original text. ``unit`` is "line", "paragraph" or
-    "sentence" (lines cut further after . ! ? and a space). Units count as equal without regard to case and
+    "sentence" (lines cut further after . ! ? and a space); units of more than ``LONGEST`` words are cut again at
+    content-defined places, and each piece is a unit. Units count as equal without regard to case and
     ASCII blanks; a unit of fewer than ``min_words`` words is equal to another if the units before and after
     are too (none counts as blank), whatever their length. A null text is empty and has no units.
     Ids that are null rank first. Rows that repeat an id and its text are one document and get the same

@@ -114,7 +114,10 @@ def op5(spark, read):
 WITH m AS (SELECT doc_id, coalesce(text, '') AS text,
                   string_split(regexp_replace(regexp_replace(coalesce(text, ''), '(\\n)', '\\1' || chr(1), 'g'), '([.!?] )', '\\1' || chr(1), 'g'), chr(1)) AS units
            FROM documents),
-u AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS pos FROM m),
+b AS (SELECT doc_id, unnest(units) AS whole, generate_subscripts(units, 1) AS place FROM m),
+d AS (SELECT doc_id, place, CASE WHEN len(string_split(trim(regexp_replace(whole, '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ')) > 50
+             THEN string_split(regexp_replace(whole, '([acegikmoqsuwyACEGIKMOQSUWY02468][\\x20\\x09-\\x0D])', '\\1' || chr(1), 'g'), chr(1)) ELSE [whole] END AS pieces FROM b),
+u AS (SELECT doc_id, unnest(pieces) AS unit, place::BIGINT * 1000000000 + generate_subscripts(pieces, 1) AS pos FROM d),
 n AS (SELECT *, trim(regexp_replace(lower(unit), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM u WHERE unit <> ''),
 c AS (SELECT *, CASE WHEN len(string_split(norm, ' ')) < 5 THEN concat(chr(10), coalesce(lag(norm) OVER w, ''), chr(10), norm, chr(10), coalesce(lead(norm) OVER w, '')) ELSE norm END AS key
       FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),

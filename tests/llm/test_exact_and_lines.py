@@ -111,3 +111,24 @@ def test_passages_are_removed_with_their_short_sentences(table):
         if r.doc_id < 20:
             assert r.removed_chars == 0
     assert 0.95 * total < gone <= total  # only short sentences at the edges stay
+
+
+def test_passages_inside_long_units_are_removed(table):
+    import random
+
+    rng = random.Random(8)
+
+    def words(tag, n):
+        return [f"{tag}{rng.randrange(10**6)}{rng.choice('abcdefghij')}" for _ in range(n)]
+
+    passages = [words(f"p{k}", 70) for k in range(10)]
+    rows, total = [], 0
+    for i in range(100):
+        rows.append((i, " ".join(words(f"d{i}", rng.randrange(20, 90)) + passages[i % 10] + words(f"e{i}", rng.randrange(20, 90))), "a"))  # no sentence ends at all
+        total += len(" ".join(passages[i % 10])) if i >= 10 else 0
+    gone = 0
+    for r, (_, text, _) in zip(sorted(lines.remove_repeats(table(rows)).collect(), key=lambda r: r.doc_id), rows):
+        gone += r.removed_chars
+        own = [w for w in text.split() if w[0] in "de"]
+        assert [w for w in r.text.split() if w[0] in "de"] == own  # nothing of the document itself
+    assert 0.9 * total < gone <= total
