@@ -28,6 +28,7 @@ SHINGLE = 4
 MAX_BITS = 4
 _STEP = 1 << 16
 _SHORT = 24  # longest list that is compared by shifts
+_BUCKETS = 32  # that the members of a component are dealt to
 
 
 def simhash(raw: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
@@ -156,9 +157,12 @@ def near_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         links = kept(entries.mapInArrow(_links(max_bits), "left long, right long").distinct())
     linked = links.select(F.col("left").alias("id")).union(links.select(F.col("right").alias("id"))).distinct()
     labels = connected_components(linked, links)
-    named = distinct.join(labels, F.col("fp") == F.col("id"), "left").select("fp", F.coalesce("component", "fp").alias("_label"), "_least")
-    least = named.groupBy("_label").agg(F.min("_least").alias("component_id"))
-    by_fp = named.join(least, "_label").select("fp", "component_id")
+    # Fingerprints without a link stand for themselves. The others meet their component's least id; a component
+    # may hold any share of them, so its row is laid out once for each of several buckets of members.
+    members = distinct.join(labels, F.col("fp") == F.col("id")).select("fp", "component", "_least", F.pmod(F.xxhash64("fp"), F.lit(_BUCKETS)).alias("_bucket"))
+    least = members.groupBy("component").agg(F.min("_least").alias("_name")).withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BUCKETS - 1).cast("long"))))
+    named = members.join(least, ["component", "_bucket"]).select("fp", "_name", F.lit(True).alias("_linked"))
+    by_fp = distinct.join(named, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("_name")).otherwise(F.col("_least")).alias("component_id"))
     return fps.join(by_fp, "fp")
 
 
