@@ -28,7 +28,7 @@ SHINGLE = 4
 MAX_BITS = 4
 _STEP = 1 << 16
 _SHORT = 24  # longest list that is compared by shifts
-_BUCKETS = 32  # that the members of a component are dealt to
+_BUCKETS = 8  # that the members of a component are dealt to
 
 
 def simhash(raw: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
@@ -162,7 +162,8 @@ def near_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     members = distinct.join(labels, F.col("fp") == F.col("id")).select("fp", "component", "_least", F.pmod(F.xxhash64("fp"), F.lit(_BUCKETS)).alias("_bucket"))
     least = members.groupBy("component").agg(F.min("_least").alias("_name")).withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BUCKETS - 1).cast("long"))))
     named = members.join(least, ["component", "_bucket"]).select("fp", "_name", F.lit(True).alias("_linked"))
-    by_fp = distinct.join(named, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("_name")).otherwise(F.col("_least")).alias("component_id"))
+    # Written, so that rows of one fingerprint meet it in a plain join, whose skewed keys are split at run time.
+    by_fp = kept(distinct.join(named, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("_name")).otherwise(F.col("_least")).alias("component_id")))
     return fps.join(by_fp, "fp")
 
 
