@@ -20,6 +20,7 @@ Equal runs inside a batch are merged before the first shuffle, so copies and per
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,47 +130,57 @@ def _find_runs(length: int):
     return run
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of batches that are sorted by the first column, cut where its value changes."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(n).to_numpy() for n in names]
-        key = columns[0]
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut or (held and held[-1][0][-1] != key[0]):
-            parts = [*held, [c[:cut] for c in columns]]
-            yield [np.concatenate(x) for x in zip(*parts)]
-            held = []
-        held.append([c[cut:] for c in columns])
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
+def _match_runs(length: int):
+    """Repeated runs of rows sorted by anchor and whole run, and one slice per different run of the other anchors.
 
+    Rows pass through: held are the first row of the last run and at most ``CHUNK`` first rows of the last anchor's
+    other runs, however many rows an anchor has.
+    """
+    def edges(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, number: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
+        return _rows("kind anchor doc a b", np.ones(len(anchor), dtype=np.int64), anchor, doc, place, (number // CHUNK << 1) | large.astype(np.int64))
 
-def _match_runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, whole, doc, place in _whole_keys(batches, ["anchor", "whole", "doc", "place"]):
-            spans = (place & COVER_ROW) == 1
-            out_doc, out_start, out_end = doc[spans], place[spans] >> 24, whole[spans]
-            anchor, whole, doc, place = (x[~spans] for x in (anchor, whole, doc, place))
+        none = np.zeros(0, dtype=np.int64)
+        last = (none, none, none, none)  # first row of the run that may go on; FULL: its span is known
+        waiting = (none, none, none)  # anchor, doc and place of earlier runs of that row's anchor
+        sent = 0  # runs of that anchor already passed on
+        for batch in itertools.chain(batches, [None]):
+            rows = last
+            if batch is not None:
+                read = [batch.column(c).to_numpy() for c in ("anchor", "whole", "doc", "place")]
+                spans = (read[3] & COVER_ROW) == 1
+                known = (read[2][spans], read[3][spans] >> 24, read[1][spans])
+                rows = tuple(np.concatenate((a, b[~spans])) for a, b in zip(last, read))
+            anchor, whole, doc, place = rows
+            found = known if batch is not None else (none, none, none)
             if len(anchor):
-                new_key = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-                new = new_key | np.concatenate(([True], whole[1:] != whole[:-1]))
+                new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])))
                 run_at, run_of = np.flatnonzero(new), np.cumsum(new) - 1
                 weight = np.add.reduceat(1 + (place & FULL) // FULL, run_at)
                 repeats = (weight[run_of] > 1) & ((place & FULL) == 0)
                 first, _, more = _unpack(place[repeats])
-                out_doc, out_start, out_end = _merged(*(np.concatenate(x) for x in ((out_doc, doc[repeats]), (out_start, first), (out_end, first + more + length))))
-                key_of_run = np.cumsum(new_key)[run_at] - 1
-                n_runs = np.bincount(key_of_run)
-                number = np.arange(len(run_at)) - np.concatenate(([0], np.cumsum(n_runs)))[key_of_run]
-                edge = np.flatnonzero(n_runs[key_of_run] > 1)
-                rows = run_at[edge]
-                marked = (place[rows] & ~FULL) | np.where(weight[edge] > 1, FULL, 0)
-                chunk = (number[edge] // CHUNK << 1) | (n_runs[key_of_run[edge]] > CHUNK)
-                yield _rows("kind anchor doc a b", np.ones(len(rows), dtype=np.int64), anchor[rows], doc[rows], marked, chunk)
-            yield _rows("kind anchor doc a b", np.zeros(len(out_doc), dtype=np.int64), np.zeros(len(out_doc), dtype=np.int64), out_doc, out_start, out_end)
+                found = _merged(*(np.concatenate(x) for x in zip(found, (doc[repeats], first, first + more + length))))
+                marked = (place[run_at] & ~FULL) | np.where(weight > 1, FULL, 0)
+                closed = slice(0, len(run_at) - (batch is not None))
+                runs = tuple(np.concatenate((w, c[closed])) for w, c in zip(waiting, (anchor[run_at], doc[run_at], marked)))
+                last = tuple(c[-1:] for c in (anchor[run_at], whole[run_at], doc[run_at], marked))
+                done = runs[0] != last[0][0] if batch is not None else np.ones(len(runs[0]), dtype=bool)
+                n = int(done.sum())  # runs are sorted by anchor: the open anchor's are the last
+                ended = tuple(c[:n] for c in runs)
+                waiting = tuple(c[n:] for c in runs)
+                if n:
+                    new_key = np.concatenate(([True], ended[0][1:] != ended[0][:-1]))
+                    key, key_at = np.cumsum(new_key) - 1, np.flatnonzero(new_key)
+                    before = np.where(key == 0, sent, 0)  # only the first of these anchors can have sent runs
+                    total = np.bincount(key)[key] + before
+                    edge = total > 1
+                    yield edges(*(c[edge] for c in (*ended, np.arange(n) - key_at[key] + before, total > CHUNK)))
+                    sent = 0
+                if len(waiting[0]) > CHUNK:
+                    size = len(waiting[0])
+                    yield edges(*waiting, sent + np.arange(size), np.ones(size, dtype=bool))
+                    sent, waiting = sent + size, (none, none, none)
+            yield _rows("kind anchor doc a b", np.zeros(len(found[0]), dtype=np.int64), np.zeros(len(found[0]), dtype=np.int64), *found)
 
     return run
 

@@ -113,3 +113,37 @@ def test_documents(llm_spark, table, odd_rows):
     distinct = [(i, t, s) for i, t, s in rows if i is not None and (i, t) != (6, rows[6][1])]
     assert suffix.remove_repeated_substrings(table(distinct)).count() == len(distinct)
     assert suffix.remove_repeated_substrings(table([])).count() == 0
+
+
+@pytest.mark.parametrize("different, copies", [(50_000, 0), (3, 50_000), (1, 50_000), (suffix.CHUNK, 1), (suffix.CHUNK + 1, 0), (1, 0)])
+def test_rows_of_a_hot_anchor_pass_through(different, copies):
+    """One anchor with many different runs, or with many rows of one run, between two small anchors."""
+    length, size = 64, 1000
+    runs = [(5, 1), (5, 1), (5, 2)] + [(7, w) for w in range(different) for _ in range(1 + (copies if w == 0 else 0))] + [(9, 1)]
+    place = suffix._pack(np.arange(len(runs)) * 100, np.zeros(len(runs), dtype=np.int64), np.zeros(len(runs), dtype=np.int64), 0)
+    columns = [np.array([r[0] for r in runs]), np.array([r[1] for r in runs]), np.arange(len(runs)), place]
+    read = 0
+
+    def batches():
+        nonlocal read
+        for i in range(0, len(runs), size):
+            read = i + size
+            yield pa.RecordBatch.from_arrays([pa.array(c[i:i + size]) for c in columns], names=["anchor", "whole", "doc", "place"])
+
+    rows, given = [], 0
+    for out in suffix._match_runs(length)(batches()):
+        rows += out.to_pylist()
+        given += out.num_rows
+        if copies == 0 and read < len(runs):
+            assert read - given <= suffix.CHUNK + 2 * size  # what has not been given yet is bounded
+    count = Counter(runs)
+    assert sorted(r["doc"] for r in rows if r["kind"] == 0) == [i for i, r in enumerate(runs) if count[r] > 1]
+    firsts = {r: i for i, r in reversed(list(enumerate(runs)))}
+    several = {a for a, _ in runs if len({w for b, w in count if a == b}) > 1} if different < 100 else {5, 7}
+    edge = [r for r in rows if r["kind"] == 1]
+    assert sorted(r["doc"] for r in edge) == sorted(i for (a, _), i in firsts.items() if a in several)
+    assert all(((r["a"] & suffix.FULL) > 0) == (count[runs[r["doc"]]] > 1) for r in edge)
+    hot = [r["b"] for r in edge if r["anchor"] == 7]
+    assert all(b & 1 == (different > suffix.CHUNK) for b in hot)
+    assert not hot or max(Counter(hot).values()) <= suffix.CHUNK
+    assert all(r["b"] == 0 for r in edge if r["anchor"] == 5)
