@@ -10,7 +10,7 @@ from talkweave.operators import faq as fq
 from talkweave.operators import render as rd
 from talkweave.operators import repair as rp
 from talkweave.plans.faq_queries import FAQ_RULES, chat_faqs, extracted
-from talkweave.plans.message_queries import summaries
+from talkweave.plans.message_queries import POINTS_SQL, SUMMARY_SQL, summaries
 from talkweave.plans import sqltext as s
 from talkweave.plans.graph_queries import WIKI_EDGES
 from talkweave.plans.registry import query
@@ -148,12 +148,34 @@ def _(t):
     return _concept_pages(t).select("rel_path", F.md5("text").alias("h"))
 
 
-@query("ext11d_render_doc_pages")
+_BODY = s.sub(s.strip("content"), "\\n#", "\n")
+_DOC_PAGE = s.filled(
+    "---\ntype: website-doc\ncategory: \"[[分类-{lang}]]\"\ntags: [{lang}]\nsource_url: {url}\nsource_site: {site}\nupdated_at: {day}\n---\n\n# {title}\n\n"
+    "## 内容摘要\n\n{summary}\n\n## 正文内容\n\n{body}\n\n## 相关\n- [[分类-{lang}]]\n- 来源：{url}\n- [[文档-{id}]]\n",
+    lang="lang", url="source_url", site="source_site", day=s.q(DAY), title="title", summary="summary", body=_BODY, id="doc_id")
+
+
+@query("ext11d_render_doc_pages", f"""WITH {DOCS_SQL}, x AS (SELECT *, {s.strip(s.one_space(s.sub("content", "[#*`" + chr(92) + "[" + chr(92) + "]()" + chr(92) + "-_]", " ")))} AS x FROM docs WHERE title <> ''),
+y AS (SELECT *, CASE WHEN length(x) > 300 THEN substr(x, 1, 300) || '...' ELSE x END AS summary FROM x)
+SELECT 'faqs/文档-' || doc_id || '.md' AS rel_path, md5({_DOC_PAGE}) AS h FROM y""")
 def _(t):
     return _doc_pages(t).select("rel_path", F.md5("text").alias("h"))
 
 
-@query("ext11e_render_session_pages")
+_BULLETS = "(CASE WHEN {c} IS NULL THEN '- {none}' || chr(10) ELSE array_to_string(list_transform(string_split({c}, '|'), lambda y: '- ' || y || chr(10)), '') END)"
+_SESSION_PAGE = s.filled(
+    "---\ntype: session\nsession_id: \"{id}\"\ntags: [{tags}]\nsources:\n  - \"[[source-session-{id}]]\"\nupdated_at: {day}\nvalue: {value}\n---\n\n# 会话 {id} — {title}\n\n"
+    "## 会话摘要\n{summary}\n\n## 关键信息\n{points}\n## 操作与政策摘录\n{steps}\n## 相关\n- [[source-session-{id}]]\n",
+    id="session_id", tags="coalesce(nullif(array_to_string(tags, ', '), ''), '客服')", day=s.q(DAY), value="value", title="title", summary="summary",
+    points=_BULLETS.format(c="key_points", none="（见对话记录）"), steps=_BULLETS.format(c="steps", none="（会话未给出明确操作步骤）"))
+_SOURCE_PAGE = s.filled(
+    "---\ntype: source\nsource_type: chat\nsource_id: session_{id}\ningested_at: {day}\n---\n\n# 来源：会话 {id}\n\n## 摘要\n{summary}\n\n"
+    "## 萃取清单\n- [[session-{id}]] — 会话级要点（非 QA）\n", id="session_id", day=s.q(DAY), summary="summary")
+
+
+@query("ext11e_render_session_pages", f"""WITH {SUMMARY_SQL}, {POINTS_SQL}, a AS (SELECT * FROM summ LEFT JOIN kp USING (session_id) LEFT JOIN sp USING (session_id))
+SELECT 'sessions/' || session_id || '.md' AS rel_path, 'session' AS page_type, md5({_SESSION_PAGE}) AS h FROM a
+UNION ALL SELECT 'sources/source-session-' || session_id || '.md', 'source', md5({_SOURCE_PAGE}) FROM a""")
 def _(t):
     both = cut_lineage(summaries(t))
     out = rd.render_session_pages(both, DAY).unionByName(rd.render_source_pages(both, DAY))

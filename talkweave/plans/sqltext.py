@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from talkweave.functions.text import BLANK, CJK, KEY_PUNCTUATION
 
 
@@ -108,3 +110,10 @@ def keywords(x: str, stop: list[str], cap: int = 40) -> str:
     return f"({distinct_in_order(kept)})[1:{cap}]"
 
 
+
+
+def filled(template: str, **values: str) -> str:
+    """``template`` with each ``{name}`` replaced by an SQL expression; null becomes empty."""
+    parts = re.split(r"\{(\w+)\}", template)
+    cells = [q(p) if i % 2 == 0 else f"coalesce(CAST({values[p]} AS VARCHAR), '')" for i, p in enumerate(parts)]
+    return "(" + " || ".join(cells) + ")"
