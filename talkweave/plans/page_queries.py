@@ -9,12 +9,12 @@ from talkweave.operators import docs as dc
 from talkweave.operators import faq as fq
 from talkweave.operators import render as rd
 from talkweave.operators import repair as rp
-from talkweave.plans.faq_queries import FAQ_RULES, chat_faqs, extracted
+from talkweave.plans.faq_queries import CATS, CHAT_FAQ_SQL, FAQ_EXT_SQL, FAQ_RULES, _STEPN, _summary_sql, chat_faqs, extracted
 from talkweave.plans.message_queries import POINTS_SQL, SUMMARY_SQL, summaries
 from talkweave.plans import sqltext as s
 from talkweave.plans.graph_queries import WIKI_EDGES
 from talkweave.plans.registry import query
-from talkweave.plans.text_queries import WIKI_WITH
+from talkweave.plans.text_queries import _CORE, WIKI_WITH
 from talkweave.session import cut_lineage, shared_folder
 from talkweave.sources import readers as rs
 from talkweave.sources.adapters import DOCS_SQL
@@ -131,12 +131,48 @@ def _named_faqs(t):
         "overview", F.concat(F.lit("about "), "category_id"))
 
 
-@query("ext11_render_faq_pages")
+def _list_sql(x: str, line: str) -> str:
+    """A line for each entry ``y`` (number ``i``) of a list."""
+    return f"coalesce(array_to_string(list_transform({x}, lambda y, i: {line} || chr(10)), ''), '')"
+
+
+def _section_sql(head: str, x: str, line: str) -> str:
+    return f"CASE WHEN len({x}) > 0 THEN {s.q(head)} || {_list_sql(x, line)} ELSE '' END"
+
+
+_CORE_Q = _CORE.replace("content", "question")
+_TITLE_Q = f"coalesce(nullif(CASE WHEN length(x) > 42 THEN {s.sub('substr(x, 1, 42)', '[，、的了吗呢]+' + chr(92) + 'z')} ELSE x END, ''), '未命名问题')"
+NAMED_SQL = f"""{CHAT_FAQ_SQL}, nb AS (SELECT *, '问答-' || {_TITLE_Q} AS base FROM (SELECT *, {_CORE_Q} AS x FROM merged)),
+nr AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ord) AS rn, base || '-' || substr(md5(question), 1, 6) AS cand FROM nb),
+nc AS (SELECT *, row_number() OVER (PARTITION BY cand, rn > 1 ORDER BY ord) AS cn FROM nr),
+named AS (SELECT *, CASE WHEN rn = 1 THEN base WHEN cn = 1 THEN cand ELSE cand || cn END AS file_name, '分类-' || category_id AS page FROM nc)"""
+_FAQ_PAGE = s.filled(
+    "---\ntype: faq\ncategory: \"[[{page}]]\"\ntags: [{title}]\nsource_count: {n}\nupdated_at: {day}\n---\n\n# {question}\n\n## 客户问法\n\n{asked}\n"
+    "## 标准回答\n\n{answer}\n{steps}\n## 相关\n- [[{page}]]\n", page="page", title="upper(category_id)", n="source_count", day=s.q(DAY), question="question",
+    asked=_list_sql("[question] || variants", "'- ' || y"), answer=s.strip("answer"), steps=_section_sql("\n## 操作步骤\n", "steps", "i || '. ' || y"))
+
+
+@query("ext11_render_faq_pages", f"""WITH {NAMED_SQL}, p AS (SELECT 'faqs/' || file_name || '.md' AS rel_path, {_FAQ_PAGE} AS text FROM named)
+SELECT rel_path, md5(text) AS h, length(text)::INT AS n FROM p""")
 def _(t):
     return rd.render_faq_pages(_named_faqs(t), DAY).select("rel_path", F.md5("text").alias("h"), F.length("text").alias("n"))
 
 
-@query("ext11b_category_fragments")
+_CATEGORY_HEAD = s.filled(
+    "---\ntype: category\ncategory_id: {id}\nfaq_count: {n}\nupdated_at: {day}\n---\n\n# {title}\n\n## 主题概述\n\nabout {id}\n\n"
+    "本主题共整理 **{n}** 条客户问答（相似问题已合并），**{steps}** 条含操作步骤。\n\n## 主题内问答总结\n\n",
+    id="category_id", n="count(*)", day=s.q(DAY), title="upper(category_id)", steps="count(*) FILTER (len(steps) > 0)")
+_ENTRY = s.filled(
+    "### {i}. {question}\n\n> 详情页：[[{name}]]（合并来源 {n} 条会话）\n\n{asked}**标准回答：**\n\n{answer}\n\n{steps}---\n\n", i="idx", question="question", name="file_name",
+    n="source_count", answer=s.strip("answer"), asked=_section_sql("**常见问法：**\n", "variants[1:6]", "'- ' || y").replace("ELSE ''", "|| chr(10) ELSE ''"),
+    steps=_section_sql("**操作步骤：**\n", "steps", "i || '. ' || y").replace("ELSE ''", "|| chr(10) ELSE ''"))
+
+
+@query("ext11b_category_fragments", f"""WITH {NAMED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY source_count DESC, ord) AS idx FROM named),
+f AS (SELECT page, 0 AS part, 0 AS frag, {_CATEGORY_HEAD} AS text FROM named GROUP BY page, category_id
+UNION ALL SELECT page, (idx - 1) // 10, idx, {_ENTRY} FROM r
+UNION ALL SELECT page, (idx - 1) // 10, idx + {1 << 40}, CASE WHEN idx = 1 THEN {s.q("## 本主题 FAQ 索引" + chr(10) * 2)} ELSE '' END || '- [[' || file_name || ']]' || chr(10) FROM r)
+SELECT 'categories/' || page || '.md' AS rel_path, part, frag, md5(text) AS h FROM f""")
 def _(t):
     return rd.category_fragments(_named_faqs(t), DAY, 10).select("rel_path", "part", "frag", F.md5("text").alias("h"))
 
@@ -182,7 +218,25 @@ def _(t):
     return out.select("rel_path", "page_type", F.md5("text").alias("h"))
 
 
-@query("ext11f_index_and_overview")
+_CATEGORY_ORDER = "CASE category_id WHEN 'german' THEN 0 WHEN 'french' THEN 1 WHEN 'spanish' THEN 2 WHEN 'english' THEN 3 ELSE 4 END"
+_STAT = {"categories": "(SELECT count(*) FROM c)", "faqs": "(SELECT count(*) FROM named)", "concepts": "2", "raw": "(SELECT sum(source_count) FROM named)", "day": s.q(DAY)}
+_INDEX_HEAD = s.filled(
+    "# 智能客服知识库\n\n> 按业务主题分类的客户知识索引。更新：{day}\n\n## 统计\n\n- 主题分类：**{categories}** 个\n- 客户问答（合并后）：**{faqs}** 条\n"
+    "- 产品概念：**{concepts}** 个\n- 原始会话（仅 raw）：{raw} 条\n\n## 主题分类\n\n", **_STAT)
+_INDEX_SECTION = s.filled(
+    "### {title}\n\nabout {id}\n\n- 主题页（含全部 FAQ 内总结）：[[分类-{id}]]\n- 本主题 FAQ 约 **{n}** 条\n- 高频问题：\n{top}\n",
+    title="upper(category_id)", id="category_id", n="n", top=_list_sql("top", "'  - ' || y"))
+_HIT = "regexp_matches(lower(question || answer || array_to_string(variants, ' ')), {p})"
+
+
+@query("ext11f_index_and_overview", f"""WITH {NAMED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY source_count DESC, ord) AS place FROM named),
+c AS (SELECT category_id, {_CATEGORY_ORDER} AS o, count(*) AS n, list(question ORDER BY place) FILTER (place <= 5) AS top FROM r GROUP BY 1),
+k AS (SELECT 0 AS o, 'con-a' AS id WHERE (SELECT bool_or({_HIT.format(p="'with'")}) FROM named) UNION ALL SELECT 1, 'con-b' WHERE (SELECT bool_or({_HIT.format(p="'les'")}) FROM named)),
+w AS (SELECT 'index.md' AS rel_path, {_INDEX_HEAD} || (SELECT string_agg({_INDEX_SECTION}, '' ORDER BY o) FROM c)
+  || coalesce((SELECT string_agg(CASE WHEN o = 0 THEN {s.q("## 产品概念" + chr(10) * 2)} ELSE '' END || '- [[概念-' || id || ']]：' || id || chr(10), '' ORDER BY o) FROM k), '') AS text
+UNION ALL SELECT 'overview.md', {s.filled("# 知识库总览" + chr(10) * 2 + "> 更新：{day}" + chr(10) * 2 + "- 合并后 FAQ：**{faqs}** 条" + chr(10) + "- 概念页：**{concepts}** 个" + chr(10) * 2 + "## 主题分布" + chr(10) * 2, **_STAT)}
+  || (SELECT string_agg('- **' || upper(category_id) || '**：' || n || ' 条 FAQ → [[分类-' || category_id || ']]' || chr(10), '' ORDER BY o) FROM c))
+SELECT rel_path, md5(text) AS h, length(text)::INT AS n FROM w""")
 def _(t):
     faqs = cut_lineage(_named_faqs(t))
     order = F.when(F.col("category_id") == "german", 0).when(F.col("category_id") == "french", 1).when(F.col("category_id") == "spanish", 2).when(
@@ -196,7 +250,15 @@ def _(t):
     return assemble_fragments(frags).select("rel_path", F.md5("text").alias("h"), F.length("text").alias("n"))
 
 
-@query("ext11g_render_drafts")
+_DRAFT_PAGE = s.filled(
+    "---\ntype: faq\nsource: cursor-agent\ncategory: \"[[分类-{id}]]\"\ntags: [{title}]\nsource_session_id: {session}\nupdated_at: {day}\n---\n\n# {question}\n\n"
+    "## 会话摘要\n\n{summary}\n\n## 客户问法\n\n{asked}\n## 标准回答\n\n{answer}\n{steps}\n## 相关\n- [[分类-{id}]]\n",
+    id="category_id", title=f"(CASE category_id {' '.join(f'WHEN {s.q(c)} THEN {s.q(n)}' for c, n, _ in CATS)} END)", session="session_id", day=s.q(DAY),
+    question="question", summary=_summary_sql(), asked=_list_sql("list_filter([question] || variants, lambda v: v <> '')", "'- ' || y"),
+    answer=s.strip("answer"), steps=_section_sql("## 操作步骤\n", f"({_STEPN}[1:10])", "i || '. ' || y"))
+
+
+@query("ext11g_render_drafts", f"""WITH {FAQ_EXT_SQL} SELECT '.agent-queue/faq-drafts/' || session_id || '.md' AS rel_path, md5({_DRAFT_PAGE}) AS h FROM ext""")
 def _(t):
     ext = fq.enrich_extractions(extracted(t), FAQ_RULES).withColumn("category_page", F.concat(F.lit("分类-"), "category_id"))
     return rd.render_draft_pages(ext, DAY).select("rel_path", F.md5("text").alias("h"))
