@@ -5,14 +5,16 @@
    Viterbi over a lattice of what each sign may stand for, weighed by that model. Telling words are also
    found in pieces ("st up id"), as far as their letters are plain.
 3. A logistic model on the presence of restored words and word beginnings gives the score. It is fitted on at most
-   ``max_train`` labelled documents, chosen by a hash of their id.
+   ``max_train`` labelled documents, chosen by a hash of their id; equal texts among them count once. Every feature
+   carries a weight whose chi-square no more than one of all features would reach by chance; their number has no cap.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -104,20 +106,68 @@ class _Reader:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """(label, text) of at most ``max_train`` documents with a label, those of the smallest id hash."""
+    """(row, label, text) of at most ``max_train`` documents with a label, those of the smallest id hash; a text comes once, with its highest label."""
     marked = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select(F.col("doc_id").alias("_id"), "_label"))
     rows = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("text"))
-    return kept(rows.join(F.broadcast(marked), "_id").select(F.monotonically_increasing_id().alias("row"), "_label", "text"))
+    texts = rows.join(F.broadcast(marked), "_id").groupBy("text").agg(F.max("_label").alias("_label"))
+    return kept(texts.select(F.monotonically_increasing_id().alias("row"), "_label", "text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, max_features: int = 256, min_docs: int = 3, penalty: float = 1.0) -> ToxicityModel:
+def _critical(n_features: int) -> float:
+    """Chi-square (one degree of freedom) that chance exceeds for one of ``n_features``."""
+    return NormalDist().inv_cdf(1 - 0.5 / max(n_features, 2)) ** 2
+
+
+def _solve(product: Callable[[np.ndarray], np.ndarray], target: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Conjugate gradients for a positive definite system given by its product and diagonal."""
+    x, rest = np.zeros_like(target), target.copy()
+    scaled = rest / diagonal
+    way, size, goal = scaled, rest @ scaled, 1e-16 * (target @ (target / diagonal))
+    for _ in range(200):
+        if size <= goal:
+            break
+        moved = product(way)
+        length = size / (way @ moved)
+        x, rest = x + length * way, rest - length * moved
+        scaled = rest / diagonal
+        size, before = rest @ scaled, size
+        way = scaled + (size / before) * way
+    return x
+
+
+def _weights(found: list[list[int]], y: np.ndarray, n_features: int, bias: float, penalty: float) -> np.ndarray:
+    """Weights of a logistic model on sparse 0/1 features, the bias last: Newton steps on the penalised likelihood."""
+    doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    feature = np.array([i for f in found for i in f], dtype=np.int64)
+
+    def sums(v: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, v[feature], len(found)) + v[-1]
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(feature, u[doc], n_features), u.sum())
+
+    beta = np.zeros(n_features + 1)
+    beta[-1] = bias
+    ridge = np.full(n_features + 1, penalty)
+    ridge[-1] = 1e-6
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(sums(beta), -30, 30)))
+        w = p * (1 - p) + 1e-6
+        step = _solve(lambda v: back(w * sums(v)) + ridge * v, back(y - p) - ridge * beta, back(w) + ridge)
+        beta += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return beta
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, min_docs: int = 3, penalty: float = 1.0) -> ToxicityModel:
     """Model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``: 0 or 1).
 
     The language model counts every document; ``max_train`` bounds the labelled documents used for the
-    weights and ``max_features`` the features that carry one. Labels that are null or without a document are
+    weights, and through them the features, which the driver holds. Labels that are null or without a document are
     skipped, of several labels for an id the highest counts. Without labels every score is 0.5; with one
-    class only, or no telling feature, it is the smoothed share of toxic documents.
+    class only, or no telling feature, it is the smoothed share of toxic texts.
     """
     costs = language_model(docs)
     sample = _sample(docs, labels, max_train)
@@ -147,29 +197,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, max_feature
     if not positive or not negative:
         return none
     total = positive + negative
-    counts = (sample.select("_label", "text").mapInArrow(count, "feature string, b long, a long")
-              .groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") + F.col("b") >= min_docs))
-    chi = (F.col("a") * negative - F.col("b") * positive) ** 2 / ((F.col("a") + F.col("b")) * (total - F.col("a") - F.col("b")) + 1)
-    top = [r["feature"] for r in counts.orderBy(chi.desc(), "feature").limit(max_features).collect()]
+    counts = kept(sample.select("_label", "text").mapInArrow(count, "feature string, b long, a long")
+                  .groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") + F.col("b") >= min_docs))
+    chi = (F.col("a") * negative - F.col("b") * positive) ** 2 * (total / (positive * negative)) / ((F.col("a") + F.col("b")) * (total - F.col("a") - F.col("b")) + 1)
+    top = [r["feature"] for r in counts.filter(chi > _critical(counts.count())).orderBy("feature").collect()]
     if not top:
         return none
     rows = sample.mapInArrow(list_found(frozenset(top)), "row long, label int, features array<string>").orderBy("row").collect()  # at most max_train rows
     place = {f: i for i, f in enumerate(top)}
-    x = np.zeros((len(rows), len(top) + 1))
-    x[:, -1] = 1.0
-    for i, r in enumerate(rows):
-        x[i, [place[f] for f in r["features"]]] = 1.0
-    y = np.array([float(r["label"] == 1) for r in rows])
-    beta = np.zeros(x.shape[1])
-    beta[-1] = bias
-    ridge = np.full(len(beta), penalty)
-    ridge[-1] = 1e-6
-    for _ in range(25):  # Newton steps on the penalised likelihood
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * beta)
-        beta += step
-        if np.abs(step).max() < 1e-6:
-            break
+    beta = _weights([[place[f] for f in r["features"]] for r in rows], np.array([float(r["label"] == 1) for r in rows]), len(top), bias, penalty)
     return ToxicityModel(costs, tuple(top), beta[:-1], float(beta[-1]))
 
 

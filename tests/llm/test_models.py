@@ -1,3 +1,4 @@
+import itertools
 import os
 import zlib
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 TABLES = "/root/testdata/sf0.001"
-from talkweave.llm import ordinal, toxicity
+from talkweave.llm import deobfuscation, ordinal, toxicity
 from talkweave.llm.deobfuscation import SYMBOLS, Decoder, trigram_costs, trigram_counts
 
 CORPUS = ("the idiot said that the clown was stupid and worthless, a pathetic loser; the moron threw trash at the scum. it is a disgusting thing "
@@ -172,3 +173,40 @@ def test_ordinal_odd_rows(llm_spark, table, odd_rows):
     got = ordinal.grade_documents(table(odd_rows), some, 3).collect()
     assert len(got) == len(odd_rows) and all(list(r.tails) == sorted(r.tails, reverse=True) for r in got)
     assert ordinal.grade_documents(table([]), some, 3).count() == 0
+
+
+def test_every_telling_word_has_a_weight(llm_spark):
+    """400 telling words, more than any round cap, and copies of one toxic text, whose other words tell nothing."""
+    letters = "bcdfghklmnprstvwz"
+    words = ["".join(x) for x in itertools.islice(itertools.product(letters, "aiou", letters, "aeo", "x"), 0, 4000, 10)][:400]
+    toxic = [(i, " ".join(words[i:] + words[:i])) for i in range(30)]
+    clean = [(100 + i, f"quiet morning walk number {i} along the river") for i in range(60)]
+    copies = [(1000 + i, words[0] + " zebrafish umbrella") for i in range(40)]
+    docs = llm_spark.createDataFrame(toxic + clean + copies, "doc_id long, text string")
+    labels = llm_spark.createDataFrame([(i, int(i < 100 or i >= 1000)) for i, _ in toxic + clean + copies], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    weights = dict(zip(model.features, model.weights))
+    assert all(weights[w] > 0 for w in words)
+    assert "zebrafish" not in weights and "umbrella" not in weights
+
+
+def test_sparse_weights_equal_dense_newton():
+    rng = np.random.default_rng(3)
+    x = (rng.random((80, 12)) < 0.3).astype(float)
+    y = (rng.random(80) < 1 / (1 + np.exp(-(x[:, 0] * 3 - x[:, 1] * 2 - 0.2)))).astype(float)
+    found = [np.flatnonzero(r).tolist() for r in x]
+    got = toxicity._weights(found, y, 12, 0.0, 1.0)
+    full = np.hstack([x, np.ones((80, 1))])
+    ridge = np.array([1.0] * 12 + [1e-6])
+    beta = np.zeros(13)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ beta))
+        beta += np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + np.diag(ridge), full.T @ (y - p) - ridge * beta)
+    assert np.allclose(got, beta, atol=1e-5)
+
+
+def test_pieces_are_found_in_one_pass():
+    pieces = deobfuscation.Pieces(["stupid", "idiot", "id"])
+    assert list(pieces.found("you st up id man, i di ot", set())) == ["idiot", "stupid"]
+    assert list(pieces.found("you st up id man", {"stupid"})) == []
+    assert list(pieces.found("best upidity", set())) == [] and list(deobfuscation.Pieces([]).found("any", set())) == []
