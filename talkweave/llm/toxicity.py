@@ -110,7 +110,8 @@ def _sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
     marked = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select(F.col("doc_id").alias("_id"), "_label"))
     rows = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("text"))
-    texts = rows.join(F.broadcast(marked), "_id").groupBy("text").agg(F.max("_label").alias("_label"))
+    chosen = kept(rows.join(F.broadcast(marked), "_id").select("_label", "text"))
+    texts = chosen.groupBy(F.sha2("text", 256).alias("_same")).agg(F.max("_label").alias("_label"), F.first("text").alias("text"))
     return kept(texts.select(F.monotonically_increasing_id().alias("row"), "_label", "text"))
 
 
