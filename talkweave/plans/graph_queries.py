@@ -145,7 +145,24 @@ def _(t):
     return gr.lint_report(pages, edges, index)
 
 
-@query("jon4_resolve_wikilinks")
+def _alias_sql(x: str) -> str:
+    return s.sub(s.sub(s.sub(s.strip(x), "\\.md\\z"), "[ \\x{3000}]"), "[-_]{2,}", "-")
+
+
+def _soft_sql(x: str) -> str:
+    return s.sub(_alias_sql(x), f"[^{tx.WORD}\\-（）()]+")
+
+
+#: resolved(target, raw, resolved) for every link target of the pages
+RESOLVED_SQL = WIKI_WITH + f""", lt AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\[\\[([^\\]|]+)(\\|[^\\]]+)?\\]\\]', 1)) AS target FROM wiki),
+lk AS (SELECT target, {s.sub(s.strip("target"), chr(92) + ".md" + chr(92) + "z")} AS raw FROM lt), lm AS (SELECT *, {_alias_sql("raw")} AS nkey, {_soft_sql("raw")} AS skey FROM lk),
+nm AS (SELECT DISTINCT stem, {_alias_sql("stem")} AS nkey, {_soft_sql("stem")} AS skey FROM wiki),
+hit AS (SELECT target, raw, nkey, coalesce((SELECT max(stem) FROM nm WHERE nm.stem = lm.raw), (SELECT max(stem) FROM nm WHERE nm.nkey = lm.nkey), (SELECT max(stem) FROM nm WHERE nm.skey = lm.skey)) AS found FROM lm),
+pre AS (SELECT target, min(stem) AS found FROM hit JOIN nm ON starts_with(nm.nkey, hit.nkey) WHERE hit.found IS NULL AND {s.hit("raw", "^(问答|文档|概念|分类)-")} GROUP BY 1 HAVING count(*) = 1),
+resolved AS (SELECT target, raw, coalesce(hit.found, pre.found) AS resolved FROM hit LEFT JOIN pre USING (target))"""
+
+
+@query("jon4_resolve_wikilinks", RESOLVED_SQL + " SELECT target, resolved FROM resolved")
 def _(t):
     pages = t.wiki_pages()
     links = pages.select(F.explode(F.regexp_extract_all("text", F.lit("\\[\\[([^\\]|]+)(\\|[^\\]]+)?\\]\\]"), F.lit(1))).alias("target"))

@@ -12,8 +12,8 @@ from talkweave.operators import repair as rp
 from talkweave.plans.faq_queries import CATS, CHAT_FAQ_SQL, FAQ_EXT_SQL, FAQ_RULES, _STEPN, _summary_sql, chat_faqs, extracted
 from talkweave.plans.message_queries import POINTS_SQL, SUMMARY_SQL, summaries
 from talkweave.plans import sqltext as s
-from talkweave.plans.graph_queries import WIKI_EDGES
-from talkweave.plans.registry import query
+from talkweave.plans.graph_queries import RESOLVED_SQL, WIKI_EDGES
+from talkweave.plans.registry import SQL, query
 from talkweave.plans.text_queries import _CORE, WIKI_WITH
 from talkweave.session import cut_lineage, shared_folder
 from talkweave.sources import readers as rs
@@ -70,7 +70,17 @@ def _(t):
     return rp.backfill_concept_faqs(bare)
 
 
-@query("fix6_autofix_report")
+_LINK_SQL = "'\\[\\[([^\\]|]+)(\\|[^\\]]+)?\\]\\]'"
+
+
+@query("fix6_autofix_report", RESOLVED_SQL + f""", bare AS (SELECT {s.sub("text", "(?s)```.*?```")} AS t FROM wiki WHERE page_type IN ('category', 'concept')),
+tl AS (SELECT unnest(regexp_extract_all(t, {_LINK_SQL}, 1)) AS target, unnest(regexp_extract_all(t, {_LINK_SQL}, 2)) AS alias FROM bare),
+act AS (SELECT CASE WHEN starts_with(target, '.agent-queue/') OR raw = '' OR {s.hit("raw", '[$][{]|"|/opt/|https?://')} THEN 'keep' WHEN resolved IS NULL THEN 'removed'
+  WHEN {s.hit("resolved", "[]" + chr(92) + "[]")} THEN 'to_markdown' WHEN raw <> resolved OR alias <> '' THEN 'canonicalized' ELSE 'keep' END AS a FROM tl JOIN resolved USING (target))
+SELECT 'files_scanned' AS metric, count(*) AS n FROM wiki
+UNION ALL SELECT 'link_rewrites', CAST(sum(rewrites) AS BIGINT) FROM ({SQL["fix1_rewrite_links"]})
+UNION ALL SELECT 'taxonomy_' || k, (SELECT count(*) FROM act WHERE a = k) FROM (VALUES ('removed'), ('to_markdown'), ('canonicalized')) v(k)
+UNION ALL SELECT 'added: ' || section, count(*) FROM (SELECT section FROM ({SQL["fix4_complete_index"]}) UNION ALL SELECT section FROM ({SQL["fix3_relink_orphans"]})) GROUP BY 1""")
 def _(t):
     p = pages(t)
     index = p.filter(F.contains("text", F.lit("\n# en "))).select(F.col("stem").alias("dst"))
