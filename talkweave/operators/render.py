@@ -115,11 +115,13 @@ def render_session_pages(summaries: DataFrame, today: str) -> DataFrame:
 
 
 def render_source_pages(summaries: DataFrame, today: str) -> DataFrame:
+    """Source pages of sessions (session_id, summary), with the path of the raw file if there is a column ``raw_path``."""
+    raw = _cat("\n## 原始路径\n`", F.coalesce("raw_path", F.lit("")), "`\n") if "raw_path" in summaries.columns else F.lit("")
     sid = F.col("session_id").cast("string")
     slug = tx.session_slug(sid)
     text = _cat(
         "---\ntype: source\nsource_type: chat\nsource_id: session_", slug, f"\ningested_at: {today}\n---\n\n# 来源：会话 ", tx.truncate_text(sid, 50),
-        "\n\n## 摘要\n", F.col("summary"), "\n\n## 萃取清单\n- [[session-", slug, "]] — 会话级要点（非 QA）\n")
+        "\n\n## 摘要\n", F.col("summary"), "\n\n## 萃取清单\n- [[session-", slug, "]] — 会话级要点（非 QA）\n", raw)
     return summaries.select(_cat("sources/source-session-", slug, ".md").alias("rel_path"), F.lit("source").alias("page_type"), text.alias("text"))
 
 

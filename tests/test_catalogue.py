@@ -1,8 +1,9 @@
 """Catalogue pages against whole expected texts."""
 
-from pyspark.sql import functions as F
+import re
 
 from talkweave.operators import catalogue as ct
+from talkweave.operators import render as rd
 from talkweave.sources.writers import assemble_fragments
 
 DOCS = "ord long, category_id string, title string, file_name string, summary string, content string, source_url string, source_site string"
@@ -84,3 +85,21 @@ def test_session_catalogue(spark):
         "- 详情：打开 `wiki/sessions/` 对应页\n")
     empty = _texts(ct.session_catalogue_fragments(parsed.limit(0), pages.limit(0), "D").unionByName(ct.session_overview_fragments(parsed.limit(0), "D")))
     assert "- wiki/sessions: 0\n" in empty["index.md"] and "**0** 条" in empty["overview.md"]
+
+
+def test_source_page_names_its_raw_file(spark):
+    row = spark.createDataFrame([("S.1", "sum", "raw/chats/a.md")], "session_id string, summary string, raw_path string")
+    text = rd.render_source_pages(row, "D").first().text
+    assert text.endswith("## 摘要\nsum\n\n## 萃取清单\n- [[session-s-1]] — 会话级要点（非 QA）\n\n## 原始路径\n`raw/chats/a.md`\n")
+    assert "原始路径" not in rd.render_source_pages(row.drop("raw_path"), "D").first().text
+
+
+def test_long_category_in_parts(spark):
+    """A category with nearly all rows and many equal lengths is numbered without gaps over its parts."""
+    rows = [(i, "a" if i % 50 else "b", f"T{i}", f"文档-{i}", "s", "x" * (i % 3), "u", "x") for i in range(700)]
+    docs, cats, concepts = _inputs(spark, rows)
+    got = _texts(ct.doc_category_fragments(docs, cats, concepts, "D", per_part=100))
+    want = [i for _, i in sorted((-(i % 3), i) for i in range(700) if i % 50)]
+    parts = [got["categories/分类-A.md"], *(got[f"categories/分类-A.part{k}.md"] for k in range(1, 7))]
+    seen = re.findall(r"### (\d+)\. T(\d+)\n", "".join(parts))
+    assert [(int(n), int(i)) for n, i in seen] == list(enumerate(want, 1))
