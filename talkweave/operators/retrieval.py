@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talkweave import rules
 from talkweave.functions import scoring as sc
 from talkweave.functions import text as tx
 from talkweave.operators.graph import link_closure, resolve_page
 from talkweave.operators.ordering import top_rows
-from talkweave.operators.substring import contains_join, keyword_hits
+from talkweave.operators.substring import contains_join, keyword_scores
 from talkweave.session import cut_lineage
 
 Q = "question_id"
@@ -24,21 +24,14 @@ def question_keywords(questions: DataFrame, stop_words: list[str] | None = None)
     return kw.withColumn("n_keywords", F.size("keywords"))
 
 
-def _long(kw: DataFrame) -> DataFrame:
-    return kw.select(Q, F.explode("keywords").alias("keyword"))
-
-
 def keyword_matches(kw: DataFrame, pages: DataFrame, title: Column, text: Column, page_key: str = "stem") -> DataFrame:
     """Per question and page the number of keywords in title and text, for pages with any.
 
     Each page is searched once for all questions together.
     """
-    searched = pages.select(F.col(page_key).alias("page_id"), F.lower(title).alias("title"), F.lower(text).alias("text"))
-    long = _long(kw)
-    hits = keyword_hits(searched, long)
-    return long.join(hits, "keyword").groupBy(Q, F.col("page_id").alias(page_key)).agg(
-        F.count_if("in_title").cast("double").alias("title_score"), F.count_if("in_text").cast("double").alias("content_score"),
-        F.count_if(F.col("in_title") | F.col("in_text")).cast("double").alias("score"))
+    searched = pages.select(F.col(page_key).alias("page"), F.lower(title).alias("title"), F.lower(text).alias("text"))
+    found = keyword_scores(searched, kw.select(F.col(Q).alias("question"), "keywords"))
+    return found.withColumnsRenamed({"question": Q, "page": page_key})
 
 
 def title_matches(questions: DataFrame, pages: DataFrame, page_key: str = "page_id") -> DataFrame:
@@ -135,12 +128,17 @@ def _type_rank(hit_type: Column) -> Column:
     return rank
 
 
-def bucket_hits(hits: DataFrame, max_pages: int = 10, caps: dict[str, int] | None = None) -> DataFrame:
+def bucket_hits(hits: DataFrame, max_pages: int = 10, caps: dict[str, int] | None = None, settled: bool = False) -> DataFrame:
     """Best score per page, the best pages overall, then the best of each bucket.
 
-    ``hits``: question_id, stem, hit_type, score, route. Ties follow page type, then name.
+    ``hits``: question_id, stem, hit_type, score, route. Ties follow page type, then name. ``settled`` says that rows
+    of one page, type and route have one score: then only the first pages of each route, among which are the
+    first overall, are shuffled.
     """
     caps = caps or {"category": 2, "faq": 5, "concept": 2}
+    if settled:
+        by_route = Window.partitionBy(Q, "route").orderBy(F.desc("score"), _type_rank(F.col("hit_type")), F.col("stem"), F.col("hit_type"))
+        hits = hits.withColumn("_n", F.dense_rank().over(by_route)).filter(F.col("_n") <= max_pages).drop("_n")
     best = hits.groupBy(Q, "stem", "hit_type").agg(F.max("score").alias("score"), F.max_by("route", "score").alias("route"))
     order = [F.desc("score"), _type_rank(F.col("hit_type")), F.col("stem")]
     top = top_rows(best, [Q], order, max_pages, "page_rank").withColumn("bucket", bucket_of(F.col("hit_type")))
@@ -257,7 +255,7 @@ def retrieve(
     scored = hits.select(
         Q, "stem", F.col("page_type").alias("hit_type"), "route",
         sc.hit_confidence(F.col("n_keywords"), F.coalesce("title_score", zero), F.coalesce("content_score", zero), F.col("route"), F.col("page_type"), F.col("boost")).alias("score"))
-    out = bucket_hits(scored, max_pages, caps).join(routed.withColumn("_r", F.lit(True)), Q, "left").withColumn(
+    out = bucket_hits(scored, max_pages, caps, settled=True).join(routed.withColumn("_r", F.lit(True)), Q, "left").withColumn(
         "note", F.when(F.col("_r"), "index_match").otherwise("global_scan")).drop("_r")
     if fallback_selector is None:
         return out

@@ -226,7 +226,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC,
 b AS (SELECT *, row_number() OVER (PARTITION BY question_id, hit_type ORDER BY page_rank) AS rank FROM g WHERE page_rank <= 10)
 SELECT question_id, stem, hit_type, score, page_rank::INT AS page_rank, rank::INT AS rank FROM b WHERE rank <= CASE hit_type WHEN 'faq' THEN 5 ELSE 2 END""")
 def _(t):
-    return rt.bucket_hits(_confident(t)).select("question_id", "stem", "hit_type", "score", "page_rank", "rank")
+    return rt.bucket_hits(_confident(t), settled=True).select("question_id", "stem", "hit_type", "score", "page_rank", "rank")
 
 
 CATS_SQL = "cats AS (SELECT doc_id AS category_id, doc_id AS ord, lower(source || ' ' || text) AS blob FROM documents)"

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from talkweave.functions.pandas_udfs import bounded_ratio
 from talkweave.operators import docs as dc
 from talkweave.operators import faq as fq
+from talkweave.operators import retrieval as rt
 from talkweave.operators import similar as sm
+from talkweave.operators import substring
 from talkweave.operators.substring import contains_join, keyword_hits
 
 FAQ = ("ord bigint, question string, answer string, category_id string, variants array<string>, steps array<string>, links array<string>, "
@@ -54,6 +56,37 @@ def test_contains_join_matches_brute_force(spark):
     assert hits == {(i, x, x in y[:5], x in y) for x in needles for i, y in enumerate(texts) if x in y}
 
 
+def test_keyword_scores_over_blocks_and_repeated_pages(spark, monkeypatch):
+    monkeypatch.setattr(substring, "QUESTIONS", 2)
+    rng = random.Random(9)
+    pages = [(i, words(rng, 3, "abc高"), words(rng, 30, "abc高")) for i in range(30)] + [(40, None, "ab"), (41, "ab", None), (42, None, None)]
+    asked = [(q, sorted({words(rng, rng.randint(1, 4), "abc高") for _ in range(6)})) for q in range(7)] + [(7, [])]
+    want = {}
+    for q, ks in asked:
+        for i, title, text in pages:
+            t, x, e = (sum(map(f, ks)) for f in (lambda k: k in (title or ""), lambda k: k in (text or ""), lambda k: k in (title or "") or k in (text or "")))
+            if e:
+                want[q, i] = (t, x, e)
+    schema = "page bigint, title string, text string"
+    questions = spark.createDataFrame(asked, "question bigint, keywords array<string>")
+    found = substring.keyword_scores(spark.createDataFrame([*pages, (None, "a", "b")], schema), questions).collect()
+    assert {(r.question, r.page): (r.title_score, r.content_score, r.score) for r in found} == want and len(found) == len(want)
+    # a hit counts once for every row of its page that has the keyword
+    twice = substring.keyword_scores(spark.createDataFrame([*pages, pages[0]], schema), questions).filter("page = 0").collect()
+    assert {(r.question, 0): (r.title_score, r.content_score, r.score) for r in twice} == {k: tuple(4 * x for x in v) for k, v in want.items() if k[1] == 0}
+
+
+def test_first_pages_of_settled_hits(spark):
+    rng = random.Random(3)
+    score = {(s, r): rng.randint(1, 9) / 10 for s in range(40) for r in "xy"}
+    rows = [(q, s, ["faq", "concept", "category"][s % 3], v, r) for q in range(3) for (s, r), v in score.items() if rng.random() < 0.8 for _ in range(rng.randint(1, 2))]
+    hits = spark.createDataFrame(rows, "question_id int, stem int, hit_type string, score double, route string")
+    plain, settled = (sorted(map(tuple, rt.bucket_hits(hits, settled=s).drop("route").collect())) for s in (False, True))
+    assert plain == settled and plain
+    plan = rt.bucket_hits(hits, settled=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortAggregate") < plan.rindex("WindowGroupLimit")  # rows are cut before they are merged
+
+
 def test_similar_questions_and_clusters(spark):
     rows = [
         entry(1, "如何安装高斯软件", "a"), entry(2, "如何安装高斯软件呢？", "b"),  # containment, across categories
