@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from test_queries_and_pipeline import near_groups
 
-from talkweave.llm import resemblance as rs
+import corpus_pipeline
+from talkweave.llm import resemblance as rs, simhash as sh
 
 
 def edited(rng, words, share):
@@ -75,3 +76,21 @@ def test_long_lists_are_spanned():
     for a, b in found:
         label = [label[a] if x == label[b] else x for x in label]
     assert len(set(label[:340])) == 1 and len(set(label[340:])) == 50 and len(found) < 3 * 390
+
+
+def test_groups_join_over_simhash_links_too(llm_spark):
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(900)}" for _ in range(60)]
+    texts = [" ".join(words)]
+    while len(texts) < 2:  # few bits apart, but below the resemblance
+        other = list(words)
+        for at in rng.sample(range(60), 3):
+            other[at] = f"v{rng.randrange(900)}"
+        near = " ".join(other)
+        bits = (sh.simhash(texts[0].encode()) ^ sh.simhash(near.encode())) & (2**64 - 1)
+        if bits.bit_count() <= 4 and rs.resemblance(*(rs.shingle_hashes(t.encode()) for t in (texts[0], near))) < 0.8:
+            texts.append(near)
+    texts += [" ".join(f"u{rng.randrange(900)}" for _ in range(60)) for _ in range(5)]
+    docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(llm_spark, docs, "").collect()) == [0, 2, 3, 4, 5, 6]
+    assert rs.drop_near_copies(docs).count() == 7
