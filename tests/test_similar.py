@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from talkweave.functions import pandas_udfs
 from talkweave.functions.pandas_udfs import bounded_ratio
 from talkweave.operators import docs as dc
 from talkweave.operators import faq as fq
@@ -42,6 +43,33 @@ def test_ratio_pairs_match_brute_force(spark, threshold, alphabet):
     assert {(r.left, r.right) for r in sm.ratio_pairs(df, threshold, "g").collect()} == {p for p in want if group[p[0]] == group[p[1]]}
 
 
+def test_block_bounds_leave_out_no_pair():
+    rng = random.Random(12)
+    texts = [words(rng, rng.choice([1, 5, 63, 64, 65, 128, 200, 256, 300]), "abcdé高" if i % 2 else "abcdefghijk") for i in range(60)]
+    texts += [t[:k] + "z" + t[k + 1:] for t in texts for k in (len(t) // 2,)] + [""]
+    for threshold in (0.5, 0.68, 0.82):
+        found = set(zip(*(p.tolist() for p in pandas_udfs.block_pairs(texts, None, threshold))))
+        ratio = {(i, j): SequenceMatcher(None, a, b).ratio() for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j}
+        assert {p for p, r in ratio.items() if r >= threshold} <= found and len(found) < len(ratio)
+        bounded = {(i, j) for i, j in ratio if max(len(texts[i]), len(texts[j])) <= 256 and bounded_ratio(texts[i], texts[j], threshold) == 0.0 < ratio[i, j]}
+        assert not bounded & found  # the subsequence bound is the one of a single pair
+        across = set(zip(*(p.tolist() for p in pandas_udfs.block_pairs(texts[:50], texts[50:], threshold))))
+        assert across == {(i, j - 50) for i, j in found if i < 50 <= j}
+
+
+def test_blocks_meet_whole(spark, monkeypatch):
+    monkeypatch.setattr(sm, "BLOCK", 7)
+    rng = random.Random(13)
+    rows = [(i, words(rng, rng.randint(2, 14), "abcd"), rng.choice(["a", "b", None]), rng.random() < 0.5, rng.random() < 0.5) for i in range(80)] + [(None, "abc", "a", True, True)]
+    df = spark.createDataFrame(rows, "ord bigint, norm string, g string, asks boolean, answers boolean")
+    some = {i: (t, g, x, y) for i, t, g, x, y in rows if i is not None}
+    ratio = lambda i, j: SequenceMatcher(None, some[i][0], some[j][0]).ratio()
+    got = {(r.left, r.right): r.score for r in sm.ratio_pairs(df, 0.7, "g").collect()}
+    assert got == {(i, j): ratio(i, j) for i in some for j in some if i < j and some[i][1] == some[j][1] is not None and ratio(i, j) >= 0.7}
+    got = {(r.left, r.right): r.score for r in sm.ratio_pairs(df, 0.7, both_ways=True).collect()}
+    assert got == {(i, j): ratio(i, j) for i in some for j in some if i != j and some[i][2] and some[j][3] and ratio(i, j) >= 0.7}
+
+
 def test_contains_join_matches_brute_force(spark):
     rng = random.Random(5)
     needles = {words(rng, rng.randint(1, 7), "abc高") for _ in range(40)}
