@@ -1,19 +1,24 @@
-"""Sound levels as Column expressions."""
+"""Sound levels of whole frames."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
-def rms(samples: Column) -> Column:
-    """Root mean square of little-endian 16-bit PCM (binary), scaled to 0..1; 0 without samples."""
-    pairs = F.regexp_extract_all(F.hex(samples), F.lit("[0-9A-F]{4}"), F.lit(0))
+@F.pandas_udf("double")
+def _levels(frames: pd.Series) -> pd.Series:
+    def level(frame: bytes | None) -> float:
+        n = len(frame or b"") // 2
+        if not n:
+            return 0.0
+        waves = np.frombuffer(frame, dtype="<i2", count=n).astype(np.float64)
+        return float(np.sqrt(waves @ waves / 32768.0**2 / n))
+
+    return pd.Series([level(f) for f in frames], dtype="float64")
 
-    def square(x: Column) -> Column:
-        value = F.conv(F.concat(F.substring(x, 3, 2), F.substring(x, 1, 2)), 16, 10).cast("int")
-        wave = (value - F.when(value >= 32768, 65536).otherwise(0)) / F.lit(32768.0)
-        return wave * wave
 
-    total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + square(x))
-    n = F.octet_length(samples)
-    return F.when(n >= 2, F.sqrt(total / F.floor(n / 2))).otherwise(0.0)
+def rms(samples: Column) -> Column:
+    """Root mean square of little-endian 16-bit PCM (binary), scaled to 0..1; 0 without samples."""
+    return _levels(samples)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -100,22 +101,26 @@ def url_kind(c: Column, content_type: Column | None = None) -> Column:
     return F.when(reduce(lambda a, b: a | b, checks), "image").otherwise("page")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _private_ipv4(h: Column) -> Column:
     """Private, loopback, link-local and reserved ranges, compared as one number."""
-    quad = [F.regexp_extract(h, "^(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})\\z", i).try_cast("long") for i in range(1, 5)]
-    valid = reduce(lambda a, b: a & b, [(q >= 0) & (q <= 255) for q in quad])
-    number = quad[0] * 16777216 + quad[1] * 65536 + quad[2] * 256 + quad[3]
+    quads = F.array(*[F.regexp_extract(h, "^(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})\\z", i).try_cast("long") for i in range(1, 5)])
+    number = F.aggregate(quads, F.lit(0).cast("long"), lambda n, q: F.when((q >= 0) & (q <= 255), n * 256 + q))
     ranges = [
         ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12),
         ("192.0.0.0", 29), ("192.0.0.170", 31), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15),
         ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4),
     ]
 
-    def inside(base: str, bits: int) -> Column:
+    def inside(n: Column, base: str, bits: int) -> Column:
         low = sum(int(x) << s for x, s in zip(base.split("."), (24, 16, 8, 0)))
-        return number.between(low, low + (1 << (32 - bits)) - 1)
+        return n.between(low, low + (1 << (32 - bits)) - 1)
 
-    return F.coalesce(valid & reduce(lambda a, b: a | b, [inside(*r) for r in ranges]), F.lit(False))
+    return F.coalesce(_once(number, lambda n: reduce(lambda a, b: a | b, [inside(n, *r) for r in ranges])), F.lit(False))
 
 
 def _private_ipv6(h: Column) -> Column:
@@ -124,9 +129,11 @@ def _private_ipv6(h: Column) -> Column:
 
 def is_safe_url(c: Column) -> Column:
     """http(s) with a host that is neither local nor in a private address range."""
-    h = host(c)
-    local = h.isin("localhost", "127.0.0.1", "::1") | h.endswith(".local")
-    return scheme(c).isin("http", "https") & (h != "") & ~local & ~_private_ipv4(h) & ~_private_ipv6(h)
+    def safe(h: Column) -> Column:
+        local = h.isin("localhost", "127.0.0.1", "::1") | h.endswith(".local")
+        return scheme(c).isin("http", "https") & (h != "") & ~local & ~_private_ipv4(h) & ~_private_ipv6(h)
+
+    return _once(host(c), safe)
 
 
 def url_slug(c: Column) -> Column:

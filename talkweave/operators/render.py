@@ -267,10 +267,13 @@ def attach_link_content(messages: DataFrame, contents: DataFrame, keys: list[str
     ``contents``: url, kind, content, error. Unsafe links are marked as blocked.
     """
     listed = messages.select(*keys, "text", F.posexplode(F.slice(ux.extract_urls_distinct(F.col("text")), 1, max_urls or 1 << 30)).alias("i", "url"))
-    joined = listed.join(contents, "url", "left")
-    kind = F.when(~ux.is_safe_url(F.col("url")), "blocked").otherwise(F.coalesce("kind", F.lit("error")))
-    error = F.when(kind == "blocked", "不允许访问的内网或非法 URL").otherwise(
-        F.when(F.col("content").isNull(), F.coalesce("error", F.lit("未抓取到内容"))).otherwise(F.col("error")))
+    # each step uses the one before several times
+    joined = listed.withColumn("_safe", ux.is_safe_url(F.col("url"))).join(contents, "url", "left")
+    joined = joined.withColumn("_kind", F.when(~F.col("_safe"), "blocked").otherwise(F.coalesce("kind", F.lit("error"))))
+    kind = F.col("_kind")
+    joined = joined.withColumn("_error", F.when(kind == "blocked", "不允许访问的内网或非法 URL").otherwise(
+        F.when(F.col("content").isNull(), F.coalesce("error", F.lit("未抓取到内容"))).otherwise(F.col("error"))))
+    error = F.col("_error")
     label = F.when(kind == "image", "图片 OCR").otherwise("网页正文")
     head = _cat("### 附件 ", (F.col("i") + 1).cast("string"), "：", F.col("url"), "\n")
     block = F.when(error.isNotNull(), _cat(head, "类型：", kind, "，解析失败：", error, "\n")).otherwise(_cat(head, "类型：", label, "\n", tx.strip(F.col("content")), "\n"))

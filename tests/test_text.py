@@ -142,3 +142,27 @@ def test_sound_level(spark):
     got = [r.x for r in spark.createDataFrame(list(enumerate(waves)), "i int, c binary").orderBy("i").select(F.coalesce(rms(F.col("c")), F.lit(0.0)).alias("x")).collect()]
     want = [0.0, 0.0, ((100**2 + 32768**2 + 32767**2) / 3) ** 0.5 / 32768, 5 / 32768, 0.0]
     assert all(abs(a - b) < 1e-12 for a, b in zip(got, want))
+
+
+def test_sound_level_is_no_row_by_row_expression(spark):
+    from pyspark.sql import functions as F
+
+    from talkweave.functions.sound import rms
+
+    plan = spark.createDataFrame([(b"\x01\x02",)], "c binary").select(rms(F.col("c")).alias("level"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "conv(" not in plan
+
+
+def test_safe_url_reads_the_host_once(spark):
+    from pyspark.sql import functions as F
+
+    from talkweave.operators import render as rd
+
+    rows = spark.createDataFrame([(1, "see http://10.0.0.1/x and https://doc.example/a")], "k int, text string")
+    plan = rows.select(ux.is_safe_url(F.col("text")).alias("safe"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") < 12
+    contents = spark.createDataFrame([("https://doc.example/a", "page", "body", None)], "url string, kind string, content string, error string")
+    out = rd.attach_link_content(rows, contents, ["k"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") < 20
+    got = out.collect()[0]
+    assert (got.n_links, got.failed) == (2, 1) and "body" in got.text
