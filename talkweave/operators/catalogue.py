@@ -97,9 +97,12 @@ def doc_category_fragments(docs: DataFrame, categories: DataFrame, concepts: Dat
 
 def doc_sections(docs: DataFrame, categories: DataFrame, top: int = 5) -> DataFrame:
     """Categories that have documents, with their number ``n`` and the ``top`` longest (struct file_name, title)."""
-    rows = docs.join(categories.select("category_id"), "category_id").select("category_id", "ord", "title", "file_name", F.length("content").alias("_len"))
-    counts = rows.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
-    best = top_rows(rows, ["category_id"], [F.desc_nulls_last("_len"), F.col("ord")], top, "_r").withColumn("_d", F.struct("file_name", "title"))
+    known, order = categories.select("category_id"), [F.desc_nulls_last("_len"), F.col("ord")]
+    rows = docs.select("category_id", "ord", "title", "file_name", F.length("content").alias("_len"))
+    counts = docs.groupBy("category_id").agg(F.count(F.lit(1)).alias("n")).join(known, "category_id").groupBy("category_id").agg(F.sum("n").alias("n"))
+    # only the first of each category meet it, so neither texts nor long titles are shuffled
+    first = top_rows(rows, ["category_id"], order, top, "_r").drop("_r").join(known, "category_id")
+    best = top_rows(first, ["category_id"], order, top, "_r").withColumn("_d", F.struct("file_name", "title"))
     return categories.join(counts, "category_id").join(collect_in_order(best, ["category_id"], "_r", "_d", "top"), "category_id")
 
 

@@ -103,3 +103,13 @@ def test_long_category_in_parts(spark):
     parts = [got["categories/分类-A.md"], *(got[f"categories/分类-A.part{k}.md"] for k in range(1, 7))]
     seen = re.findall(r"### (\d+)\. T(\d+)\n", "".join(parts))
     assert [(int(n), int(i)) for n, i in seen] == list(enumerate(want, 1))
+
+
+def test_sections_shuffle_no_text(spark):
+    docs = spark.createDataFrame([(i, f"c{i % 2}", f"title {i}", f"f{i}", "x" * (i % 5)) for i in range(40)], "ord long, category_id string, title string, file_name string, content string")
+    cats = spark.createDataFrame([("c0", "C"), ("c1", "D"), ("c2", "E")], "category_id string, title string")
+    out = ct.doc_sections(docs, cats, 2)
+    steps = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n\n")
+    assert not any("content#" in x for x in steps if "Exchange" in x.split("\n")[0])
+    got = {r.category_id: (r.n, [d.file_name for d in r.top]) for r in out.collect()}
+    assert got == {"c0": (20, ["f4", "f14"]), "c1": (20, ["f9", "f19"])}
