@@ -210,3 +210,15 @@ def test_pieces_are_found_in_one_pass():
     assert list(pieces.found("you st up id man, i di ot", set())) == ["idiot", "stupid"]
     assert list(pieces.found("you st up id man", {"stupid"})) == []
     assert list(pieces.found("best upidity", set())) == [] and list(deobfuscation.Pieces([]).found("any", set())) == []
+
+
+def test_texts_without_a_telling_word_are_ranked(llm_spark):
+    """A word that 6 of 40 toxic and 1 of 60 clean texts have is not telling among some hundred features, but it has a weight."""
+    plain = " ".join(f"{a}{b}{c}{b}r" for a in "bdfgk" for b in "aeiou" for c in "lmnp")
+    rows = [(i, f"{plain} {'idiot' if i < 30 else ''} {'zorblat' if i < 6 or i == 99 else ''} u{i}x", int(i < 40)) for i in range(100)]
+    df = llm_spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "zorblat" in model.features and "zorblat" not in model.telling and "idiot" in model.telling
+    asked = llm_spark.createDataFrame([(0, "quiet zorblat morning"), (1, "quiet morning")], "doc_id long, text string")
+    score = {r.doc_id: r.s for r in asked.select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()}
+    assert score[1] < score[0]
