@@ -135,3 +135,17 @@ def test_start_follows_the_file_where_ids_repeat(llm_spark, table, tmp_path):
         at += len(r.ids)
     got = sorted(((r.doc_id, r.start, r.n_tokens) for r in tokens.token_digests(llm_spark, path).collect()), key=lambda r: r[1])
     assert got == want and [r.doc_id for r in stored] == [None, None, 1, 1, 1, 2]
+
+
+def test_words_with_a_mark_are_looked_up_without_a_split():
+    from array import array
+
+    from talkweave.llm import encoding
+    from talkweave.llm.queries import TOKENIZER
+
+    enc, calls = encoding.Encoder(TOKENIZER), []
+    known = enc.tokenizer
+    text = "Zorb, blat; größe. (kept) don't it's, no. 12. é! end"
+    assert enc.encode(text) == array("I", known.encode(text, add_special_tokens=False).ids).tobytes()
+    enc._words = lambda x: calls.append(x) or b""
+    assert enc.encode("first zorb, blat; größe. é!") and calls == ["first"]
