@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _levels(frames: pd.Series) -> pd.Series:
     def level(frame: bytes | None) -> float:
         n = len(frame or b"") // 2
