@@ -187,6 +187,28 @@ def test_near_duplicate_links(spark):
     assert got == [("p", "A", "B")]
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.95])
+def test_texts_of_few_syllables_have_few_candidates(spark, threshold):
+    rng = random.Random(14)
+    syllables = ["th", "ea", "on", "ti", "er", "in", "the", "and", "ou", "é高"]
+    texts = {"".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 5, 20, 25, 50]))) for _ in range(300)}
+    for t in list(texts)[:60]:  # near copies, changed at both ends as well
+        for i in {0, rng.randrange(len(t)), len(t) - 1}:
+            texts.add(t[:i] + rng.choice(["", "x", "th"]) + t[i + rng.randint(0, 2):])
+    rows = [(i, t) for i, t in enumerate(sorted(texts - {""}))]
+    df = spark.createDataFrame(rows, "ord bigint, norm string")
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and SequenceMatcher(None, a, b).ratio() >= threshold}
+    assert {(r.left, r.right) for r in sm.ratio_pairs(df, threshold).collect()} == want
+    sized = df.selectExpr("ord", "norm", "length(norm) AS n", "0L AS _group", "ord AS _row")
+    assert len(want) <= sm._candidates(sized, threshold).count() < len(rows) ** 2 // 20  # a tenth of all pairs
+
+
+def test_near_duplicate_links_of_one_key(spark):
+    edges = spark.createDataFrame([(s, d) for s in ("p", None) for d in ("Ab cdefghijklmnopqrstuvw", "ab cdefghijklmnopqrstuvw", "abcdefghijklmnopqrstuvx", "-")], "src string, dst string")
+    got = sorted((r.src, r.left, r.right) for r in sm.near_duplicate_links(edges).collect())
+    assert got == [("p", "Ab cdefghijklmnopqrstuvw", "abcdefghijklmnopqrstuvx"), ("p", "ab cdefghijklmnopqrstuvw", "abcdefghijklmnopqrstuvx")]
+
+
 def test_unique_names(spark):
     df = spark.createDataFrame([(i, b, s) for i, (b, s) in enumerate([("n", "x"), ("n", "y"), ("n", "y"), ("m", "z"), ("n", "y"), ("r", "q")])], "i bigint, b string, s string")
     reserved = spark.createDataFrame([("r",)], "name string")
