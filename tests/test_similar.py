@@ -209,6 +209,30 @@ def test_near_duplicate_links_of_one_key(spark):
     assert got == [("p", "Ab cdefghijklmnopqrstuvw", "abcdefghijklmnopqrstuvx"), ("p", "ab cdefghijklmnopqrstuvw", "abcdefghijklmnopqrstuvx")]
 
 
+def test_keyword_scores_deal_pages_evenly_and_stop_at_first_places(spark, monkeypatch):
+    monkeypatch.setattr(substring, "_FIRST", 4)
+    pages = [(i, "an", "an ananas and " * 20 + ("zebra" if i % 7 == 0 else "")) for i in range(400)] + [(3, "", None), (3, "zebra", "zebra")]
+    lists = {1: ["an", "zebra"], 2: ["and", "none"], 3: ["zebra"]}
+    searched = substring._Searched(list(lists.values()))
+    hits = lambda k, x: k in (x or "")
+    want = {}
+    for q, ks in lists.items():
+        for i in range(400):
+            rows = [(t, x) for j, t, x in pages if j == i]
+            sums = [sum(sum(of(k, t, x) for t, x in rows) * max(1, sum(hits(k, t) or hits(k, x) for t, x in rows)) for k in ks)
+                    for of in (lambda k, t, x: hits(k, t), lambda k, t, x: hits(k, x), lambda k, t, x: hits(k, t) or hits(k, x))]
+            if sums[2]:
+                want[q, i] = tuple(map(float, sums))
+    place, hit, *sums = searched.scores([[(t, x) for j, t, x in pages if j == i] for i in range(400)])
+    assert {(list(lists)[q], int(p)): x for q, p, *x in zip(hit, place, *sums)} == {k: list(v) for k, v in want.items()}
+    assert {k for k, _ in searched.often} == {"an", "and"} and searched.n_words == 2
+    scored = substring.keyword_scores(spark.createDataFrame(pages, "page bigint, title string, text string"),
+                                      spark.createDataFrame(list(lists.items()), "question bigint, keywords array<string>"))
+    got = scored.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.question, r.page): (r.title_score, r.content_score, r.score) for r in got} == want
+    assert len({r.task for r in got}) == 16  # every part has a task of its own
+
+
 def test_unique_names(spark):
     df = spark.createDataFrame([(i, b, s) for i, (b, s) in enumerate([("n", "x"), ("n", "y"), ("n", "y"), ("m", "z"), ("n", "y"), ("r", "q")])], "i bigint, b string, s string")
     reserved = spark.createDataFrame([("r",)], "name string")
