@@ -222,3 +222,22 @@ def test_texts_without_a_telling_word_are_ranked(llm_spark):
     asked = llm_spark.createDataFrame([(0, "quiet zorblat morning"), (1, "quiet morning")], "doc_id long, text string")
     score = {r.doc_id: r.s for r in asked.select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()}
     assert score[1] < score[0]
+
+
+def test_words_that_cannot_be_wanted_are_not_restored():
+    from talkweave.llm import deobfuscation, toxicity
+
+    text = "the good idiot was really a fool and stupid people called hello to the book keeper " * 20
+    costs = deobfuscation.trigram_costs(deobfuscation.trigram_counts(text.encode()))
+    odd = "the iddiot waas a foool stuppid, helllo! h3llo boook$ reallly (good) kkeeper sstupid aäßéé ééa coolness"
+    every = toxicity._Reader(costs).features(odd)
+    for wanted in ({"idiot"}, {"^foo", "hello"}, {"^stup", "^ree", "book"}, every, {"none"}):
+        reader = toxicity._Reader(costs, frozenset(wanted))
+        assert reader.features(odd) == every & wanted
+    calls = []
+    reader = toxicity._Reader(costs, frozenset({"idiot", "^stup"}))
+    restore = reader.decoder.restore
+    reader.decoder.restore = lambda x: calls.append(x) or restore(x)
+    reader.features(odd)
+    assert sorted(calls) == ["(good)", "boook$", "h3llo", "iddiot", "sstupid", "stuppid"]
+    assert len(reader.decoder.runs) <= deobfuscation._RUNS
