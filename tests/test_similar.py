@@ -84,6 +84,38 @@ def test_contains_join_matches_brute_force(spark):
     assert hits == {(i, x, x in y[:5], x in y) for x in needles for i, y in enumerate(texts) if x in y}
 
 
+@pytest.mark.parametrize("n, shortest, most", [(3, 1, 2), (3, 3, 4), (8, 8, 32)])
+def test_contains_join_weighs_a_few_grams_of_long_needles(spark, monkeypatch, n, shortest, most):
+    monkeypatch.setattr(substring, "GRAMS", most)
+    rng = random.Random(6)
+    texts = [words(rng, rng.randint(0, 90), "ab高\U0001f600") for _ in range(40)] + [None]
+    needles = [t[i:i + rng.randint(1, 70)] for t in texts if t for i in (0, len(t) // 3)] + [words(rng, rng.randint(1, 12), "ab高") for _ in range(30)] + ["", None]
+    # ids repeat: each needle of an id is searched for
+    rows = [(k % 50, x) for k, x in enumerate(needles)] + [(None, "ab")]
+    got = contains_join(spark.createDataFrame(rows, "needle_id int, needle string"), spark.createDataFrame(list(enumerate(texts)), "text_id int, text string"), n, True, shortest)
+    want = sorted((k, i) for k, x in set(rows) if k is not None and x and len(x) >= shortest for i, y in enumerate(texts) if y and x in y and len(x) < len(y))
+    assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_questions_are_normalised_and_pairs_searched_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        read.add(1)
+        return x
+
+    seen = seen.asNondeterministic()
+    rows = [entry(i, f"question {i % 7} on {i}") for i in range(20)]
+    faqs = spark.createDataFrame(rows, FAQ)
+    asked = sm.distinct_questions(faqs.withColumn("question", seen("question")))
+    assert asked.count() == asked.filter("ord >= 0").count() == 20 and read.value == 20
+    read.value = 0
+    pairs = spark.createDataFrame([(i, i + 7) for i in range(13)], "left bigint, right bigint").withColumn("right", seen(F.col("right").cast("string")).cast("bigint"))
+    merged = {r.component: r.source_count for r in sm.cluster_faqs(faqs, pairs).collect()}
+    assert merged == {i: 3 if i < 6 else 2 for i in range(7)} and read.value == 13
+
+
 def test_keyword_scores_over_blocks_and_repeated_pages(spark, monkeypatch):
     monkeypatch.setattr(substring, "QUESTIONS", 2)
     rng = random.Random(9)
