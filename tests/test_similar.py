@@ -14,6 +14,7 @@ from talkweave.operators import retrieval as rt
 from talkweave.operators import similar as sm
 from talkweave.operators import substring
 from talkweave.operators.substring import contains_join, keyword_hits
+from talkweave.plans import QUERIES
 
 FAQ = ("ord bigint, question string, answer string, category_id string, variants array<string>, steps array<string>, links array<string>, "
        "tags array<string>, related_wikilinks array<string>, source_count bigint, file_name string")
@@ -271,3 +272,41 @@ def test_unique_names(spark):
     got = [r.file_name for r in dc.unique_names(df, F.col("b"), F.col("s"), "i", reserved=reserved).orderBy("i").collect()]
     assert len(set(got)) == 6 and got[0] == "n" and got[3] == "m"
     assert got[2] == got[1] + "2" and got[4] == got[1] + "3" and got[5].startswith("r-")
+
+
+@pytest.fixture(scope="module")
+def short_questions(spark, tmp_path_factory):
+    """A folder with documents whose questions are partly shorter than eight characters, and (ord, question, category) of each."""
+    rng = random.Random(15)
+    asked = [words(rng, rng.randint(1, 9), "abc高é") for _ in range(40)] + [words(rng, rng.randint(30, 40), "abcdefghijk") for _ in range(30)]
+    asked += [t[:5] + "z" + t[6:] for t in asked[-10:]] + [asked[0], asked[1].upper(), "x", "y z", "\U0001f600a", "?!"]
+    rows = [(i, f"{q}\nanswer {i}", ["en", "fr"][i % 2], f"s{i % 3}") for i, q in enumerate(asked)]
+    folder = str(tmp_path_factory.mktemp("short"))
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return folder, [(i, q.replace(" ", "").replace("?!", "").lower(), ["en", "fr"][i % 2]) for i, q in enumerate(asked)]
+
+
+def similar_edges(asked):
+    first, placed, out = {}, {}, {}
+    for i, q, c in asked:
+        if q:
+            first.setdefault(q, i)
+            placed.setdefault(q, set()).add(c)
+            if first[q] != i:
+                out[first[q], i] = 0.85
+    for a, i in first.items():
+        for b, j in first.items():
+            if i < j:
+                score = 0.85 if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+                if score >= (0.68 if placed[a] & placed[b] else 0.82):
+                    out[i, j] = score
+    return out
+
+
+def test_similar_pairs_take_questions_of_every_length(spark, short_questions):
+    folder, asked = short_questions
+    got = QUERIES["mrg6b_similar_question_pairs"](spark, folder).collect()
+    want = similar_edges(asked)
+    assert {(r.left, r.right): r.score for r in got} == want and len(got) == len(want)
+    norm = {i: q for i, q, _ in asked}
+    assert any(min(len(norm[i]), len(norm[j])) < 8 and norm[i] != norm[j] for i, j in want)
