@@ -310,3 +310,14 @@ def test_similar_pairs_take_questions_of_every_length(spark, short_questions):
     assert {(r.left, r.right): r.score for r in got} == want and len(got) == len(want)
     norm = {i: q for i, q, _ in asked}
     assert any(min(len(norm[i]), len(norm[j])) < 8 and norm[i] != norm[j] for i, j in want)
+
+
+def test_clusters_join_over_questions_of_every_length(spark, short_questions):
+    folder, asked = short_questions
+    label = {i: i for i, _, _ in asked}
+    for _ in asked:
+        for a, b in similar_edges(asked):
+            label[a] = label[b] = min(label[a], label[b])
+    got = QUERIES["mrg7b_cluster_similar_faqs"](spark, folder).collect()
+    sizes = {c: list(label.values()).count(c) for c in label.values()}
+    assert {r.component: r.source_count for r in got} == sizes and len(got) == len(sizes)
