@@ -321,3 +321,13 @@ def test_clusters_join_over_questions_of_every_length(spark, short_questions):
     got = QUERIES["mrg7b_cluster_similar_faqs"](spark, folder).collect()
     sizes = {c: list(label.values()).count(c) for c in label.values()}
     assert {r.component: r.source_count for r in got} == sizes and len(got) == len(sizes)
+
+
+def test_blocks_meet_without_copies_on_disk(spark):
+    rows = [(g, n, b, [f"{g}{b}"]) for g, n in (("a", 5), ("b", 2)) for b in range(n)]
+    blocks = spark.createDataFrame(rows, "_g string, _blocks bigint, _b bigint, x array<string>").repartition(3).localCheckpoint()
+    met = sm._met(blocks, ["_g"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Join" not in plan
+    got = sorted(tuple(sorted(x[0] for x in (r.left, r.right or r.left))) for r in met.collect())
+    assert got == sorted((f"{g}{i}", f"{g}{j}") for g, n in (("a", 5), ("b", 2)) for i in range(n) for j in range(i, n))
