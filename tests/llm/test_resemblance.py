@@ -94,3 +94,59 @@ def test_groups_join_over_simhash_links_too(llm_spark):
     docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(llm_spark, docs, "").collect()) == [0, 2, 3, 4, 5, 6]
     assert rs.drop_near_copies(docs).count() == 7
+
+
+def drifted():
+    """Signatures and sets of a tight group, of its last member that agrees least, and of a row that resembles the last member alone."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, 64, dtype=np.uint8)
+    signatures = np.repeat(base[None], 42, axis=0)
+    signatures[np.arange(40), 20 + np.arange(40)] ^= 1
+    signatures[40, 4:7] ^= 3
+    signatures[41, 40:57] ^= 7
+    common, last = list(range(100)), [*range(90), *range(200, 210)]
+    sets = [common] * 40 + [last, [*range(85), *range(200, 215)]]
+    return signatures, [np.array(x, dtype=np.uint64) for x in sets]
+
+
+def test_rows_that_stay_apart_meet_every_partner_of_their_list(llm_spark):
+    signatures, sets = drifted()
+    alike = {(i, j) for i in range(42) for j in range(i) if rs.resemblance(sets[i], sets[j]) >= 0.8}
+    assert (41, 40) in alike and not any((41, j) in alike for j in range(40))
+    assert all((signatures[41] == signatures[j]).sum() >= rs.LEAST for j in range(41))
+    rows = [(i, s.tobytes(), h.tobytes()) for i, (s, h) in enumerate(zip(signatures, sets))]
+    table = llm_spark.createDataFrame(rows, "row long, signature binary, hashes binary")
+    got = {(r.right, r.left) for r in rs.near_links(table).collect()}
+    assert got <= alike and (41, 40) in got
+
+
+def test_blocks_join_what_resembles(llm_spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.zeros(0, dtype=np.uint64)] * 2 + [np.unique(rng.choice(40, size=rng.integers(20, 40), replace=False).astype(np.uint64)) for _ in range(60)]
+    rows = [{"row": 9 + i, "component": i if i % 3 else i // 6, "hashes": s.tobytes()} for i, s in enumerate(sets)]
+    alike = {(9 + i, 9 + j) for j in range(62) for i in range(j) if rs.resemblance(sets[i], sets[j]) >= 0.8}
+
+    def groups(pairs):
+        label = {r["row"]: r["component"] for r in rows}
+        for a, b in pairs:
+            label = {k: label[a] if v == label[b] else v for k, v in label.items()}
+        return {frozenset(k for k in label if label[k] == v) for v in label.values()}
+
+    alone = [p for p in rs.joining_pairs(rows, None, 0.8)]
+    across = rs.joining_pairs(rows[:20], rows[20:], 0.8)
+    assert groups(p[:2] for p in alone) == groups(alike) != groups([])
+    assert groups(p[:2] for p in across) == groups(p for p in alike if (p[0] < 29) != (p[1] < 29))
+    assert {p[:2] for p in alone + across} <= alike and all(s == rs.resemblance(sets[a - 9], sets[b - 9]) for a, b, s in alone + across)
+    # a neighbourhood of several blocks
+    monkeypatch.setattr(rs, "_MEMBERS", 7)
+    signatures, sets = drifted()
+    table = llm_spark.createDataFrame([(i, s.tobytes(), h.tobytes()) for i, (s, h) in enumerate(zip(signatures, sets))], "row long, signature binary, hashes binary")
+    assert (40, 41) in {(r.left, r.right) for r in rs.near_links(table).collect()}
+
+
+def test_sets_are_taken_by_a_map_of_rows(llm_spark):
+    rows = [0, 1, 7, 8, 9, 32767, 32768, 32769, 40000, 2**33, 2**33 + 5, 3 * 2**33 + 65536]
+    table = llm_spark.createDataFrame([(i, str(i).encode()) for i in rows], "row long, hashes binary")
+    for wanted in (rows[::2], rows[1::2], rows[:1], []):
+        got = rs._sets_of(table, llm_spark.createDataFrame([(i,) for i in wanted * 2], "row long")).collect()
+        assert sorted((r.row, bytes(r.hashes)) for r in got) == [(i, str(i).encode()) for i in wanted]

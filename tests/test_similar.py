@@ -326,7 +326,7 @@ def test_clusters_join_over_questions_of_every_length(spark, short_questions):
 def test_blocks_meet_without_copies_on_disk(spark):
     rows = [(g, n, b, [f"{g}{b}"]) for g, n in (("a", 5), ("b", 2)) for b in range(n)]
     blocks = spark.createDataFrame(rows, "_g string, _blocks bigint, _b bigint, x array<string>").repartition(3).localCheckpoint()
-    met = sm._met(blocks, ["_g"])
+    met = sm.meetings(blocks, ["_g"])
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and "Join" not in plan
     got = sorted(tuple(sorted(x[0] for x in (r.left, r.right or r.left))) for r in met.collect())
